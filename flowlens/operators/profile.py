@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import ratio
@@ -207,7 +209,7 @@ def capture_stats(df: DataFrame, *, strata: list[str], capture: str, is_val: str
 
 def fpr_feasibility(stats: DataFrame, *, max_fpr: float, enabled: bool = True, val_rows: str = "val_rows") -> DataFrame:
     """Whether the validation benign rows can resolve the FPR limit: at least ceil(1 / max_fpr) of them."""
-    required = max(1, -(-1.0 // max_fpr) if max_fpr > 0 else 1)
+    required = max(1, math.ceil(1.0 / max_fpr)) if max_fpr > 0 else 1
     return stats.withColumns(
         {
             "min_required": F.lit(int(required)),
