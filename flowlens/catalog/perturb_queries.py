@@ -1 +1,517 @@
-""""""
+"""Feature constraints, projections, perturbation scenarios and the guarded threshold tune."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.catalog.base import (
+    LOCKABLE,
+    PROTOCOLS,
+    RELATED,
+    ROLE_INDEX,
+    ROLES,
+    THRESHOLDS,
+    flows,
+    query,
+    rounded,
+)
+from flowlens.catalog.profile_queries import unpivot_sql
+from flowlens.operators import combine, constraints as C, perturb, reports, search
+from flowlens.operators.profile import long_features
+from flowlens.operators.score import LinearModel
+
+P = "protocol_hint"
+KEEP = ["source_row_index", P, "label", "threshold"]
+
+# One surrogate per protocol over value, k and the locked hr.
+ADV = ["value", "k", "hr"]
+MEAN, STD = {"value": 50.0, "k": 50.0, "hr": 12.0}, {"value": 50.0, "k": 29.0, "hr": 7.0}
+SURROGATES = {
+    "wifi": LinearModel({"value": 1.5, "k": 1.4, "hr": 0.1}, 0.4, MEAN, STD),
+    "mqtt": LinearModel({"value": 1.3, "k": 1.6, "hr": -0.1}, 0.3, MEAN, STD),
+    "bluetooth": LinearModel({"value": 1.6, "k": 1.2, "hr": 0.0}, 0.5, MEAN, STD),
+}
+LOCKS = ["hr"]
+
+
+def constraint_table(spark, sf, features, locks=LOCKS):
+    return C.feature_constraints(flows(spark, sf), by=P, features=features, semantic_locks=locks)
+
+
+def con_ctes(features: list[str], locks: list[str]) -> str:
+    lock = "feature IN (" + ", ".join(f"'{x}'" for x in locks) + ")" if locks else "false"
+    return f"""lng AS ({unpivot_sql("flows", [P], features)}), con AS (
+  SELECT *, {lock} AS sem, unique_count <= 20 AND lo_l >= -1e-8 AND hi_l <= 1 + 1e-8 AS auto FROM (
+    SELECT {P}, feature, greatest(0, quantile_cont(value, 0.01)) AS lower,
+      greatest(greatest(0, quantile_cont(value, 0.01)), quantile_cont(value, 0.99)) AS upper,
+      quantile_cont(value, 0.01) AS p_low, quantile_cont(value, 0.99) AS p_high, min(value) AS raw_min, max(value) AS raw_max,
+      count(*) AS rows, count(DISTINCT round_even(value, 6)) AS unique_count, min(round_even(value, 6)) AS lo_l,
+      max(round_even(value, 6)) AS hi_l FROM lng GROUP BY 1, 2)),
+  wide AS (SELECT {P} AS wp, {", ".join(f"max(lower) FILTER (WHERE feature = '{f}') AS lo_{f}, max(upper) FILTER (WHERE feature = '{f}') AS hi_{f}" for f in features)}
+    FROM con GROUP BY 1)"""
+
+
+# C-01
+@query(f"""WITH {con_ctes(LOCKABLE, LOCKS)} SELECT {P}, feature, round(lower, 6) AS lower, round(upper, 6) AS upper,
+    round(greatest(upper - lower, 1e-12), 6) AS span, sem OR auto AS locked, concat(CASE WHEN sem THEN 'semantic' ELSE '' END,
+    CASE WHEN sem AND auto THEN '|' ELSE '' END, CASE WHEN auto THEN 'auto_low_cardinality' ELSE '' END) AS lock_reason,
+    rows, round(raw_min, 6) AS raw_min, round(raw_max, 6) AS raw_max, round(p_low, 6) AS p_low, round(p_high, 6) AS p_high,
+    unique_count FROM con""", ("flows",))
+def feature_constraints(spark, sf):
+    return rounded(constraint_table(spark, sf, LOCKABLE))
+
+
+def band_sql(value: str, source: str) -> str:
+    return f"""greatest(0, quantile_cont({value}, 0.01) - (0.05::DOUBLE * greatest(quantile_cont({value}, 0.99) - quantile_cont({value}, 0.01), 1e-9) + 1e-9)) AS band_low,
+    quantile_cont({value}, 0.99) + (0.05::DOUBLE * greatest(quantile_cont({value}, 0.99) - quantile_cont({value}, 0.01), 1e-9) + 1e-9) AS band_high {source}"""
+
+
+# C-02
+@query(f"SELECT {P}, round(band_low, 6) AS band_low, round(band_high, 6) AS band_high, n FROM (SELECT {P}, count(*) AS n, "
+       f"{band_sql('k / hr', 'FROM flows WHERE hr > 0 GROUP BY 1')})", ("flows",))
+def quantile_band(spark, sf):
+    r = F.when(F.col("hr") > 0, F.col("k") / F.col("hr")).otherwise(F.lit(float("inf")))
+    out = C.quantile_band(flows(spark, sf).withColumn("r", r), by=[P], value="r", low=0.01, high=0.99, nonnegative=True)
+    return rounded(out)
+
+
+BANDS = f"""rel AS (SELECT {P}, 'tot_num_avg' AS relation, f_tot / (f_number * f_avg) AS r FROM flows WHERE f_number * f_avg > 1e-9
+    UNION ALL SELECT {P}, 'rate_ratio', (f_srate + f_drate) / f_rate FROM flows WHERE f_rate > 1e-9),
+  bands AS (SELECT {P}, relation, count(*) AS n, {band_sql("r", "FROM rel GROUP BY 1, 2")})"""
+
+
+def band_table(spark, sf):
+    return C.relation_profile(flows(spark, sf), by=P, roles=ROLES)
+
+
+# C-03
+@query(f"WITH {BANDS} SELECT {P}, relation, round(band_low, 6) AS band_low, round(band_high, 6) AS band_high, n FROM bands",
+       ("flows",))
+def relation_profile(spark, sf):
+    return rounded(band_table(spark, sf))
+
+
+# C-05
+@query(f"""WITH lng AS ({unpivot_sql("flows", [], LOCKABLE + RELATED)}), n AS (SELECT feature, count(*) AS rows,
+    regexp_replace(lower(feature), '[^0-9a-z]', '', 'g') AS key FROM lng GROUP BY 1)
+  SELECT feature, rows, least(CAST(0.5 AS DOUBLE), CASE WHEN contains(key, 'rate') THEN CAST(0.2 AS DOUBLE) ELSE 0.5 END,
+    CASE WHEN regexp_matches(key, 'byte|packet|count|number|size|tot|sum|len|volume') THEN CAST(0.3 AS DOUBLE) ELSE 0.5 END,
+    CASE WHEN regexp_matches(key, 'time|dur|iat|interval|latency') THEN CAST(0.1 AS DOUBLE) ELSE 0.5 END) AS relative_cap
+  FROM n""", ("flows",))
+def relative_caps(spark, sf):
+    names = long_features(flows(spark, sf), [], LOCKABLE + RELATED).groupBy("feature").agg(F.count("*").alias("rows"))
+    return C.relative_caps_table(names, feature="feature", default=0.5, rate=0.2, size=0.3, time=0.1)
+
+
+def related_rows(spark, sf):
+    """Rows with their profile arrays: x0 is the original vector, x a moved candidate that breaks some relations."""
+    caps = C.relative_caps(RELATED, default=0.5, rate=0.2, size=0.3)
+    con = constraint_table(spark, sf, RELATED, locks=None)
+    prof = C.profile_arrays(con, by=P, features=RELATED, caps=caps, bands=band_table(spark, sf))
+    f = C.attach_profile(flows(spark, sf), prof, by=P)
+    shift = F.col("hr") - F.lit(12.0)
+    moved = [
+        F.col("f_min") + F.lit(2.0) * shift,
+        F.col("f_avg") - shift,
+        F.col("f_max") - shift,
+        F.col("f_tot") * F.lit(1.3),
+        F.col("f_number"),
+        F.col("f_srate") + shift,
+        F.col("f_drate"),
+        F.col("f_rate") * F.lit(0.9),
+    ]
+    return f.withColumns({"x0": C.vector(RELATED), "x": F.array(*moved)})
+
+
+CAPS = C.relative_caps(RELATED, default=0.5, rate=0.2, size=0.3)
+SHORT = dict(zip(RELATED, ("mn", "av", "mx", "tot", "num", "sr", "dr", "rt")))
+RELATED_SQL = f"""{con_ctes(RELATED, [])}, {BANDS}, bw AS (SELECT {P} AS bp,
+    max(band_low) FILTER (WHERE relation = 'tot_num_avg') AS t_lo, max(band_high) FILTER (WHERE relation = 'tot_num_avg') AS t_hi,
+    max(band_low) FILTER (WHERE relation = 'rate_ratio') AS r_lo, max(band_high) FILTER (WHERE relation = 'rate_ratio') AS r_hi
+    FROM bands GROUP BY 1),
+  cnd AS (SELECT *, f_min + 2 * (hr - 12) AS mn, f_avg - (hr - 12) AS av, f_max - (hr - 12) AS mx, f_tot * CAST(1.3 AS DOUBLE) AS tot,
+    f_number AS num, f_srate + (hr - 12) AS sr, f_drate AS dr, f_rate * CAST(0.9 AS DOUBLE) AS rt FROM flows
+    JOIN wide ON wp = {P} JOIN bw ON bp = {P})"""
+
+
+def flags_sql(tol: str = "1e-6") -> str:
+    return f"""(av < mn - {tol} OR av > mx + {tol}) AS v1, coalesce(num * av > 1e-9 AND (tot / nullif(num * av, 0) < t_lo - {tol} OR
+    tot / nullif(num * av, 0) > t_hi + {tol}), false) AS v2, coalesce(rt > 1e-9 AND ((sr + dr) / nullif(rt, 0) < r_lo - {tol} OR
+    (sr + dr) / nullif(rt, 0) > r_hi + {tol}), false) AS v3"""
+
+
+# C-06, C-07, J-02
+@query(f"""WITH {con_ctes(LOCKABLE, LOCKS)} SELECT source_row_index, round(least(0.1::DOUBLE * greatest(hi_value - lo_value, 1e-12),
+      0.5::DOUBLE * greatest(abs(value), 1)), 6) AS cap_value, round(least(0.1::DOUBLE * greatest(hi_k - lo_k, 1e-12),
+      0.5::DOUBLE * greatest(abs(k), 1)), 6) AS cap_k, 0::DOUBLE AS cap_hr,
+    round(least(greatest(value * 1.2::DOUBLE - 5, lo_value), hi_value), 6) AS new_value,
+    round(least(greatest(k * 1.2::DOUBLE - 5, lo_k), hi_k), 6) AS new_k, hr AS new_hr FROM flows JOIN wide ON wp = {P}""",
+  ("flows",))
+def project_bounds(spark, sf):
+    caps = {f: 0.5 for f in LOCKABLE}
+    prof = C.profile_arrays(constraint_table(spark, sf, LOCKABLE), by=P, features=LOCKABLE, caps=caps)
+    f = C.attach_profile(flows(spark, sf), prof, by=P)
+    f = f.withColumn("x0", C.vector(LOCKABLE))
+    f = f.withColumn("x", F.transform("x0", lambda v: v * F.lit(1.2) - F.lit(5.0)))
+    n = len(LOCKABLE)
+    f = f.withColumns(
+        {"cap": C.max_delta(F.col("x0"), n, 0.1), "new": C.project_bounds(F.col("x"), F.col("x0"), n)}
+    )
+    f = C.spread(C.spread(f, "cap", LOCKABLE, "cap_"), "new", LOCKABLE, "new_")
+    return rounded(f.select("source_row_index", "cap_value", "cap_k", "cap_hr", "new_value", "new_k", "new_hr"))
+
+
+# J-02
+@query(f"""WITH {con_ctes(LOCKABLE, LOCKS)} SELECT source_row_index, round(lo_value, 6) AS lower_value, round(hi_k, 6) AS upper_k
+  FROM flows JOIN wide ON wp = {P}""", ("flows",))
+def gather_profile(spark, sf):
+    con = constraint_table(spark, sf, LOCKABLE)
+    f = combine.gather_profile(
+        flows(spark, sf).select("source_row_index", P), con, on=P, feature="feature", values=["lower", "upper"]
+    )
+    return rounded(
+        f.select(
+            "source_row_index",
+            F.col("lower_by_feature")["value"].alias("lower_value"),
+            F.col("upper_by_feature")["k"].alias("upper_k"),
+        )
+    )
+
+
+# C-08
+@query(f"""WITH {RELATED_SQL}, v AS (SELECT source_row_index, {flags_sql()} FROM cnd)
+  SELECT source_row_index, v1 AS min_avg_max, v2 AS tot_num_avg, v3 AS rate_ratio, v1 OR v2 OR v3 AS any_violation FROM v""",
+  ("flows",))
+def relation_violations(spark, sf):
+    flags = C.relation_flags(F.col("x"), ROLE_INDEX)
+    return related_rows(spark, sf).select(
+        "source_row_index",
+        flags["min_avg_max"].alias("min_avg_max"),
+        flags["tot_num_avg"].alias("tot_num_avg"),
+        flags["rate_ratio"].alias("rate_ratio"),
+        flags["any"].alias("any_violation"),
+    )
+
+
+EPS = 0.2
+
+
+def clip_sql(src: str, out: str) -> str:
+    """Bounds, then the allowed move around the original; every other column is passed on."""
+    cols = []
+    for f, s in SHORT.items():
+        cap = f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
+        cols.append(f"{f} + least(greatest(least(greatest({s}, lo_{f}), hi_{f}) - {f}, -({cap})), {cap}) AS {s}")
+    return f"{out} AS (SELECT * REPLACE ({', '.join(cols)}) FROM {src})"
+
+
+def repair_sql(src: str, out: str) -> str:
+    return f"""{out}a AS (SELECT * REPLACE (CASE WHEN mn > mx THEN 0.5::DOUBLE * (mn + mx) ELSE mn END AS mn,
+      CASE WHEN mn > mx THEN 0.5::DOUBLE * (mn + mx) ELSE mx END AS mx) FROM {src}),
+    {out}b AS (SELECT * REPLACE (CASE WHEN av < mn THEN mn WHEN av > mx THEN mx ELSE av END AS av) FROM {out}a),
+    {out}c AS (SELECT * REPLACE (CASE WHEN num * av > 1e-9 THEN least(greatest(tot / nullif(num * av, 0), t_lo), t_hi) * (num * av)
+      ELSE tot END AS tot) FROM {out}b),
+    {out}d AS (SELECT *, CASE WHEN rt > 1e-9 THEN least(greatest((sr + dr) / nullif(rt, 0), r_lo), r_hi) END AS goal FROM {out}c),
+    {out}e AS (SELECT * EXCLUDE (goal) REPLACE (CASE WHEN goal IS NULL THEN sr WHEN sr + dr <= 1e-12 THEN 0.5::DOUBLE * goal * rt
+        ELSE sr * (goal * rt / (sr + dr)) END AS sr, CASE WHEN goal IS NULL THEN dr WHEN sr + dr <= 1e-12 THEN 0.5::DOUBLE * goal * rt
+        ELSE dr * (goal * rt / (sr + dr)) END AS dr) FROM {out}d), {clip_sql(out + "e", out)}"""
+
+
+def within_sql(get) -> str:
+    parts = []
+    for f, s in SHORT.items():
+        cap = f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
+        v = get(f, s)
+        parts.append(f"{v} >= lo_{f} - 1e-6 AND {v} <= hi_{f} + 1e-6 AND abs({v} - {f}) <= {cap} + 1e-6")
+    return " AND ".join(parts)
+
+
+PROJECT_SQL = f"""{RELATED_SQL}, {clip_sql("cnd", "p0")}, {repair_sql("p0", "p1")}, {repair_sql("p1", "p2")},
+  {repair_sql("p2", "p3")}, {repair_sql("p3", "p4")}, fl AS (SELECT *, {flags_sql()} FROM p4),
+  res AS (SELECT *, NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s)} AS good FROM fl)"""
+
+
+def projected(spark, sf):
+    return C.project_row(
+        related_rows(spark, sf),
+        candidate="x",
+        original="x0",
+        reference="x0",
+        index=ROLE_INDEX,
+        n=len(RELATED),
+        eps=EPS,
+    )
+
+
+# C-09
+@query(f"""WITH {PROJECT_SQL} SELECT source_row_index, {", ".join(f"round(CASE WHEN good THEN {s} ELSE {f} END, 5) AS p_{f}" for f, s in SHORT.items())}
+  FROM res""", ("flows",))
+def project_row(spark, sf):
+    out = C.spread(projected(spark, sf), "projected", RELATED, "p_")
+    return rounded(out.select("source_row_index", *[f"p_{f}" for f in RELATED]), 5)
+
+
+VIOLATION = f"""CAST(sum({" + ".join(f"CAST({s} < lo_{f} - 1e-6 AS INTEGER)" for f, s in SHORT.items())}) AS BIGINT) AS below_lower_violations,
+    CAST(sum({" + ".join(f"CAST({s} > hi_{f} + 1e-6 AS INTEGER)" for f, s in SHORT.items())}) AS BIGINT) AS above_upper_violations"""
+OVER = "greatest(" + ", ".join(
+    f"abs({s} - {f}) - least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
+    for f, s in SHORT.items()
+) + ")"
+
+
+# A-39
+@query(f"""WITH {RELATED_SQL}, v AS (SELECT *, {flags_sql()}, {OVER} AS over_cap FROM cnd)
+  SELECT {P}, {VIOLATION}, 0::BIGINT AS locked_change_rows, 0::DOUBLE AS locked_change_max_abs,
+    count(*) FILTER (WHERE over_cap > 1e-2) AS cap_violation_rows, count(*) FILTER (WHERE v1 OR v2 OR v3) AS relation_violation_rows,
+    count(*) FILTER (WHERE v1) AS relation_min_avg_max_rows, count(*) FILTER (WHERE v2) AS relation_tot_num_avg_rows,
+    count(*) FILTER (WHERE v3) AS relation_rate_rows FROM v GROUP BY 1""", ("flows",))
+def violation_summary(spark, sf):
+    return C.violation_summary(
+        related_rows(spark, sf), x="x", x0="x0", index=ROLE_INDEX, n=len(RELATED), eps=EPS, by=[P]
+    )
+
+
+# X-08: the projection leaves nothing to complain about (bounds of the originals themselves aside)
+@query(f"""WITH {PROJECT_SQL} SELECT {P}, count(*) AS rows, count(*) FILTER (WHERE good) AS projected_rows,
+    0::BIGINT AS cap_violation_rows FROM res GROUP BY 1""", ("flows",))
+def violation_assertion(spark, sf):
+    rows = projected(spark, sf).withColumn("x", F.col("projected"))
+    n = len(RELATED)
+    moved = C.violation_summary(rows, x="x", x0="x0", index={}, n=n, eps=EPS, by=[P]).select(P, "cap_violation_rows")
+    C.assert_no_violations(moved)
+    cap = rows.withColumn("cap", C.max_delta(F.col("x0"), n, EPS))
+    good = C.satisfies(F.col("x"), F.col("x0"), F.col("cap"), ROLE_INDEX, n)
+    agg = cap.groupBy(P).agg(F.count("*").alias("rows"), F.count(F.when(good, 1)).alias("projected_rows"))
+    return agg.join(moved, P)
+
+
+# ---- perturbations ------------------------------------------------------------------------------------------------
+
+
+def adv_rows(spark, sf):
+    prof = C.profile_arrays(constraint_table(spark, sf, ADV), by=P, features=ADV, caps={f: 0.5 for f in ADV})
+    f = C.attach_profile(flows(spark, sf).select(*KEEP, *ADV), prof, by=P)
+    f = f.withColumn("x", C.vector(ADV))
+    return perturb.attach_surrogate(f, SURROGATES, ADV, by=P)
+
+
+def case_sql(get) -> str:
+    return "CAST(CASE " + P + "".join(f" WHEN '{p}' THEN {get(m)}" for p, m in SURROGATES.items()) + " END AS DOUBLE)"
+
+
+def shifted_sql(eps: float) -> tuple[str, str]:
+    out = []
+    for f in ("value", "k"):
+        out.append(f"least(greatest({f} - {eps}::DOUBLE * {STD[f]}::DOUBLE, lo_{f}), hi_{f})")
+    return out[0], out[1]
+
+
+def score_sql(v: str, k: str) -> str:
+    z = (
+        f"{case_sql(lambda m: m.bias)} + {case_sql(lambda m: m.weights['value'])} * ({v} - 50) / 50"
+        f" + {case_sql(lambda m: m.weights['k'])} * ({k} - 50) / 29 + {case_sql(lambda m: m.weights['hr'])} * (hr - 12) / 7"
+    )
+    return f"1 / (1 + exp(-least(greatest({z}, -40), 40)))"
+
+
+ADV_SQL = con_ctes(ADV, LOCKS)
+
+
+# C-10
+@query(f"""WITH {ADV_SQL} SELECT source_row_index, round({shifted_sql(0.2)[0]}, 6) AS a_value, round({shifted_sql(0.2)[1]}, 6) AS a_k,
+    hr AS a_hr FROM flows JOIN wide ON wp = {P} WHERE label = 1""", ("flows",))
+def shift_fgsm(spark, sf):
+    f = adv_rows(spark, sf).where(F.col("label") == 1).withColumn("a", perturb.shift_fgsm(F.col("x"), 3, 0.2))
+    return rounded(C.spread(f, "a", ADV, "a_").select("source_row_index", "a_value", "a_k", "a_hr"))
+
+
+# C-11: with a linear surrogate the iterated step ends where the single step of the same radius ends
+@query(f"""WITH {ADV_SQL} SELECT source_row_index, round({shifted_sql(0.1)[0]}, 6) AS a_value, round({shifted_sql(0.1)[1]}, 6) AS a_k,
+    hr AS a_hr FROM flows JOIN wide ON wp = {P} WHERE label = 1""", ("flows",))
+def shift_pgd(spark, sf):
+    f = adv_rows(spark, sf).where(F.col("label") == 1).withColumn("a", perturb.shift_pgd(F.col("x"), 3, 0.1))
+    return rounded(C.spread(f, "a", ADV, "a_").select("source_row_index", "a_value", "a_k", "a_hr"))
+
+
+# C-12
+@query(f"""WITH {ADV_SQL} SELECT source_row_index, round(least(greatest(value - 0.05::DOUBLE * (hi_value - lo_value), lo_value), hi_value), 6)
+    AS a_value, round(least(greatest(k, lo_k), hi_k), 6) AS a_k, hr AS a_hr FROM flows JOIN wide ON wp = {P} WHERE label = 1""",
+  ("flows",))
+def shift_topk(spark, sf):
+    f = adv_rows(spark, sf).where(F.col("label") == 1)
+    f = f.withColumn("a", perturb.shift_topk(F.col("x"), 3, 0.05, F.array(F.lit(0))))
+    return rounded(C.spread(f, "a", ADV, "a_").select("source_row_index", "a_value", "a_k", "a_hr"))
+
+
+# X-04
+@query(f"""WITH {ADV_SQL} SELECT {P}, count(*) AS rows, count(*) FILTER (WHERE abs({shifted_sql(0.2)[0]} - value) > 1e-9 OR
+    abs({shifted_sql(0.2)[1]} - k) > 1e-9) AS changed FROM flows JOIN wide ON wp = {P} WHERE label = 1 GROUP BY 1""", ("flows",))
+def changed_rows(spark, sf):
+    f = adv_rows(spark, sf).where(F.col("label") == 1).withColumn("a", perturb.shift_fgsm(F.col("x"), 3, 0.2))
+    hit = perturb.changed_rows("x", "a", 3)
+    return f.groupBy(P).agg(F.count("*").alias("rows"), F.count(F.when(hit, 1)).alias("changed"))
+
+
+# A-22
+DV, DK = f"({shifted_sql(0.2)[0]} - value)", f"({shifted_sql(0.2)[1]} - k)"
+
+
+@query(f"""WITH {ADV_SQL}, d AS (SELECT {P}, {DV} AS a, {DK} AS b, {DV} / (hi_value - lo_value) AS sa, {DK} / (hi_k - lo_k) AS sb
+      FROM flows JOIN wide ON wp = {P} WHERE label = 1),
+    m AS (SELECT {P}, 'l0' AS measure, CAST(abs(a) > 1e-12 AS INTEGER) + CAST(abs(b) > 1e-12 AS INTEGER)::DOUBLE AS v FROM d
+      UNION ALL SELECT {P}, 'l2', sqrt(a * a + b * b) FROM d UNION ALL SELECT {P}, 'linf', greatest(abs(a), abs(b)) FROM d
+      UNION ALL SELECT {P}, 'l2_norm', sqrt(sa * sa + sb * sb) FROM d
+      UNION ALL SELECT {P}, 'linf_norm', greatest(abs(sa), abs(sb)) FROM d)
+  SELECT {P}, measure, count(*) AS rows, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median,
+    round(quantile_cont(v, 0.95), 6) AS p95 FROM m GROUP BY 1, 2""", ("flows",))
+def perturbation_stats(spark, sf):
+    f = adv_rows(spark, sf).where(F.col("label") == 1).withColumn("a", perturb.shift_fgsm(F.col("x"), 3, 0.2))
+    return rounded(perturb.perturbation_stats(f, x="x", adv="a", n=3, by=[P]))
+
+
+SCENARIOS = perturb.scenario_list(["fgsm", "pgd"], [0.05, 0.2])
+
+
+def scenario_rows(spark, sf):
+    return perturb.scenario_scores(adv_rows(spark, sf), x="x", n=3, label="label", scenarios=SCENARIOS)
+
+
+SCEN_SQL = f"""{ADV_SQL}, ss AS (SELECT source_row_index, {P}, label, threshold, {score_sql("value", "k")} AS s0,
+    {score_sql(*shifted_sql(0.05))} AS s1, {score_sql(*shifted_sql(0.2))} AS s2 FROM flows JOIN wide ON wp = {P}),
+  scen AS (SELECT source_row_index, {P}, label, threshold, s0, method, epsilon, CASE WHEN epsilon = 0 OR label = 0 THEN s0
+      WHEN epsilon < 0.1 THEN s1 ELSE s2 END AS s
+    FROM ss, (VALUES ('baseline', 0::DOUBLE), ('fgsm', 0.05), ('fgsm', 0.2), ('pgd', 0.05), ('pgd', 0.2)) x(method, epsilon))"""
+
+
+# C-13
+@query(f"WITH {SCEN_SQL} SELECT source_row_index, method, epsilon, round(s, 6) AS score FROM scen", ("flows",))
+def scenario_scores(spark, sf):
+    cells = [
+        F.struct(F.lit(m).alias("method"), F.lit(e).alias("epsilon"), F.round(F.get("scores", F.lit(i)), 6).alias("score"))
+        for i, (m, e) in enumerate(SCENARIOS)
+    ]
+    return scenario_rows(spark, sf).select("source_row_index", F.explode(F.array(*cells)).alias("c")).select(
+        "source_row_index", "c.*"
+    )
+
+
+def scenario_count_table(spark, sf):
+    return perturb.scenario_counts(
+        scenario_rows(spark, sf), by=P, label="label", threshold="threshold", scenarios=SCENARIOS
+    )
+
+
+MET_SQL = f"""{SCEN_SQL}, sx AS (SELECT {P} AS scope, * FROM scen UNION ALL SELECT 'global_protocol_routed', * FROM scen),
+  sc0 AS (SELECT scope, method, epsilon, count(*) FILTER (WHERE label = 1 AND s >= threshold) AS tp,
+      count(*) FILTER (WHERE label = 0 AND s < threshold) AS tn, count(*) FILTER (WHERE label = 0 AND s >= threshold) AS fp,
+      count(*) FILTER (WHERE label = 1 AND s < threshold) AS fn,
+      count(*) FILTER (WHERE label = 1 AND s0 >= threshold AND s < threshold) AS an,
+      count(*) FILTER (WHERE label = 1 AND s0 >= threshold) AS ad FROM sx GROUP BY 1, 2, 3),
+  met AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS pr, tp / nullif(tp + fn, 0)::DOUBLE AS rc,
+      coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1v, fp / nullif(fp + tn, 0)::DOUBLE AS fr FROM sc0)"""
+
+
+# C-14, A-18, J-06
+@query(f"""WITH {MET_SQL} SELECT m.scope, m.method, m.epsilon, m.tp, m.tn, m.fp, m.fn, round(m.pr, 6) AS precision,
+    round(m.rc, 6) AS recall, round(m.f1v, 6) AS f1, round(m.fr, 6) AS fpr, round(m.an / nullif(m.ad, 0)::DOUBLE, 6) AS asr_conditional,
+    round(m.fn / nullif(m.tp + m.fn, 0)::DOUBLE, 6) AS asr_all, round(m.f1v - b.f1v, 6) AS delta_f1
+  FROM met m JOIN met b ON b.scope = m.scope AND b.method = 'baseline'""", ("flows",))
+def scenario_metrics(spark, sf):
+    return rounded(perturb.scenario_metrics(scenario_count_table(spark, sf), by=P))
+
+
+# L-18: robustness table
+@query(f"""WITH {MET_SQL} SELECT b.scope, round(b.fr, 6) AS clean_fpr, round(b.rc, 6) AS clean_recall, round(b.f1v, 6) AS clean_f1,
+    CAST(NULL AS DOUBLE) AS attacked_benign_fpr, round(min(m.rc), 6) AS adv_malicious_recall, round(min(m.f1v), 6) AS robust_f1
+  FROM met b JOIN met m ON m.scope = b.scope AND m.epsilon > 0 WHERE b.method = 'baseline' GROUP BY b.scope, b.fr, b.rc, b.f1v""",
+  ("flows",))
+def robustness_table(spark, sf):
+    return rounded(reports.robustness_table(scenario_count_table(spark, sf), by=P))
+
+
+DELTAS = [-0.05, 0.0, 0.05]
+
+
+# C-15, J-08, A-23, O-06
+@query(f"""WITH {SCEN_SQL}, th AS (SELECT {P} AS p, b AS base, least(1::DOUBLE, greatest(0::DOUBLE, b + d)) AS t FROM
+      (VALUES ('wifi', 0.55::DOUBLE), ('mqtt', 0.5), ('bluetooth', 0.6)) v({P}, b), (VALUES (-0.05::DOUBLE), (0), (0.05)) w(d)),
+    c AS (SELECT p, t, base, method, epsilon, count(*) FILTER (WHERE label = 1 AND s >= t) AS tp,
+        count(*) FILTER (WHERE label = 0 AND s >= t) AS fp, count(*) FILTER (WHERE label = 1) AS np,
+        count(*) FILTER (WHERE label = 0) AS nn FROM scen JOIN th ON p = {P} GROUP BY 1, 2, 3, 4, 5),
+    cm AS (SELECT a.t AS wt, b.t AS mt, d.t AS bt, a.method, a.epsilon, a.tp + b.tp + d.tp AS tp, a.fp + b.fp + d.fp AS fp,
+        a.np + b.np + d.np AS np, a.nn + b.nn + d.nn AS nn,
+        abs(a.t - a.base) + abs(b.t - b.base) + abs(d.t - d.base) AS shift
+      FROM c a JOIN c b ON a.method = b.method AND a.epsilon = b.epsilon JOIN c d ON a.method = d.method AND a.epsilon = d.epsilon
+      WHERE a.p = 'wifi' AND b.p = 'mqtt' AND d.p = 'bluetooth'),
+    m AS (SELECT *, coalesce(2 * tp / nullif(tp + fp + np, 0)::DOUBLE, 0) AS f1, tp / np::DOUBLE AS rc, fp / nn::DOUBLE AS fr FROM cm),
+    r AS (SELECT wt, mt, bt, max(shift) AS shift, max(f1) FILTER (WHERE epsilon = 0) AS cf1, max(fr) FILTER (WHERE epsilon = 0) AS cfr,
+        max(fr) FILTER (WHERE epsilon > 0) AS wf, min(rc) FILTER (WHERE epsilon > 0) AS wr, min(f1) FILTER (WHERE epsilon > 0) AS w1
+      FROM m GROUP BY 1, 2, 3),
+    b AS (SELECT * FROM r WHERE shift = 0), g AS (SELECT r.*, r.cfr <= b.cfr AND r.wf <= b.wf AND r.wr >= b.wr - 0.002::DOUBLE
+        AND r.w1 >= b.w1 - 0.002::DOUBLE AS guard_pass FROM r, b)
+  SELECT round(wt, 6) AS wifi_threshold, round(mt, 6) AS mqtt_threshold, round(bt, 6) AS bluetooth_threshold,
+    round(cf1, 6) AS clean_f1, round(cfr, 6) AS clean_fpr, round(wf, 6) AS worst_attacked_benign_fpr,
+    round(wr, 6) AS worst_adv_malicious_recall, round(w1, 6) AS worst_robust_f1, guard_pass,
+    CASE WHEN bool_or(guard_pass) OVER () THEN 'guarded' ELSE 'fallback_no_guard_pass' END AS selection_mode,
+    row_number() OVER (ORDER BY guard_pass DESC, cf1 DESC, w1 DESC, wr DESC, cfr, shift, wt, mt, bt) AS rank FROM g""",
+  ("flows",))
+def guarded_threshold_tune(spark, sf):
+    out = perturb.guarded_tune(
+        scenario_rows(spark, sf), by=P, label="label", scenarios=SCENARIOS, base=THRESHOLDS, deltas=DELTAS
+    )
+    return rounded(
+        out.select(
+            *[f"{p}_threshold" for p in PROTOCOLS],
+            "clean_f1",
+            "clean_fpr",
+            "worst_attacked_benign_fpr",
+            "worst_adv_malicious_recall",
+            "worst_robust_f1",
+            "guard_pass",
+            "selection_mode",
+            "rank",
+        )
+    )
+
+
+# ---- search -------------------------------------------------------------------------------------------------------
+
+PLAN = search.SearchPlan(eps=0.1, budget=12, steps=3, candidates=4, subset=2, refine=2, objective="maximize")
+
+
+# C-16, A-38, S-11: every benign row is searched; the moves come from hashes SQL does not have
+@query()
+def budgeted_candidate_search(spark, sf):
+    rows = adv_rows(spark, sf).where(F.col("label") == 0)
+    result, _ = search.hill_climb(
+        rows,
+        key="source_row_index",
+        x="x",
+        n=3,
+        margin=lambda v: perturb.surrogate_score(v, 3) - F.col("threshold"),
+        plan=PLAN,
+    )
+    return rounded(search.campaign_stats(result, by=[P]))
+
+
+# C-17, O-04
+@query(f"""WITH m AS (SELECT source_row_index, {P}, epsilon, round(score - threshold, 6) AS base,
+      round(least(1::DOUBLE, score + epsilon * k_score) - threshold, 6) AS fin
+    FROM flows, (VALUES (0.02::DOUBLE), (0.1)) e(epsilon) WHERE label = 0), q AS (SELECT * FROM m WHERE base < 0)
+  SELECT source_row_index, epsilon, 'flip' AS picked_as, fin FROM q WHERE fin >= 0
+  UNION ALL SELECT source_row_index, epsilon, 'near_miss', fin FROM (SELECT *, row_number() OVER (PARTITION BY epsilon
+    ORDER BY fin DESC, source_row_index) AS rn FROM q WHERE fin < 0) WHERE rn <= 200""", ("flows",))
+def hard_negative_select(spark, sf):
+    f = flows(spark, sf).where(F.col("label") == 0)
+    f = f.withColumn("epsilon", F.explode(F.array(F.lit(0.02), F.lit(0.1))))
+    up = F.least(F.lit(1.0), F.col("score") + F.col("epsilon") * F.col("k_score"))
+    f = f.select(
+        "source_row_index",
+        "epsilon",
+        F.round(F.col("score") - F.col("threshold"), 6).alias("base"),
+        F.round(up - F.col("threshold"), 6).alias("fin"),
+    ).withColumn("hit", F.col("fin") >= 0)
+    out = perturb.hard_negatives(
+        f, by=["epsilon"], baseline="base", final="fin", success="hit", key=["source_row_index"], k=200
+    )
+    return out.select("source_row_index", "epsilon", "picked_as", "fin")

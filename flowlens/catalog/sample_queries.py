@@ -26,14 +26,14 @@ def coarse_captures(spark, sf):
     pair = (F.col("protocol_hint") == "bluetooth") & (F.col("label") == 0)
     cap = (
         F.when(single, F.lit("mqtt_all"))
-        .when(pair, F.when(F.col("k") < 10, F.lit("bt_b")).otherwise(F.lit("bt_a")))
+        .when(pair, F.when(F.col("k") < 10, F.lit("bt_e")).otherwise(F.lit("bt_b")))
         .otherwise(F.col("source_relpath"))
     )
     return flows(spark, sf).select("protocol_hint", "label", "source_row_index", cap.alias("cap"))
 
 
 COARSE = """cc AS (SELECT protocol_hint, label, source_row_index, CASE WHEN protocol_hint = 'mqtt' AND label = 0 THEN 'mqtt_all'
-    WHEN protocol_hint = 'bluetooth' AND label = 0 THEN CASE WHEN k < 10 THEN 'bt_b' ELSE 'bt_a' END
+    WHEN protocol_hint = 'bluetooth' AND label = 0 THEN CASE WHEN k < 10 THEN 'bt_e' ELSE 'bt_b' END
     ELSE source_relpath END AS cap FROM flows)"""
 
 

@@ -10,9 +10,10 @@ give the same result, they only decide balance. Tables below ``spark.flowlens.ro
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowlens.plans.small import null_safe_join, pinned
 
@@ -20,6 +21,7 @@ ROWS_PER_BIN = 1_000_000
 MAX_BINS = 1 << 14
 SKETCH_K = 4096
 SKETCH_GROUPS = 64
+HOT_RANGES = 4
 
 
 def _rows_per_bin(df: DataFrame) -> int:
@@ -41,47 +43,71 @@ def array_position(sorted_values: Column, x: Column, size: int, inclusive: bool)
     return F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), jump)
 
 
-def cut_points(df: DataFrame, lead: Column) -> list[float]:
-    """Interior range boundaries for ``lead``; empty when one range is enough.
+def _quantiles(df: DataFrame, by_row: DataFrame) -> dict[object, list[float]]:
+    """Quantile lists of ``(v, g, x)`` rows per ``v``: as many as the row count calls for, none for a small group.
 
-    One narrow scan builds a sketch per group of input partitions, so no task merges more than its share.
+    One narrow scan builds a sketch per group of input partitions, so no task merges more than its share; only one
+    sketch per ``v`` comes back.
     """
-    lead = lead.cast("double")
-    finite = df.select(lead.alias("x"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
-    per_group = finite.groupBy("g").agg(
-        F.count("*").alias("n"),
-        F.kll_sketch_agg_double(
-            F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x")), F.lit(SKETCH_K)
-        ).alias("s"),
+    sketch = F.kll_sketch_agg_double(
+        F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x")), F.lit(SKETCH_K)
     )
-    merged = per_group.agg(F.sum("n").alias("n"), F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s")).first()
-    rows, sketch = merged["n"] or 0, merged["s"]
-    want = -(-rows // _rows_per_bin(df))
-    if want <= 1 or sketch is None:
-        return []
-    bins = 2
-    while bins < want and bins < MAX_BINS:
-        bins *= 2
-    ranks = F.from_json(F.lit(json.dumps([i / bins for i in range(1, bins)])), "array<double>")
-    got = (
-        df.sparkSession.createDataFrame([(sketch,)], "s binary")
-        .select(
-            F.kll_sketch_get_n_double("s").alias("n"),
-            F.transform(ranks, lambda r: F.kll_sketch_get_quantile_double(F.col("s"), r)).alias("q"),
+    parts = by_row.groupBy("v", "g").agg(F.count("*").alias("n"), sketch.alias("s"))
+    merged = parts.groupBy("v").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"))
+    out = {}
+    for row in merged.collect():
+        want = -(-row["n"] // _rows_per_bin(df))
+        if want <= 1 or row["s"] is None:
+            continue
+        bins = 2
+        while bins < want and bins < MAX_BINS:
+            bins *= 2
+        ranks = F.from_json(F.lit(json.dumps([i / bins for i in range(1, bins)])), "array<double>")
+        got = (
+            df.sparkSession.createDataFrame([(row["s"],)], "s binary")
+            .where(F.kll_sketch_get_n_double("s") > 0)
+            .select(F.kll_sketch_get_quantile_double("s", ranks).alias("q"))
+            .first()
         )
-        .where("n > 0")
-        .first()
-    )
-    return sorted(set(got["q"])) if got else []
+        if got:
+            out[row["v"]] = sorted(got["q"])
+    return out
+
+
+def _literal(values: list) -> Column:
+    kind = "array<array<double>>" if values and isinstance(values[0], list) else "array<double>"
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def with_range(df: DataFrame, lead: Column, name: str = "__bin") -> DataFrame:
-    """Add the range number of ``lead``: non-decreasing in ``lead``, NULL first."""
-    cuts = cut_points(df, lead)
+def with_range(df: DataFrame, keys: Sequence[Column], name: str = "__bin") -> DataFrame:
+    """Add a range number that never decreases along ``keys``: NULL first, small tables get a single range.
+
+    Every cut value is a range of its own, so a value that many rows share is isolated; when it alone would overload
+    a task it is cut again along the second key.
+    """
+    lead = keys[0].cast("double")
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
+    found = _quantiles(df, df.select(F.lit(0).alias("v"), group, lead.alias("x"))).get(0, [])
+    repeats = Counter(found)
+    cuts = sorted(repeats)
     if not cuts:
-        return df.withColumn(name, F.lit(0))
-    bounds = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-    return df.withColumn(name, array_position(bounds, lead.cast("double"), len(cuts), inclusive=False))
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    bounds = _literal(cuts)
+    at = array_position(bounds, lead, len(cuts), inclusive=False)
+    upto = array_position(bounds, lead, len(cuts), inclusive=True)
+    number = (at + upto).cast("bigint")
+    shared = sorted(v for v in cuts if repeats[v] >= max(HOT_RANGES, len(found) // 256))
+    if shared and len(keys) > 1 and isinstance(df.select(keys[1].alias("k")).schema["k"].dataType, T.NumericType):
+        second = keys[1].cast("double")
+        hot = df.select(lead.alias("v"), group, second.alias("x")).where(F.col("v").isin(shared))
+        inner = {v: sorted(set(q)) for v, q in _quantiles(df, hot).items()}
+        if inner:
+            values = sorted(inner)
+            slot = array_position(_literal(values), lead, len(values), inclusive=True) - F.lit(1)
+            own = F.when(lead.isin(values), F.get(_literal([inner[v] for v in values]), slot))
+            sub = array_position(own, second, max(len(q) for q in inner.values()), inclusive=False)
+            number = number * F.lit(2 * MAX_BINS) + F.coalesce(sub, F.lit(0))
+    return df.withColumn(name, number)
 
 
 def _ascending(order: Sequence[Column | str]) -> list[Column]:
@@ -110,7 +136,7 @@ def running_totals(
     """
     keys = _ascending(order)
     values = {k: (F.col(v) if isinstance(v, str) else v) for k, v in totals.items()}
-    binned = with_range(df, keys[0])
+    binned = with_range(df, keys)
     offsets = _offsets(binned, by, values)
     joined = null_safe_join(binned, offsets, [*by, "__bin"])
     inside = Window.partitionBy(*by, "__bin").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -122,7 +148,7 @@ def running_totals(
 def rank_rows(df: DataFrame, by: list[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """``row_number()`` over (partition by ``by`` order by ``order``), spread over the ranges of the leading key."""
     keys = _ascending(order)
-    binned = with_range(df, keys[0])
+    binned = with_range(df, keys)
     offsets = _offsets(binned, by, {"n": F.lit(1)})
     joined = null_safe_join(binned, offsets, [*by, "__bin"])
     inside = Window.partitionBy(*by, "__bin").orderBy(*keys)
@@ -153,7 +179,7 @@ def order_cutoffs(df: DataFrame, by: list[str], order: Sequence[Column | str], t
     keys = _ascending(order)
     narrow = df.select(*by, *[k.alias(f"__o{i}") for i, k in enumerate(keys)])
     names = [f"__o{i}" for i in range(len(keys))]
-    binned = with_range(narrow, F.col("__o0"))
+    binned = with_range(narrow, [F.col(n) for n in names])
     counts = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__n"))
     upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = null_safe_join(
