@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.coerce import is_finite
 from flowlens.operators.profile import long_features
 from flowlens.plans.ordered import exact_quantiles
-from flowlens.plans.small import null_safe_join, pinned
+from flowlens.plans.small import null_safe_join, once_per_row, pinned
 
 ROLES = ("min", "avg", "max", "tot_sum", "number", "srate", "drate", "rate")
 
@@ -170,6 +170,16 @@ def attach_profile(df: DataFrame, profile: DataFrame, *, by: str) -> DataFrame:
     return null_safe_join(df, pinned(profile), [by])
 
 
+def let(x: Column, fn) -> Column:
+    """Bind a value inside a row, so that later steps refer to it without repeating its expression."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def let2(x: Column, y: Column, fn) -> Column:
+    """Bind two values inside a row."""
+    return let(F.struct(x.alias("a"), y.alias("b")), lambda s: fn(s["a"], s["b"]))
+
+
 def vector(features: list[str]) -> Column:
     return F.array(*[F.col(f"`{f}`").cast("double") for f in features])
 
@@ -187,38 +197,42 @@ def each(n: int, fn) -> Column:
 def max_delta(x0: Column, n: int, eps: Column | float) -> Column:
     """Largest allowed move per feature: eps * span, limited by the relative cap, 0 when locked."""
     e = eps if isinstance(eps, Column) else F.lit(float(max(0.0, eps)))
-    return each(
-        n,
-        lambda i: F.when(F.get("p_locked", i), F.lit(0.0)).otherwise(
-            F.least(e * F.get("p_span", i), F.get("p_cap", i) * F.greatest(F.abs(F.get(x0, i)), F.lit(1.0)))
-        ),
-    )
+
+    def caps(v: Column) -> Column:
+        return each(
+            n,
+            lambda i: F.when(F.get("p_locked", i), F.lit(0.0)).otherwise(
+                F.least(e * F.get("p_span", i), F.get("p_cap", i) * F.greatest(F.abs(F.get(v, i)), F.lit(1.0)))
+            ),
+        )
+
+    return let(x0, caps)
+
+
+def _inside(v: Column, i: Column) -> Column:
+    return F.least(F.greatest(F.get(v, i), F.get("p_lower", i)), F.get("p_upper", i))
 
 
 def project_bounds(x: Column, x0: Column, n: int) -> Column:
     """Clip to the bounds; locked features return to their original value."""
-    return each(
-        n,
-        lambda i: F.when(F.get("p_locked", i), F.get(x0, i)).otherwise(
-            F.least(F.greatest(F.get(x, i), F.get("p_lower", i)), F.get("p_upper", i))
-        ),
+    return let2(
+        x, x0, lambda v, o: each(n, lambda i: F.when(F.get("p_locked", i), F.get(o, i)).otherwise(_inside(v, i)))
     )
 
 
 def project_capped(x: Column, x0: Column, cap: Column, n: int) -> Column:
-    """Clip to the bounds, then to ``x0 +- cap``; locked features stay."""
+    """Clip to the bounds, then to ``x0 +- cap``; locked features stay. ``cap`` must be a stored column."""
 
-    def one(i: Column) -> Column:
-        inside = F.least(F.greatest(F.get(x, i), F.get("p_lower", i)), F.get("p_upper", i))
-        move = F.least(F.greatest(inside - F.get(x0, i), -F.get(cap, i)), F.get(cap, i))
-        return F.when(F.get("p_locked", i), F.get(x0, i)).otherwise(F.get(x0, i) + move)
+    def one(v: Column, o: Column, i: Column) -> Column:
+        move = F.least(F.greatest(_inside(v, i) - F.get(o, i), -F.get(cap, i)), F.get(cap, i))
+        return F.when(F.get("p_locked", i), F.get(o, i)).otherwise(F.get(o, i) + move)
 
-    return each(n, one)
+    return let2(x, x0, lambda v, o: each(n, lambda i: one(v, o, i)))
 
 
-def relation_flags(x: Column, index: dict[str, int], tol: float = 1e-6) -> dict[str, Column]:
-    """Which relations a feature array breaks; ``index`` maps roles to positions."""
-    g = {r: F.get(x, F.lit(i)) for r, i in index.items()}
+def relation_flags(x: Column | list[Column], index: dict[str, int], tol: float = 1e-6) -> dict[str, Column]:
+    """Which relations a feature vector breaks; ``index`` maps roles to positions."""
+    g = {r: x[i] if isinstance(x, list) else F.get(x, F.lit(i)) for r, i in index.items()}
     no = F.lit(False)
     flags = {"min_avg_max": no, "tot_num_avg": no, "rate_ratio": no}
     if {"min", "avg", "max"} <= set(index):
@@ -237,114 +251,131 @@ def relation_flags(x: Column, index: dict[str, int], tol: float = 1e-6) -> dict[
     return flags
 
 
-def _put(df: DataFrame, arr: str, changes: dict[int, Column], n: int) -> DataFrame:
-    return df.withColumn(
-        arr, F.array(*[changes.get(i, F.get(F.col(arr), F.lit(i))) for i in range(n)])
-    )
+def _repairs(v: list[Column], free: list[Column], index: dict[str, int]) -> list:
+    """The repair steps in order; each maps the current values to the changed ones by position."""
 
-
-def repair_relations(df: DataFrame, arr: str, index: dict[str, int], n: int) -> DataFrame:
-    """One pass over the relations, changing only unlocked features: order of min, average and max, then each ratio
-    is pulled back into its band through the first unlocked term."""
-    at = lambda r: F.get(F.col(arr), F.lit(index[r]))
-    free = lambda r: ~F.get("p_locked", F.lit(index[r]))
-    if {"min", "avg", "max"} <= set(index):
-        lo, hi = at("min"), at("max")
-        crossed = lo > hi
+    def uncross(v: list[Column]) -> dict[int, Column]:
+        lo, hi = v[index["min"]], v[index["max"]]
+        f_lo, f_hi = free[index["min"]], free[index["max"]]
         mid = F.lit(0.5) * (lo + hi)
-        both = free("min") & free("max")
-        df = _put(
-            df,
-            arr,
-            {
-                index["min"]: F.when(crossed & both, mid).when(crossed & free("min"), hi).otherwise(lo),
-                index["max"]: F.when(crossed & both, mid).when(crossed & ~free("min") & free("max"), lo).otherwise(hi),
-            },
-            n,
-        )
-        lo, av, hi = at("min"), at("avg"), at("max")
+        return {
+            index["min"]: F.when(lo <= hi, lo).when(f_lo & f_hi, mid).when(f_lo, hi).otherwise(lo),
+            index["max"]: F.when(lo <= hi, hi).when(f_lo & f_hi, mid).when(~f_lo & f_hi, lo).otherwise(hi),
+        }
+
+    def between(v: list[Column]) -> dict[int, Column]:
+        lo, av, hi = (v[index[r]] for r in ("min", "avg", "max"))
+        f_lo, f_av, f_hi = (free[index[r]] for r in ("min", "avg", "max"))
         under, over = av < lo, (av >= lo) & (av > hi)
-        df = _put(
-            df,
-            arr,
-            {
-                index["avg"]: F.when(under & free("avg"), lo).when(over & free("avg"), hi).otherwise(av),
-                index["min"]: F.when(under & ~free("avg") & free("min"), av).otherwise(lo),
-                index["max"]: F.when(over & ~free("avg") & free("max"), av).otherwise(hi),
-            },
-            n,
-        )
+        return {
+            index["avg"]: F.when(under & f_av, lo).when(over & f_av, hi).otherwise(av),
+            index["min"]: F.when(under & ~f_av & f_lo, av).otherwise(lo),
+            index["max"]: F.when(over & ~f_av & f_hi, av).otherwise(hi),
+        }
+
+    def total_ratio(v: list[Column]) -> dict[int, Column]:
+        tot, num, av = (v[index[r]] for r in ("tot_sum", "number", "avg"))
+        f_tot, f_num, f_av = (free[index[r]] for r in ("tot_sum", "number", "avg"))
+        den, low = num * av, F.col("tot_num_avg_band_low")
+        goal = F.least(F.greatest(tot / den, low), F.col("tot_num_avg_band_high"))
+        on = (den > 1e-9) & low.isNotNull()
+        by_avg = f_av & (num > 1e-9)
+        by_num = ~by_avg & f_num & (av > 1e-9)
+        return {
+            index["tot_sum"]: F.when(on & f_tot, goal * den).otherwise(tot),
+            index["avg"]: F.when(on & ~f_tot & by_avg, tot / (num * goal)).otherwise(av),
+            index["number"]: F.when(on & ~f_tot & by_num, tot / (av * goal)).otherwise(num),
+        }
+
+    def rate_ratio(v: list[Column]) -> dict[int, Column]:
+        s, d, r = (v[index[x]] for x in ("srate", "drate", "rate"))
+        both = free[index["srate"]] & free[index["drate"]]
+        num, low = s + d, F.col("rate_ratio_band_low")
+        goal = F.least(F.greatest(num / r, low), F.col("rate_ratio_band_high"))
+        on = (r > 1e-9) & low.isNotNull()
+        even, scale = F.lit(0.5) * goal * r, goal * r / num
+        return {
+            index["srate"]: F.when(on & both & (num <= 1e-12), even).when(on & both, s * scale).otherwise(s),
+            index["drate"]: F.when(on & both & (num <= 1e-12), even).when(on & both, d * scale).otherwise(d),
+            index["rate"]: F.when(on & ~both & free[index["rate"]] & (goal > 1e-12), num / goal).otherwise(r),
+        }
+
+    steps = []
+    if {"min", "avg", "max"} <= set(index):
+        steps += [uncross, between]
     if {"tot_sum", "number", "avg"} <= set(index):
-        tot, num, av = at("tot_sum"), at("number"), at("avg")
-        den = num * av
-        goal = F.least(F.greatest(tot / den, F.col("tot_num_avg_band_low")), F.col("tot_num_avg_band_high"))
-        on = F.coalesce((den > 1e-9) & goal.isNotNull(), F.lit(False))
-        by_avg = on & ~free("tot_sum") & free("avg") & (num > 1e-9)
-        by_num = on & ~free("tot_sum") & ~(free("avg") & (num > 1e-9)) & free("number") & (av > 1e-9)
-        df = _put(
-            df,
-            arr,
-            {
-                index["tot_sum"]: F.when(on & free("tot_sum"), goal * den).otherwise(tot),
-                index["avg"]: F.when(by_avg, tot / (num * goal)).otherwise(av),
-                index["number"]: F.when(by_num, tot / (av * goal)).otherwise(num),
-            },
-            n,
-        )
+        steps.append(total_ratio)
     if {"srate", "drate", "rate"} <= set(index):
-        s, d, r = at("srate"), at("drate"), at("rate")
-        num = s + d
-        goal = F.least(F.greatest(num / r, F.col("rate_ratio_band_low")), F.col("rate_ratio_band_high"))
-        on = F.coalesce((r > 1e-9) & goal.isNotNull(), F.lit(False))
-        split = on & free("srate") & free("drate")
-        tiny = num <= 1e-12
-        scale = goal * r / num
-        df = _put(
-            df,
-            arr,
-            {
-                index["srate"]: F.when(split & tiny, F.lit(0.5) * goal * r).when(split, s * scale).otherwise(s),
-                index["drate"]: F.when(split & tiny, F.lit(0.5) * goal * r).when(split, d * scale).otherwise(d),
-                index["rate"]: F.when(
-                    on & ~(free("srate") & free("drate")) & free("rate") & (goal > 1e-12), num / goal
-                ).otherwise(r),
-            },
-            n,
-        )
-    return df
+        steps.append(rate_ratio)
+    return steps
 
 
 def satisfies(x: Column, x0: Column, cap: Column, index: dict[str, int], n: int, tol: float = 1e-6) -> Column:
-    """Inside bounds, caps, locks and relations."""
-
-    def ok(i: Column) -> Column:
-        v, o = F.get(x, i), F.get(x0, i)
-        return (
-            (v >= F.get("p_lower", i) - tol)
-            & (v <= F.get("p_upper", i) + tol)
-            & (F.abs(v - o) <= F.get(cap, i) + tol)
-        )
+    """Inside bounds, caps, locks and relations. ``cap`` must be a stored column."""
+
+    def good(x: Column, x0: Column) -> Column:
+        def ok(i: Column) -> Column:
+            v, o = F.get(x, i), F.get(x0, i)
+            return (
+                (v >= F.get("p_lower", i) - tol)
+                & (v <= F.get("p_upper", i) + tol)
+                & (F.abs(v - o) <= F.get(cap, i) + tol)
+            )
+
+        return F.forall(F.sequence(F.lit(0), F.lit(n - 1)), ok) & ~relation_flags(x, index, tol)["any"]
 
-    return F.forall(F.sequence(F.lit(0), F.lit(n - 1)), ok) & ~relation_flags(x, index, tol)["any"]
+    return let2(x, x0, good)
 
 
 def project_row(
     df: DataFrame, *, candidate: str, original: str, reference: str, index: dict[str, int], n: int, eps: float,
     out: str = "projected", rounds: int = 4,
 ) -> DataFrame:
-    """Full projection: clip, repair for a few rounds, and fall back to the last valid point, then to the original."""
+    """Full projection: clip, repair for a few rounds changing only unlocked features, and fall back to the last valid
+    point, then to the original.
+
+    Values are plain columns while they are repaired, stored once per step, so the plan grows linearly in the rounds.
+    """
     x0 = F.col(original)
-    df = df.withColumn("__cap", max_delta(x0, n, eps))
-    df = df.withColumn(out, project_capped(F.col(candidate), x0, F.col("__cap"), n))
+    at = lambda arr, i: F.get(F.col(arr) if isinstance(arr, str) else arr, F.lit(i))
+    orig = [F.col(f"__o{i}") for i in range(n)]
+    cap = [F.col(f"__c{i}") for i in range(n)]
+    value = [F.col(f"__v{i}") for i in range(n)]
+    locked = [at("p_locked", i) for i in range(n)]
+    free = [~c for c in locked]
+
+    def allowance(i: int) -> Column:
+        limit = F.least(F.lit(eps) * at("p_span", i), at("p_cap", i) * F.greatest(F.abs(at(x0, i)), F.lit(1.0)))
+        return F.when(locked[i], F.lit(0.0)).otherwise(limit)
+
+    def clipped(v: Column, i: int) -> Column:
+        inside = F.least(F.greatest(v, at("p_lower", i)), at("p_upper", i))
+        move = F.least(F.greatest(inside - orig[i], -cap[i]), cap[i])
+        return F.when(locked[i], orig[i]).otherwise(orig[i] + move)
+
+    df = once_per_row(
+        df, {**{f"__o{i}": at(x0, i) for i in range(n)}, **{f"__c{i}": allowance(i) for i in range(n)}}
+    )
+    df = once_per_row(df, {f"__v{i}": clipped(at(candidate, i), i) for i in range(n)})
     for _ in range(rounds):
-        df = repair_relations(df, out, index, n)
-        df = df.withColumn(out, project_capped(F.col(out), x0, F.col("__cap"), n))
-    good = satisfies(F.col(out), x0, F.col("__cap"), index, n)
-    fallback = satisfies(F.col(reference), x0, F.col("__cap"), index, n)
-    df = df.withColumn("__ok", good)
-    return df.withColumn(
-        out, F.when(F.col("__ok"), F.col(out)).when(fallback, F.col(reference)).otherwise(x0)
-    ).drop("__cap", "__ok")
+        for step in _repairs(value, free, index):
+            df = once_per_row(df, {f"__v{i}": c for i, c in step(value).items()})
+        df = once_per_row(df, {f"__v{i}": clipped(value[i], i) for i in range(n)})
+
+    def valid(v: list[Column], tol: float = 1e-6) -> Column:
+        ok = ~relation_flags(v, index, tol)["any"]
+        for i in range(n):
+            ok = ok & (v[i] >= at("p_lower", i) - tol) & (v[i] <= at("p_upper", i) + tol)
+            ok = ok & (F.abs(v[i] - orig[i]) <= cap[i] + tol)
+        return ok
+
+    chosen = (
+        F.when(valid(value), F.array(*value))
+        .when(valid([at(reference, i) for i in range(n)]), F.col(reference))
+        .otherwise(x0)
+    )
+    df = once_per_row(df, {out: chosen})
+    return df.drop(*[f"__{k}{i}" for k in "ocv" for i in range(n)])
 
 
 def violation_summary(
@@ -361,7 +392,7 @@ def violation_summary(
     over_cap = F.array_max(F.transform(idx, lambda i: F.abs(F.get(a, i) - F.get(o, i)) - F.get("__cap", i)))
     below = F.size(F.filter(idx, lambda i: ~F.get("p_locked", i) & (F.get(a, i) < F.get("p_lower", i) - 1e-6)))
     above = F.size(F.filter(idx, lambda i: ~F.get("p_locked", i) & (F.get(a, i) > F.get("p_upper", i) + 1e-6)))
-    rows = df.withColumn("__cap", cap)
+    rows = once_per_row(df, {"__cap": cap})
 
     def count(cond: Column) -> Column:
         return F.count(F.when(cond, F.lit(1)))

@@ -11,11 +11,11 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import l2_norm, max_abs, ratio, stable_sigmoid
-from flowlens.operators.constraints import each, project_bounds
+from flowlens.operators.constraints import each, let, project_bounds
 from flowlens.operators.metrics import GLOBAL_SCOPE, worst_case
 from flowlens.operators.score import LinearModel, by_protocol
 from flowlens.plans.ordered import array_position, best_row, exact_quantiles, first_k
-from flowlens.plans.small import null_safe_join, pinned
+from flowlens.plans.small import null_safe_join, once_per_row, pinned
 
 
 def attach_surrogate(df: DataFrame, models: dict[str, LinearModel], features: list[str], *, by: str) -> DataFrame:
@@ -25,22 +25,26 @@ def attach_surrogate(df: DataFrame, models: dict[str, LinearModel], features: li
         return {p: F.array(*[F.lit(float(get(m, f))) for f in features]) for p, m in models.items()}
 
     key = F.col(by)
-    return df.withColumns(
+    return once_per_row(
+        df,
         {
             "s_w": by_protocol(key, arr(lambda m, f: m.weights.get(f, 0.0))),
             "s_mean": by_protocol(key, arr(lambda m, f: m.mean.get(f, 0.0))),
             "s_std": by_protocol(key, arr(lambda m, f: m.std.get(f, 1.0))),
             "s_b": by_protocol(key, {p: F.lit(float(m.bias)) for p, m in models.items()}),
-        }
+        },
     )
 
 
 def surrogate_logit(x: Column, n: int) -> Column:
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        F.col("s_b"),
-        lambda acc, i: acc + F.get("s_w", i) * (F.get(x, i) - F.get("s_mean", i)) / F.get("s_std", i),
-    )
+    def total(v: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            F.col("s_b"),
+            lambda acc, i: acc + F.get("s_w", i) * (F.get(v, i) - F.get("s_mean", i)) / F.get("s_std", i),
+        )
+
+    return let(x, total)
 
 
 def surrogate_score(x: Column, n: int) -> Column:
@@ -57,10 +61,8 @@ def shift_fgsm(x: Column, n: int, eps: float) -> Column:
     if eps <= 0:
         return x
     p = surrogate_score(x, n)
-    moved = F.transform(
-        F.array(p), lambda q: each(n, lambda i: F.get(x, i) + F.lit(float(eps)) * F.get("s_std", i) * _step(q, i))
-    )
-    return project_bounds(F.get(moved, F.lit(0)), x, n)
+    moved = let(p, lambda q: each(n, lambda i: F.get(x, i) + F.lit(float(eps)) * F.get("s_std", i) * _step(q, i)))
+    return project_bounds(moved, x, n)
 
 
 def shift_pgd(x: Column, n: int, eps: float, steps: int = 10, alpha_ratio: float = 0.25) -> Column:
@@ -79,7 +81,7 @@ def shift_pgd(x: Column, n: int, eps: float, steps: int = 10, alpha_ratio: float
 
             return project_bounds(each(n, one), x, n)
 
-        return F.get(F.transform(F.array(surrogate_score(acc, n)), moved), F.lit(0))
+        return let(surrogate_score(acc, n), moved)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, once)
 
@@ -109,7 +111,7 @@ def scenario_scores(
 ) -> DataFrame:
     """Add ``scores``: one value per scenario. Benign rows keep their clean score."""
     col = F.col(x)
-    df = df.withColumn("clean_score", score(col, n))
+    df = once_per_row(df, {"clean_score": score(col, n)})
     cells = []
     for method, eps in scenarios:
         if method == "baseline" or eps <= 0:
@@ -117,7 +119,7 @@ def scenario_scores(
         else:
             attacked = score(SHIFTS[method](col, n, eps), n)
             cells.append(F.when(F.col(label) == 1, attacked).otherwise(F.col("clean_score")))
-    return df.withColumn("scores", F.array(*cells))
+    return once_per_row(df, {"scores": F.array(*cells)})
 
 
 def _scenario_rows(scenarios: list[tuple[str, float]], cells: list[Column]) -> Column:
@@ -186,11 +188,11 @@ def scenario_metrics(counts: DataFrame, *, by: str) -> DataFrame:
 def perturbation_stats(df: DataFrame, *, x: str, adv: str, n: int, by: list[str]) -> DataFrame:
     """Mean, median and 95th percentile of the size of the moves: cells changed, L2, Linf, and both per span."""
     delta = each(n, lambda i: F.get(F.col(adv), i) - F.get(F.col(x), i))
-    rows = df.withColumn("__d", delta)
+    rows = once_per_row(df, {"__d": delta})
     scaled = each(
         n, lambda i: F.get("__d", i) / F.when(F.get("p_span", i) > 1e-12, F.get("p_span", i)).otherwise(F.lit(1.0))
     )
-    rows = rows.withColumn("__s", scaled)
+    rows = once_per_row(rows, {"__s": scaled})
     measures = {
         "l0": F.size(F.filter("__d", lambda v: F.abs(v) > 1e-12)).cast("double"),
         "l2": l2_norm("__d"),

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.operators.constraints import each, max_delta, project_capped, satisfies
+from flowlens.operators.constraints import each, let, max_delta, project_capped, satisfies
 from flowlens.plans.ordered import exact_quantiles
-from flowlens.plans.small import cut_lineage, null_safe_join
+from flowlens.plans.small import cut_lineage, null_safe_join, once_per_row
 
 
 @dataclass(frozen=True)
@@ -48,14 +48,15 @@ def _proposal(key: Column, step: int, cand: Column, n: int, plan: SearchPlan) ->
     chosen = F.transform(F.slice(order, F.lit(1), width), lambda s: s["i"])
     towards = -1.0 if plan.objective == "minimize" else 1.0
 
-    def moved(i: Column) -> Column:
+    def moved(chosen: Column, i: Column) -> Column:
         size = F.lit(0.35) + F.lit(0.65) * _unit(key, salt, cand, i, F.lit("size"))
         sign = F.when(_unit(key, salt, cand, i, F.lit("sign")) < 0.65, F.lit(towards)).otherwise(F.lit(-towards))
         return F.get("x_cur", i) + F.when(F.array_contains(chosen, i), sign * size * F.get("__cap", i)).otherwise(
             F.lit(0.0)
         )
 
-    return project_capped(each(n, moved), F.col("x0"), F.col("__cap"), n)
+    proposal = let(chosen, lambda c: each(n, lambda i: moved(c, i)))
+    return project_capped(proposal, F.col("x0"), F.col("__cap"), n)
 
 
 def hill_climb(
@@ -114,8 +115,8 @@ def hill_climb(
                 F.struct(signed(F.col("margin")).alias("m"), F.col("x_cur").alias("x"))
             ),
         )
-        stepped = stepped.withColumn("__scored", F.when(F.col("__active"), scored))
-        stepped = stepped.withColumn("__best", F.array_min(valid))
+        stepped = once_per_row(stepped, {"__scored": F.when(F.col("__active"), scored)})
+        stepped = once_per_row(stepped, {"__best": F.array_min(valid)})
         better = F.col("__active") & F.coalesce(F.col("__best.m") < signed(F.col("margin")) - 1e-9, F.lit(False))
         stepped = stepped.withColumn("__better", better)
         new_margin = F.when(F.col("__better"), signed(F.col("__best.m"))).otherwise(F.col("margin"))

@@ -43,6 +43,17 @@ def small_enough(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
     return df
 
 
+def once_per_row(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    Spark may inline a projected column into every place that uses it, also into the body of a higher-order function,
+    where it would be evaluated per element. A one-element generator keeps the values apart.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    cells = F.struct(*[v.alias(k) for k, v in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(cells)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a scratch folder in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
