@@ -1 +1,225 @@
-""""""
+"""Contributions, stumps, blends, reports, and Spark ML classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.catalog.base import FEATURES, MODELS, THRESHOLDS, flows, line_flows, points_ctes, query, rounded
+from flowlens.functions.coerce import classify_outcome
+from flowlens.operators import models as M, reports, score
+from flowlens.operators.rank_metrics import rank_metrics
+
+P = "protocol_hint"
+
+
+def scored(spark, sf):
+    return score.routed_score(flows(spark, sf), MODELS, THRESHOLDS)
+
+
+CON = """c AS (SELECT *, w_value * value AS c_value, w_k * k AS c_k, w_hr * hr AS c_hr FROM scored),
+  l AS (SELECT source_row_index, protocol_used, 'value' AS feature, c_value AS v FROM c UNION ALL
+    SELECT source_row_index, protocol_used, 'k', c_k FROM c UNION ALL SELECT source_row_index, protocol_used, 'hr', c_hr FROM c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source_row_index ORDER BY abs(v) DESC, feature) AS rn FROM l)"""
+
+
+# L-13, O-05
+@query(f"""WITH {CON} SELECT source_row_index, rn AS place, feature, round(v, 6) AS contribution,
+  CASE WHEN v >= 0 THEN 'attack' ELSE 'benign' END AS direction FROM r WHERE rn <= 2""", ("flows", "scored"))
+def linear_contributions(spark, sf):
+    f = score.contributions(scored(spark, sf), MODELS)
+    f = f.select("source_row_index", F.posexplode(score.top_contributions("contributions", 2)).alias("i", "c"))
+    return rounded(
+        f.select(
+            "source_row_index",
+            (F.col("i") + 1).cast("bigint").alias("place"),
+            "c.feature",
+            "c.contribution",
+            "c.direction",
+        )
+    )
+
+
+# A-34
+@query(f"""WITH {CON} SELECT protocol_used, feature, round(avg(abs(v)), 6) AS mean_abs, round(avg(v), 6) AS mean_signed FROM l
+  GROUP BY 1, 2""", ("flows", "scored"))
+def mean_abs_contribution(spark, sf):
+    return rounded(score.mean_abs_contribution(scored(spark, sf), MODELS))
+
+
+@query(f"""WITH {CON}, m AS (SELECT protocol_used, feature, avg(abs(v)) AS a FROM l GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY protocol_used ORDER BY avg(abs(v)) DESC, feature) <= 20)
+  SELECT feature, round(sum(a), 6) AS importance FROM m GROUP BY 1 ORDER BY sum(a) DESC LIMIT 25""", ("flows", "scored"))
+def overall_importance(spark, sf):
+    return rounded(score.overall_importance(score.mean_abs_contribution(scored(spark, sf), MODELS)))
+
+
+# O-07
+@query(f"""WITH {CON}, m AS (SELECT protocol_used, feature, avg(abs(v)) AS mean_abs, avg(v) AS mean_signed FROM l GROUP BY 1, 2)
+  SELECT protocol_used, feature, round(mean_abs, 6) AS mean_abs, round(mean_signed, 6) AS mean_signed FROM m
+  WHERE mean_signed > 0 AND feature <> 'hr'
+  QUALIFY row_number() OVER (PARTITION BY protocol_used ORDER BY mean_signed DESC, feature) <= 1""", ("flows", "scored"))
+def positive_unlocked_features(spark, sf):
+    m = score.mean_abs_contribution(scored(spark, sf), MODELS)
+    return rounded(score.positive_unlocked_features(m, locked=["hr"], k=1))
+
+
+# L-15
+@query(f"""WITH {CON}, o AS (SELECT source_row_index, protocol_used, CASE WHEN label = 1 AND prediction = 1 THEN 'TP'
+      WHEN label = 0 AND prediction = 0 THEN 'TN' WHEN label = 0 THEN 'FP' ELSE 'FN' END AS outcome FROM scored),
+    k AS (SELECT *, row_number() OVER (PARTITION BY protocol_used, outcome ORDER BY source_row_index) AS n FROM o)
+  SELECT printf('%s_%s_%03d', k.protocol_used, outcome, n) AS case_id, k.source_row_index, r.feature AS top_feature,
+    round(r.v, 6) AS top_contribution FROM k JOIN r ON r.source_row_index = k.source_row_index AND r.rn = 1 WHERE n <= 5""",
+  ("flows", "scored"))
+def case_library(spark, sf):
+    s = scored(spark, sf).withColumn("outcome", classify_outcome("label", "prediction"))
+    lib = reports.case_library(s, MODELS, outcome="outcome", order=["source_row_index"], n=5, top=3)
+    top = F.get("contributions", F.lit(0))
+    return rounded(
+        lib.select(
+            "case_id",
+            "source_row_index",
+            top["feature"].alias("top_feature"),
+            top["contribution"].alias("top_contribution"),
+        )
+    )
+
+
+# L-18: operating-point table
+@query(f"""WITH {points_ctes("flows", P, "score", "Global")}, s AS (SELECT {P} AS scope, label, prediction, threshold FROM flows
+      UNION ALL SELECT 'Global', label, prediction, NULL FROM flows), c AS (SELECT scope, max(threshold) AS threshold,
+      count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+      count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
+    FROM s GROUP BY 1)
+  SELECT c.scope, threshold, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6)
+    AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS fpr,
+    round(roc_auc, 6) AS roc_auc, round(pr_auc_step, 6) AS pr_auc, tp, tn, fp, fn
+  FROM c JOIN ranks ON ranks.scope = c.scope""", ("flows",))
+def protocol_table(spark, sf):
+    return rounded(
+        reports.protocol_table(
+            flows(spark, sf), by=P, label="label", pred="prediction", score="score", threshold="threshold"
+        )
+    )
+
+
+# L-07
+def stump_sql(source: str, features: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT {i} AS o, '{f}' AS feature, {f} AS v, label FROM {source}" for i, f in enumerate(features))
+    return f"""WITH l AS ({long}), t AS (SELECT feature, 0.5::DOUBLE * (avg(v) FILTER (WHERE label = 0)
+      + avg(v) FILTER (WHERE label = 1)) AS threshold FROM l GROUP BY 1),
+    e AS (SELECT l.o, l.feature, t.threshold, avg(CAST((v >= t.threshold) <> (label = 1) AS DOUBLE)) AS err FROM l
+      JOIN t ON t.feature = l.feature GROUP BY 1, 2, 3),
+    b AS (SELECT o * 2 AS tie, feature, threshold, 1 AS polarity, err FROM e UNION ALL
+      SELECT o * 2 + 1, feature, threshold, -1, 1 - err FROM e)
+  SELECT feature, round(threshold, 6) AS threshold, polarity, round(err, 6) AS error FROM b ORDER BY err, tie LIMIT 1"""
+
+
+@query(stump_sql("flows", FEATURES), ("flows",))
+def mean_threshold_stump(spark, sf):
+    return rounded(M.best_stump(flows(spark, sf), features=FEATURES, label="label"))
+
+
+@query(stump_sql("line_flows", ["quantity", "price", "discount", "tax"]), ("line_flows",))
+def line_stump(spark, sf):
+    return rounded(
+        M.best_stump(line_flows(spark, sf), features=["quantity", "price", "discount", "tax"], label="label")
+    )
+
+
+WEIGHTS = [{"score": 1.0, "k_score": 0.0}, {"score": 0.5, "k_score": 0.5}, {"score": 0.25, "k_score": 0.75}]
+
+
+# L-10
+@query(f"""WITH bl AS (SELECT b AS blend, label, w * score + (1 - w) * k_score AS s FROM flows,
+      (VALUES ('0', 1::DOUBLE), ('1', 0.5), ('2', 0.25)) x(b, w)), {points_ctes("bl", "blend", "s")},
+    best AS (SELECT scope, score, tpr, fpr, 2 * tp / (tp + fp + n_pos)::DOUBLE AS f1 FROM rates WHERE fpr <= 0.05::DOUBLE
+      QUALIFY row_number() OVER (PARTITION BY scope ORDER BY 2 * tp / (tp + fp + n_pos)::DOUBLE DESC, score DESC) = 1)
+  SELECT CAST(best.scope AS INTEGER) AS blend_id, round(best.f1, 6) AS val_f1, round(pr_auc_step, 6) AS val_pr_auc,
+    round(best.f1 + 0.05 * pr_auc_step - 0.1 * best.fpr / 0.05, 6) AS objective FROM best JOIN ranks ON ranks.scope = best.scope""",
+  ("flows",))
+def weighted_ensemble(spark, sf):
+    out = M.weighted_ensemble(
+        flows(spark, sf), scores=["score", "k_score"], label="label", weights=WEIGHTS, max_fpr=0.05
+    )
+    return rounded(out.select("blend_id", "val_f1", "val_pr_auc", "objective"))
+
+
+# ---- fitted models: iterative optimisers, so rows only -----------------------------------------------------------------
+
+
+# L-04
+@query()
+def train_logistic(spark, sf):
+    f = flows(spark, sf)
+    fitted = M.train_logistic(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P)
+    s = score.routed_score(f.where(F.col("split") == "test"), fitted, THRESHOLDS)
+    return rounded(rank_metrics(s, by="protocol_used", score="score_attack", label="label"), 3)
+
+
+# L-05, L-14
+@query()
+def train_boosted_trees(spark, sf):
+    f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
+    fitted = M.train_boosted_trees(
+        f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P, rounds=3, depth=3
+    )
+    s = M.score_models(f.where(F.col("split") == "test"), fitted, features=FEATURES, label="label", by=P)
+    auc = rank_metrics(s, by=P, score="score_attack", label="label").withColumnRenamed("scope", "protocol")
+    gains = M.feature_importance(spark, fitted, features=FEATURES)
+    return rounded(gains.join(auc.select("protocol", "roc_auc"), "protocol"), 3)
+
+
+# L-06
+@query()
+def train_mlp(spark, sf):
+    f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
+    f = f.withColumns({c: F.col(c) / F.lit(100.0) for c in FEATURES})
+    fitted = M.train_mlp(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P, hidden=(8,), max_iter=20)
+    s = M.score_models(f.where(F.col("split") == "test"), fitted, features=FEATURES, label="label", by=P)
+    return rounded(rank_metrics(s, by=P, score="score_attack", label="label"), 3)
+
+
+# L-08
+@query()
+def adaboost_stumps(spark, sf):
+    f = flows(spark, sf).select("source_row_index", P, "label", *FEATURES)
+    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=5)
+    s = f.withColumn("score_attack", M.adaboost_score(stumps))
+    return rounded(rank_metrics(s, by=P, score="score_attack", label="label"), 3)
+
+
+# L-09
+@query()
+def tune_trials(spark, sf):
+    f = flows(spark, sf).select(P, "label", "split", *FEATURES)
+    return rounded(
+        M.tune_trials(
+            f.where(F.col("split") == "train"),
+            f.where(F.col("split") == "test"),
+            features=FEATURES,
+            label="label",
+            by=P,
+            max_fpr=0.05,
+            coarse=2,
+            refine=1,
+        ),
+        3,
+    )
+
+
+# L-12
+@query()
+def robust_refit(spark, sf):
+    from flowlens.operators import constraints as C
+
+    f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
+    train, val = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
+    con = C.feature_constraints(train, by=P, features=FEATURES, semantic_locks=["hr"])
+    prof = C.profile_arrays(con, by=P, features=FEATURES, caps={x: 0.5 for x in FEATURES})
+    gates = {"clean_fpr_max": 0.2, "attacked_fpr_max": 0.25, "adv_recall_min": 0.6}
+    return rounded(
+        reports.robust_refit(
+            train, val, prof, features=FEATURES, label="label", by=P, key=["source_row_index"], eps=0.1, gates=gates
+        ),
+        3,
+    )
