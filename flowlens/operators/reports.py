@@ -13,7 +13,7 @@ from flowlens.operators.rank_metrics import rank_metrics
 from flowlens.operators.replay import case_ids
 from flowlens.operators.score import LinearModel, contributions, routed_score, top_contributions
 from flowlens.operators.thresholds import evaluate_grid, gate_candidates, select_gated, threshold_grid
-from flowlens.plans.small import null_safe_join
+from flowlens.plans.small import cut_lineage, null_safe_join
 
 
 def protocol_table(df: DataFrame, *, by: str, label: str, pred: str, score: str, threshold: str) -> DataFrame:
@@ -98,6 +98,7 @@ def robust_refit(
     augmented = weighted_union(
         train.select(*keep), train.select(*keep).limit(0), hard, label=label, w_benign=1.0, w_attack=w_attack
     )
+    augmented = cut_lineage(augmented)  # read many times by the fits below
     final = train_logistic(augmented, features=features, label=label, by=by, weight="weight")
     zero = {p: 0.5 for p in final}
 
@@ -111,5 +112,6 @@ def robust_refit(
         .unionByName(scored(val.where(F.col(label) == 0), "adv_benign"))
         .unionByName(scored(attacked(val.where(F.col(label) == 1), final), "adv_malicious"))
     )
+    pools = cut_lineage(pools)
     grid = threshold_grid(pools, points=grid_points, base=0.5)
     return select_gated(gate_candidates(evaluate_grid(pools, grid, grid_points), **gates))

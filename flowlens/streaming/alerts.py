@@ -42,15 +42,22 @@ def alert_stream(df: DataFrame, models: dict[str, LinearModel], *, keep: list[st
     )
 
 
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a zoned timestamp; a local one is read in the session time zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def tick_rollup(df: DataFrame, *, ts: str, watermark: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Rows, alerts and alert ratio per tumbling window; the watermark bounds the state."""
+    kind = df.schema[ts].dataType
     agg = (
-        df.withWatermark(ts, watermark)
+        _event_time(df, ts)
+        .withWatermark(ts, watermark)
         .groupBy(F.window(ts, width).alias("w"))
         .agg(F.count("*").alias("flows"), F.sum("prediction").alias("alerts"))
     )
     return agg.select(
-        F.col("w.start").alias("tick_start"), "flows", "alerts", (F.col("alerts") / F.col("flows")).alias("alert_ratio")
+        F.col("w.start").cast(kind).alias("tick_start"), "flows", "alerts", (F.col("alerts") / F.col("flows")).alias("alert_ratio")
     )
 
 
@@ -66,7 +73,7 @@ def first_alert_rollup(df: DataFrame, *, order: str) -> DataFrame:
 
 def dedupe_replay(df: DataFrame, *, key: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """Each row identity once, so a restarted replay does not count twice; state is kept for the watermark only."""
-    return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
+    return _event_time(df, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
 
 
 def recent_alerts_sink(path: str, *, order: list[str], cap: int) -> Callable[[DataFrame, int], None]:
