@@ -206,7 +206,7 @@ def clip_sql(src: str, out: str) -> str:
     for f, s in SHORT.items():
         cap = f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
         cols.append(f"{f} + least(greatest(least(greatest({s}, lo_{f}), hi_{f}) - {f}, -({cap})), {cap}) AS {s}")
-    return f"{out} AS (SELECT * REPLACE ({', '.join(cols)}) FROM {src})"
+    return f"{out} AS MATERIALIZED (SELECT * REPLACE ({', '.join(cols)}) FROM {src})"
 
 
 def repair_sql(src: str, out: str) -> str:
@@ -231,7 +231,7 @@ def within_sql(get) -> str:
 
 
 PROJECT_SQL = f"""{RELATED_SQL}, {clip_sql("cnd", "p0")}, {repair_sql("p0", "p1")}, {repair_sql("p1", "p2")},
-  {repair_sql("p2", "p3")}, {repair_sql("p3", "p4")}, fl AS (SELECT *, {flags_sql()} FROM p4),
+  {repair_sql("p2", "p3")}, {repair_sql("p3", "p4")}, fl AS MATERIALIZED (SELECT *, {flags_sql()} FROM p4),
   res AS (SELECT *, NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s)} AS good FROM fl)"""
 
 
@@ -275,6 +275,23 @@ def violation_summary(spark, sf):
     )
 
 
+# X-08: the projection moves nothing further than allowed, and the assertion holds
+@query(f"""WITH {PROJECT_SQL}, fin AS MATERIALIZED (SELECT * EXCLUDE (v1, v2, v3) REPLACE (
+      {", ".join(f"CASE WHEN good THEN {s} ELSE {f} END AS {s}" for f, s in SHORT.items())}) FROM res),
+    fin2 AS MATERIALIZED (SELECT *, {flags_sql()} FROM fin)
+  SELECT {P}, count(*) AS rows, count(*) FILTER (WHERE NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s)}) AS projected_rows,
+    0::BIGINT AS cap_violation_rows FROM fin2 GROUP BY 1""", ("flows",))
+def violation_assertion(spark, sf):
+    n = len(RELATED)
+    rows = cut_lineage(projected(spark, sf).withColumn("x", F.col("projected")))
+    moved = C.violation_summary(rows, x="x", x0="x0", index={}, n=n, eps=EPS, by=[P]).select(P, "cap_violation_rows")
+    C.assert_no_violations(moved)
+    cap = once_per_row(rows, {"cap": C.max_delta(F.col("x0"), n, EPS)})
+    good = C.satisfies(F.col("x"), F.col("x0"), F.col("cap"), ROLE_INDEX, n)
+    agg = cap.groupBy(P).agg(F.count("*").alias("rows"), F.count(F.when(good, 1)).alias("projected_rows"))
+    return agg.join(moved, P)
+
+
 # ---- perturbations ------------------------------------------------------------------------------------------------
 
 
