@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import langid, quality, rules
+from flowlens.llm import langid, quality, rules, simhash
 from flowlens.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query()
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
