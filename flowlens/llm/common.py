@@ -31,6 +31,11 @@ def unit_hash(*columns: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def row_hash(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """A name for a row by its id and text that is there also where the id is null or repeated."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+
+
 def fresh(df: DataFrame, wanted: str) -> str:
     """``wanted``, made longer until no column of ``df`` has that name (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

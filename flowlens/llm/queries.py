@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import langid, quality, rules, simhash
+from flowlens.llm import decontaminate, langid, quality, rules, simhash
 from flowlens.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "n_items", "item_words", "covered_words", "coverage", "tiles")
+
+
 @query()
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

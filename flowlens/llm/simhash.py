@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import whole_text
+from flowlens.llm.common import fresh, row_hash, whole_text
 from flowlens.llm.components import apart, components
 from flowlens.plans.small import cut_lineage
 
@@ -97,33 +97,39 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row: documents whose fingerprints are connected by steps of two bits or less.
+    """``(doc_id, fp, row, component_id, keeper)`` of every row: fingerprints connected by steps of two bits or less.
 
     ``component_id`` is the smallest id reachable, the row's own included (null where no row of the component has an
-    id). Null and empty texts have fingerprint 0 and are linked as any other. Copies collapse to one fingerprint before
-    any search, so that a group of any size costs one entry. Repeated rows get repeated results; other columns are not read.
+    id). ``row`` is a hash of id and text, ``keeper`` that of the component's row with the smallest id. Null and empty texts
+    have fingerprint 0 and are linked as any other. Copies collapse to one fingerprint before any search, so that a group
+    of any size costs one entry. Repeated rows get repeated results; other columns are not read.
     """
-    rows = cut_lineage(docs.select("doc_id", fingerprints(F.col(text)).alias("fp")))
-    prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    rows = cut_lineage(docs.select("doc_id", fingerprints(F.col(text)).alias("fp"), row_hash(text).alias("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    prints = cut_lineage(rows.groupBy("fp").agg(first.alias("first")))
     named = components(links(prints))
     named = prints.join(named, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
+        "fp", "first", F.coalesce("component", "fp").alias("component")
+    )
+    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
+    lowest = lowest.select(apart("component").alias("c"), "lowest")
+    classes = named.join(lowest, F.col("component") == F.col("c")).select(apart("fp").alias("f"), "lowest")
+    return rows.join(classes, F.col("fp") == F.col("f")).select(
+        "doc_id", "fp", "row", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("keeper")
     )
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lowest = lowest.select(apart("component").alias("c"), "component_id")
-    classes = named.join(lowest, F.col("component") == F.col("c")).select(apart("fp").alias("f"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, one row of it if it is repeated.
+def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; all columns pass through.
 
-    A row without an id can't be named as a member of a group and stays. All columns pass through.
+    A component without ids keeps one row. If the row that stays is repeated, one of its equals stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    kept = near_duplicates(docs, text).where("row = keeper").groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     kept = cut_lineage(kept)
-    ids = kept.select(apart("doc_id").alias("__id"))
-    found = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    key = fresh(docs, "__row")
+    found = docs.withColumn(key, row_hash(text)).join(
+        kept.select(apart("row").alias("__kept")), F.col(key) == F.col("__kept"), "left_semi"
+    )
     if not kept.where("copies > 1").isEmpty():
-        found = found.dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where(F.col("doc_id").isNull()))
+        found = found.dropDuplicates([key])
+    return found.drop(key)
