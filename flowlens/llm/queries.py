@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, langid, quality, rules, simhash
-from flowlens.llm.common import fold_of, table
+from flowlens.llm import decontaminate, langid, quality, rules, sharding, simhash, token_output
+from flowlens.llm.common import fold_of, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,20 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_items", "item_words", "covered_words", "coverage", "tiles")
 
 
+@query()
+def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.shuffle_into_shards(table(spark, sf, "documents"), shards=16)
+    return placed.select(
+        "doc_id",
+        sharding.size_of().alias("size"),
+        F.crc32(whole_text()).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query()
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -48,6 +62,12 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op7_token_output(spark: SparkSession, sf: str) -> DataFrame:
+    records = token_output.training_order(table(spark, sf, "documents"))
+    return records.select("doc_id", "seq", "slot", "shard", "offset", "n_tokens", "tokens")
+
+
 @query()
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
