@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, langid, quality, rules, sharding, simhash, token_output
+from flowlens.llm import decontaminate, langid, mixing, quality, rules, sharding, simhash, token_output
 from flowlens.llm.common import fold_of, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,44 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
 def op9_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return rules.quality_rules(docs.select("doc_id", "text")).select("doc_id", "rules.*")
+
+
+@query(
+    r"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))), 1, 15)
+      AS BIGINT) AS key
+  FROM documents),
+sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM rows GROUP BY source),
+ranked AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+    CAST(sum(3 * source_size) OVER upto - 3 * source_size AS BIGINT) AS most_before,
+    CAST(sum(weight) OVER () - sum(weight) OVER upto + weight AS BIGINT) AS weight_left
+  FROM sizes
+  WINDOW upto AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS UNBOUNDED PRECEDING)),
+bounded AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) * weight_left <= CAST(total - most_before AS DOUBLE) * weight AS bound
+  FROM ranked),
+targets AS (
+  SELECT source, source_size, CASE WHEN bound THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST((total - coalesce(sum(CASE WHEN bound THEN 3 * source_size END) OVER (), 0)) * weight AS DOUBLE)
+      / CAST(sum(CASE WHEN NOT bound THEN weight END) OVER () AS DOUBLE) END AS target
+  FROM bounded),
+turns AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS turns FROM targets),
+placed AS (
+  SELECT r.*, t.source_size, t.target, t.turns, t.target - t.turns * t.source_size AS goal,
+    CAST(sum(size) OVER (PARTITION BY r.source ORDER BY key) AS BIGINT) AS upto
+  FROM rows r JOIN turns t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  size * (turns + CASE WHEN goal > 0 AND upto * 2 - size <= goal * 2 THEN 1 ELSE 0 END) AS taken
+FROM placed
+"""
+)
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix_table(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
