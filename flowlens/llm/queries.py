@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, langid, mixing, quality, rules, sharding, simhash, token_output
+from flowlens.llm import credentials, decontaminate, langid, mixing, pii, quality, rules, sharding, simhash, token_output
 from flowlens.llm.common import fold_of, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,31 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
+
+
 @query()
 def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "n_items", "item_words", "covered_words", "coverage", "tiles")
 
 
+@query()
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin(credentials.BASE))
+    kinds = F.transform("spans", lambda s: s.kind)
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in credentials.BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(credentials.said(base), 256).alias("base_sha256"),
+        credentials.said(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shuffle_into_shards(table(spark, sf, "documents"), shards=16)
