@@ -5,6 +5,7 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +19,7 @@ MOST = 3  # times a document may be taken
 SEED = "mix"
 KEY_BITS = 60
 MAX_BLOCK_ROWS = 100_000
+WORDS_PER_TASK = 1 << 22
 
 
 def words(text: str = "text") -> Column:
@@ -187,6 +189,9 @@ def mixture(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFr
         order_key(text).alias("key"),
     )
     taken = with_copies(keyed, made).select("doc", "key", F.explode("copies").alias("copy"))
-    order = F.xxhash64(F.lit(SEED), "copy.turn", "key")
-    dealt = taken.withColumn("shard", F.col("copy.shard")).withColumn("order", order).drop("key", "copy")
-    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("order").select("doc.*")
+    total = made.sources.agg(F.sum("target")).first()[0] or 0.0
+    tasks = max(1, math.ceil(total / shards / WORDS_PER_TASK))  # for each shard, ranges of its order
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "copy.turn", "key"), 1)
+    dealt = taken.select("doc", F.col("copy.shard").alias("shard"), order.alias("order"))
+    task = F.col("shard") * tasks + F.shiftright(F.shiftright("order", 33) * tasks, 30)
+    return dealt.repartitionById(shards * tasks, task.cast("int")).sortWithinPartitions("order").select("doc.*")
