@@ -44,7 +44,8 @@ def positions(bucket: Column, start: Column, n: Column, seed: int) -> Column:
                 at += j - i
             yield pd.Series(out)
 
-    return place(bucket, start, n)
+    # what it gives hangs on the order of the rows, so the sort before it must stay
+    return place.asNondeterministic()(bucket, start, n)
 
 
 def shuffle_into_shards(
@@ -73,8 +74,8 @@ def shuffle_into_shards(
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).tolist()
     plan = spark.createDataFrame(list(zip(range(buckets), starts, counts, strict=True)), "b int, start long, n long")
     dealt = keyed.withColumn(bucket, F.expr(f"cast(`{cell}` * {buckets} div {CELLS} as int)"))
-    dealt = dealt.repartitionById(buckets, F.col(bucket)).sortWithinPartitions(bucket, order)
     dealt = dealt.join(F.broadcast(plan), F.col(bucket) == F.col("b"))  # at most CELLS rows
+    dealt = dealt.repartitionById(buckets, F.col(bucket)).sortWithinPartitions(bucket, order)
     placed = dealt.withColumn(where, positions(F.col(bucket), F.col("start"), F.col("n"), seed)).sortWithinPartitions(where)
     shard = F.expr(f"cast(`{where}` * {shards} div {max(1, total)} as int)")
     first = F.expr(f"(`{where}` * {shards} div {max(1, total)} * {total} + {shards - 1}) div {shards}")
