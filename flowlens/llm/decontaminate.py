@@ -126,7 +126,7 @@ def tests_of(benchmark: DataFrame) -> DataFrame:
                 {
                     "test": [xxhash.xxh64_intdigest(tokens[i].tobytes(), 1) >> 1 for i in keep],
                     "item_id": batch["item_id"].iloc[keep].astype("Int64").to_numpy(dtype=object, na_value=None),
-                    "tokens": [tokens[i].view(np.int64) for i in keep],
+                    "tokens": pd.Series([tokens[i].view(np.int64) for i in keep], dtype=object),
                 }
             )
 
