@@ -34,7 +34,51 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_items", "item_words", "covered_words", "coverage", "tiles")
 
 
-@query()
+def secrets_sql() -> str:
+    """Every pair of parts is compared here, where the operator joins cells."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    kinds = "\n  UNION ALL ".join(
+        f"""SELECT doc_id, {rank} AS rank, {quoted(kind)} AS kind, {quoted(role)} AS role, {least} AS least, text,
+    string_split_regex(text, {quoted(regex)}) AS gaps, regexp_extract_all(text, {quoted(regex)}, 0) AS matches,
+    regexp_extract_all(text, {quoted(regex)}, {group}) AS counted FROM texts WHERE regexp_matches(text, {quoted(regex)})"""
+        for rank, (kind, (regex, group, least, role)) in enumerate(credentials.PATTERNS.items(), 1)
+    )
+    base = ", ".join(map(quoted, credentials.BASE))
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({kinds}),
+pieces AS (
+  SELECT doc_id, rank, kind, role, least, unnest(range(len(matches))) AS place,
+    unnest(list_slice(gaps, 1, len(matches))) AS gap, unnest(matches) AS part, unnest(counted) AS counted FROM found),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(part)) OVER (PARTITION BY doc_id, kind ORDER BY place) AS BIGINT) AS stop
+  FROM pieces),
+parts AS (
+  SELECT doc_id, rank, kind, role, stop - length(part) AS start, stop, kind IN ({base}) AS base
+  FROM placed WHERE length(counted) >= least),
+free AS (
+  SELECT * FROM parts p WHERE base OR NOT EXISTS (
+    SELECT 1 FROM parts b WHERE b.base AND b.doc_id = p.doc_id AND b.start < p.stop AND b.stop > p.start)),
+kept AS (
+  SELECT * FROM free p WHERE base OR EXISTS (
+    SELECT 1 FROM free o WHERE o.doc_id = p.doc_id AND abs(o.start - p.start) <= {credentials.SCOPE}
+      AND (o.role = 'secret') <> (p.role = 'secret'))),
+said AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank, stop) FILTER (base) AS base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank, stop) AS spans
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN said USING (doc_id)
+"""
+
+
+@query(secrets_sql())
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = credentials.scan(table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(credentials.BASE))
