@@ -63,8 +63,13 @@ MODELS = {
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
+    return flows_of(table(spark, sf, "events"))
+
+
+def flows_of(events: DataFrame) -> DataFrame:
+    """The flow binding of an events table or stream."""
     kind = F.col("event_type")
-    df = table(spark, sf, "events").select(
+    df = events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_relpath"),
         F.col("event_id").alias("source_row_index"),
         "ts",

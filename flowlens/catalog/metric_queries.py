@@ -90,6 +90,34 @@ def route_unknown(spark, sf):
     )
 
 
+# L-01, L-02: infinite features, some of which cancel to NaN, and protocols in mixed case, without thresholds
+@query("""WITH x AS (SELECT protocol_hint AS protocol_used,
+      CASE WHEN source_row_index % 7 = 0 THEN 'inf'::DOUBLE ELSE value END AS v,
+      CASE WHEN source_row_index % 5 = 0 THEN '-inf'::DOUBLE ELSE k END AS k, hr FROM flows),
+    s AS (SELECT protocol_used, CASE protocol_used
+        WHEN 'wifi' THEN -3.7::DOUBLE + 0.03::DOUBLE * v + 0.05::DOUBLE * k + 0.01::DOUBLE * hr
+        WHEN 'mqtt' THEN -3.5::DOUBLE + 0.025::DOUBLE * v + 0.055::DOUBLE * k + 0.005::DOUBLE * hr
+        ELSE -3.6::DOUBLE + 0.035::DOUBLE * v + 0.045::DOUBLE * k - 0.01::DOUBLE * hr END AS z FROM x)
+  SELECT protocol_used, count(*) AS rows, count(*) FILTER (WHERE isnan(z)) AS not_a_number,
+    count(*) FILTER (WHERE NOT isnan(z) AND z >= 0) AS alerts FROM s GROUP BY 1""", ("flows",))
+def routed_score_not_finite(spark, sf):
+    i, inf = F.col("source_row_index"), F.lit(float("inf"))
+    f = flows(spark, sf).withColumns(
+        {
+            "value": F.when(i % 7 == 0, inf).otherwise(F.col("value")),
+            "k": F.when(i % 5 == 0, -inf).otherwise(F.col("k")),
+            "protocol_hint": F.when(i % 2 == 0, F.upper("protocol_hint")).otherwise(F.concat(F.lit(" "), F.initcap("protocol_hint"))),
+        }
+    )
+    names = {"wifi": "WiFi", "mqtt": "MQTT", "bluetooth": "Bluetooth "}
+    s = routed_score(f, {names[p]: m for p, m in MODELS.items()}, {})
+    return s.groupBy("protocol_used").agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(F.isnan("score_attack"), 1)).alias("not_a_number"),
+        F.count(F.when(F.col("prediction") == 1, 1)).alias("alerts"),
+    )
+
+
 # L-03
 @query("""SELECT protocol_used, count(*) AS rows, round(avg(score_attack), 6) AS mean_score FROM scored
   WHERE protocol_hint IN ('wifi', 'mqtt') GROUP BY 1""", ("flows", "scored"))

@@ -113,6 +113,23 @@ def train_floor(spark, sf):
     return out.select("source_row_index", "is_val")
 
 
+# R-04: the event of the floor
+@query("""WITH s AS (SELECT value >= 20 AS is_val FROM flows WHERE protocol_hint = 'bluetooth' AND label = 0),
+    n AS (SELECT CAST(floor(0.7::DOUBLE * count(*)) AS BIGINT) AS floor, count(*) FILTER (WHERE NOT is_val) AS train,
+      count(*) FILTER (WHERE is_val) AS val FROM s),
+    m AS (SELECT *, greatest(0, least(greatest(0, floor - train), val - 1)) AS moved FROM n)
+  SELECT floor AS floor_target, moved > 0 AS floor_applied, train AS train_rows_before_floor, val AS val_rows_before_floor,
+    train + moved AS train_rows_after_floor, val - moved AS val_rows_after_floor, moved AS rows_moved FROM m""", ("flows",))
+def train_floor_event(spark, sf):
+    f = flows(spark, sf).select(
+        "source_relpath", "source_row_index", "protocol_hint", "label", (F.col("value") >= 20).alias("is_val")
+    )
+    stratum = (F.col("protocol_hint") == "bluetooth") & (F.col("label") == 0)
+    floor = int(0.7 * f.where(stratum).count())
+    out = split.train_floor(f, stratum=stratum, capture="source_relpath", row="source_row_index", floor=floor, seed=SEED)
+    return split.train_floor_event(f, out, stratum=stratum, floor=floor)
+
+
 # R-06
 @query(f"""SELECT source_row_index, label FROM flows
   QUALIFY row_number() OVER (PARTITION BY label ORDER BY {H}, source_row_index) <= 300""", ("flows",))

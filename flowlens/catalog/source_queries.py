@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowlens.catalog.base import (
@@ -20,6 +22,48 @@ from flowlens.plans.small import shared_dir
 from flowlens.sources import readers, sinks
 
 
+def scratch(spark, name):
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# S-01, S-02, S-04: captures with columns in other orders and more of them, found below a URI, merged, both sinks read back
+@query("""WITH c AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'wifi/attacks/csv/train/a' WHEN 1 THEN 'wifi/attacks/csv/test/b'
+      WHEN 2 THEN 'mqtt/profiling/csv/train/c' ELSE 'mqtt/attacks/csv/test/d' END AS capture FROM events)
+  SELECT capture, CASE WHEN contains(capture, '/train/') THEN 'train' ELSE 'test' END AS sink,
+    CAST(contains(capture, '/attacks/') AS INTEGER) AS label,
+    count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(user_id) AS BIGINT) AS users, round(sum(value), 4) AS total,
+    count(*) * (count(*) + 1) // 2 AS row_numbers FROM c GROUP BY 1""")
+def merge_written_captures(spark, sf):
+    src = table(spark, sf, "events").select("event_id", "user_id", "value", F.lit("x").alias("note"))
+    root = scratch(spark, "captures")
+    uri = root if ":" in root else f"file:{root}"
+    layouts = {
+        "wifi/attacks/csv/train/a": ["event_id", "user_id", "value"],
+        "wifi/attacks/csv/test/b": ["value", "note", "event_id", "user_id"],
+        "mqtt/profiling/csv/train/c": ["user_id", "value", "event_id"],
+        "mqtt/attacks/csv/test/d": ["event_id", "user_id", "value", "note"],
+    }
+    for i, (capture, columns) in enumerate(layouts.items()):
+        part = src.where(F.col("event_id") % 4 == i).coalesce(1)  # a capture is one file
+        sinks.write_table(part, f"{root}/{capture}", columns=columns, fmt="csv")
+    found = readers.discover_captures(spark, uri)
+    files = [r["uri"] for r in found.select("uri").collect()]  # a listing
+    rows = readers.read_flows_csv(spark, files, schema=src.drop("note").schema, source="file")
+    rows = rows.withColumn("source_relpath", readers.relative(F.col("file"), uri)).drop("file")
+    merged = readers.merge_captures(rows, path="source_relpath", order=["event_id"])
+    paths = sinks.write_splits(merged, scratch(spark, "merged"), split="assigned_split")
+    both = [spark.read.parquet(p).withColumn("sink", F.lit(s)) for s, p in paths.items()]
+    capture = F.regexp_replace("source_relpath", "/[^/]*$", "").alias("capture")
+    return both[0].unionByName(both[1]).groupBy(capture, "sink", "label").agg(
+        F.count("*").alias("n"),
+        F.sum("event_id").alias("ids"),
+        F.sum("user_id").alias("users"),
+        F.round(F.sum("value"), 4).alias("total"),
+        F.sum("source_row_index").cast("long").alias("row_numbers"),
+    )
+
+
 # S-01
 @query("""SELECT DISTINCT source_relpath FROM capture_rows
   WHERE (list_contains(string_split(lower(source_relpath), '/'), 'attacks')
@@ -35,7 +79,7 @@ def discover_captures(spark, sf):
 def read_flows_csv(spark, sf):
     """Write the events as header CSV to the shared folder and read them back with a declared schema."""
     src = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
-    root = f"{shared_dir(spark).rstrip('/')}/csv-{sinks.replay_key({'sf': sf})}"
+    root = scratch(spark, "csv")
     sinks.write_table(src, root, fmt="csv")
     schema = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").schema
     return readers.read_flows_csv(spark, root, schema=schema)
@@ -101,7 +145,7 @@ def write_dynamic_table(spark, sf):
         F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("discount")
     )
     out = sinks.dynamic_table([a.withColumn("kind", F.lit("orders")), b.withColumn("kind", F.lit("lineitem"))])
-    path = f"{shared_dir(spark).rstrip('/')}/table-{sinks.replay_key({'sf': sf})}"
+    path = scratch(spark, "table")
     sinks.write_table(out, path, partition_by=("kind",))
     return spark.read.parquet(path).select(*out.columns)
 
@@ -112,8 +156,10 @@ def write_dynamic_table(spark, sf):
 def write_json_report(spark, sf):
     g = flows(spark, sf).groupBy("protocol_hint").agg(F.count("*").alias("n"))
     g = g.withColumn("ratio", F.lit(float("nan")))
-    js = sinks.json_report(g)
-    return js.select(F.get_json_object("report", "$.protocol_hint").alias("protocol_hint"), "report")
+    path = scratch(spark, "report")
+    sinks.write_json_report(g, path)
+    js = spark.read.text(path)
+    return js.select(F.get_json_object("value", "$.protocol_hint").alias("protocol_hint"), F.col("value").alias("report"))
 
 
 # S-13

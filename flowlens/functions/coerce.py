@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.numeric import passes
+
 INF = float("inf")
 
 
@@ -62,6 +66,12 @@ def protocol_slug(col: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("unknown"))
 
 
+def slug_text(name: str | None) -> str:
+    """``protocol_slug`` of one name that is known beforehand, such as a model's key."""
+    slug = re.sub(r"[\W_]", "_", (name or "").strip().lower()).strip("_")
+    return slug or "unknown"
+
+
 def default_string(col: Column | str, default: str = "unknown") -> Column:
     return F.coalesce(F.nullif(_trimmed(col), F.lit("")), F.lit(default))
 
@@ -97,7 +107,7 @@ def margin(score: Column | str, threshold: Column | str) -> Column:
 
 def prediction(score: Column | str, threshold: Column | str) -> Column:
     """Inclusive: a score on the threshold is an alert."""
-    return (_c(score) >= _c(threshold)).cast("int")
+    return passes(score, threshold).cast("int")
 
 
 def prediction_label(pred: Column | str) -> Column:

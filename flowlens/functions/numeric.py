@@ -40,7 +40,21 @@ def stable_sigmoid(z: Column | str, bound: float = 40.0) -> Column:
 
 
 def clip(col: Column | str, low: Column | float, high: Column | float) -> Column:
-    return F.least(F.greatest(_c(col), _c(low)), _c(high))
+    """Into ``[low, high]``; NaN stays NaN (Spark orders it above every number)."""
+    c = _c(col)
+    return F.when(F.isnan(c.cast("double")), c).otherwise(F.least(F.greatest(c, _c(low)), _c(high)))
+
+
+def passes(score: Column | str, threshold: Column | str | float) -> Column:
+    """Inclusive comparison of a score with a threshold: NaN passes none, NULL on either side gives NULL."""
+    s = _c(score).cast("double")
+    return ~F.isnan(s) & (s >= _c(threshold))
+
+
+def placeable(score: Column | str) -> Column:
+    """The score for a search among thresholds, with NaN below all of them."""
+    s = _c(score).cast("double")
+    return F.when(F.isnan(s), F.lit(float("-inf"))).otherwise(s)
 
 
 def linear_term(weights: dict[str, float], bias: float = 0.0) -> Column:

@@ -167,7 +167,11 @@ def profile_arrays(
 
 
 def attach_profile(df: DataFrame, profile: DataFrame, *, by: str) -> DataFrame:
-    return null_safe_join(df, pinned(profile), [by])
+    """Add the protocol's profile; a row of a protocol without one stays, with every feature locked."""
+    profile = pinned(profile)
+    width = profile.agg(F.max(F.size("p_locked"))).first()[0] or 0
+    out = null_safe_join(df, profile, [by], "left")
+    return out.withColumn("p_locked", F.coalesce("p_locked", F.array_repeat(F.lit(True), width)))
 
 
 def let(x: Column, fn) -> Column:

@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.numeric import sigmoid
@@ -24,11 +25,14 @@ from flowlens.operators.score import LinearModel
 from flowlens.operators.thresholds import validation_objective
 
 
-def _groups(df: DataFrame, by: str, limit: int = 1000) -> list[str]:
-    rows = df.select(by).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} values of {by}: one model per value is not meant for that")
-    return sorted(r[0] for r in rows)
+def _groups(df: DataFrame, by: str) -> list[str | None]:
+    """The values of ``by``, each of which gets a model; NULL is one, and comes last."""
+    rows = df.select(by).distinct().collect()
+    return sorted((r[0] for r in rows), key=lambda g: (g is None, g or ""))
+
+
+def _of_group(by: str, g: str | None) -> Column:
+    return F.col(by).eqNullSafe(F.lit(g))
 
 
 def train_logistic(
@@ -38,7 +42,7 @@ def train_logistic(
     """One weighted logistic model per group over standardised features; a single-class group gets zero weights."""
     out = {}
     for g in _groups(df, by):
-        part = df.where(F.col(by) == g)
+        part = df.where(_of_group(by, g))
         stats = {r["feature"]: r for r in standardizer(part, features=features, sample=False).collect()}
         mean = {f: float(stats[f]["mean"]) for f in features}
         std = {f: float(stats[f]["std"]) for f in features}
@@ -74,7 +78,7 @@ def train_boosted_trees(
 ) -> dict[str, Model]:
     models = {}
     for g in _groups(df, by):
-        data = _assembled(df.where(F.col(by) == g), features, label, weight)
+        data = _assembled(df.where(_of_group(by, g)), features, label, weight)
         models[g] = GBTClassifier(
             featuresCol="__v", labelCol="__y", weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
         ).fit(data)
@@ -88,7 +92,7 @@ def train_mlp(
     """Multilayer perceptron per group; there is no dropout or batch normalisation in Spark ML."""
     models = {}
     for g in _groups(df, by):
-        data = _assembled(df.where(F.col(by) == g), features, label, None)
+        data = _assembled(df.where(_of_group(by, g)), features, label, None)
         models[g] = MultilayerPerceptronClassifier(
             featuresCol="__v", labelCol="__y", layers=[len(features), *hidden, 2], maxIter=max_iter, seed=seed
         ).fit(data)
@@ -96,17 +100,17 @@ def train_mlp(
 
 
 def score_models(df: DataFrame, models: dict[str, Model], *, features: list[str], label: str, by: str) -> DataFrame:
-    """Attack probability from the model of each row's group."""
+    """Attack probability from the model of each row's group; a row whose group has none stays, with a NULL score."""
     data = _assembled(df, features, label, None)
-    parts = []
+    known = F.lit(False)
+    for g in models:
+        known = known | _of_group(by, g)
+    out = df.where(~known).withColumn("score_attack", F.lit(None).cast("double"))
     for g, model in models.items():
-        scored = model.transform(data.where(F.col(by) == g))
-        parts.append(scored.withColumn("score_attack", F.get(vector_to_array("probability"), F.lit(1))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    drop = [c for c in out.columns if c.startswith("__") or c in ("rawPrediction", "probability", "prediction")]
-    return out.drop(*drop)
+        scored = model.transform(data.where(_of_group(by, g)))
+        scored = scored.withColumn("score_attack", F.get(vector_to_array("probability"), F.lit(1)))
+        out = out.unionByName(scored.select(*df.columns, "score_attack"))
+    return out
 
 
 def feature_importance(spark, models: dict[str, Model], *, features: list[str]) -> DataFrame:
@@ -212,17 +216,17 @@ def tune_trials(
             stage, reg = "coarse", math.exp(rng.uniform(math.log(1e-5), math.log(1e-1)))
         else:
             stage, reg = "refine", min(1e-1, max(1e-6, best[1] * math.exp(rng.uniform(-0.7, 0.7))))
-        try:
+        try:  # a fit that fails is a row of the report, like any other; a wrong column or plan is not
             models = train_logistic(train, features=features, label=label, by=by, reg=reg, max_iter=25)
             cols = {f: F.col(f"`{f}`") for f in features}
             score = F.lit(None).cast("double")
             for g, m in models.items():
-                score = F.when(F.col(by) == g, m.score(cols)).otherwise(score)
+                score = F.when(_of_group(by, g), m.score(cols)).otherwise(score)
             scored = val.select(F.lit(GLOBAL_SCOPE).alias("scope"), F.col(label), score.alias("score"))
             points = roc_points(scored.where(F.col("score").isNotNull()), by="scope", score="score", label=label)
             obj = float(validation_objective(points, max_fpr).first()["objective"])
             status = "ok"
-        except Exception as exc:  # a failed trial is a row of the report, like any other
+        except (ArithmeticError, IllegalArgumentException, ValueError) as exc:
             obj, status = float("nan"), f"failed: {type(exc).__name__}"
         if status == "ok" and (best is None or obj > best[0]):
             best = (obj, reg)

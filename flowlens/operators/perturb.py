@@ -10,7 +10,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.functions.numeric import l2_norm, max_abs, ratio, stable_sigmoid
+from flowlens.functions.numeric import l2_norm, max_abs, passes, placeable, ratio, stable_sigmoid
 from flowlens.operators.constraints import each, let, project_bounds
 from flowlens.operators.metrics import GLOBAL_SCOPE, worst_case
 from flowlens.operators.score import LinearModel, by_protocol
@@ -140,10 +140,10 @@ def scenario_counts(
     def count(cond: Column) -> Column:
         return F.count(F.when(cond, F.lit(1)))
 
-    hit0 = F.get("scores", F.lit(0)) >= thr
+    hit0 = passes(F.get("scores", F.lit(0)), thr)
     aggs, cells = [], []
     for i, _ in enumerate(scenarios):
-        hit = F.get("scores", F.lit(i)) >= thr
+        hit = passes(F.get("scores", F.lit(i)), thr)
         parts = {
             "tp": (y == 1) & hit,
             "tn": (y == 0) & ~hit,
@@ -230,7 +230,7 @@ def threshold_scenario_counts(
     rows = df.select(by, label, F.posexplode("scores").alias("scenario", "score"))
     hist = (
         null_safe_join(rows, grids, [by])
-        .withColumn("idx", array_position(F.col("grid"), F.col("score"), size, inclusive=True))
+        .withColumn("idx", array_position(F.col("grid"), placeable("score"), size, inclusive=True))
         .groupBy(by, "scenario", "idx")
         .agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
     )

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowlens.functions.numeric import passes
 from flowlens.functions.hashing import row_hash
 from flowlens.plans.ordered import first_k, rank_rows, running_totals
 from flowlens.plans.small import null_safe_join, pinned
@@ -57,7 +58,7 @@ def replay_order(
 
 def dynamic_alert(score: str = "score_attack", threshold: str = "threshold", pred: str = "prediction") -> Column:
     """An alert that is not saturated, so its margin still says something."""
-    return (F.col(pred) == 1) & (F.col(score) >= F.col(threshold)) & (F.col(score) < F.lit(SATURATED))
+    return (F.col(pred) == 1) & passes(score, threshold) & (F.col(score) < F.lit(SATURATED))
 
 
 def front_load_alerts(

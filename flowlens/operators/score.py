@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.functions.coerce import direction, protocol_slug
-from flowlens.functions.numeric import linear_term, sigmoid
+from flowlens.functions.coerce import direction, protocol_slug, slug_text
+from flowlens.functions.numeric import linear_term, passes, sigmoid
 from flowlens.plans.ordered import first_k
 from flowlens.plans.small import null_safe_join
 
@@ -39,14 +39,22 @@ class LinearModel:
         return sigmoid(self.logit(cols))
 
 
+def slugged(values: dict[str, object]) -> dict:
+    """The same values under the slugs of their keys, which is how rows name their protocol."""
+    out = {slug_text(k): v for k, v in values.items()}
+    if len(out) != len(values):
+        raise ValueError(f"protocols that differ only in spelling: {sorted(map(str, values))}")
+    return out
+
+
 def default_protocol(protocols: list[str]) -> str:
     return "wifi" if "wifi" in protocols else sorted(protocols)[0]
 
 
 def route(protocol: Column | str, known: list[str], default: str | None = None) -> Column:
     """The protocol whose model scores the row: its own when there is one, else the default."""
-    slug = protocol_slug(protocol)
-    return F.when(slug.isin(known), slug).otherwise(F.lit(default or default_protocol(known)))
+    slug, known = protocol_slug(protocol), [slug_text(k) for k in known]
+    return F.when(slug.isin(known), slug).otherwise(F.lit(slug_text(default) if default else default_protocol(known)))
 
 
 def by_protocol(protocol: Column, values: dict[str, Column], default: Column | None = None) -> Column:
@@ -92,23 +100,27 @@ def routed_score(
     protocol: str = "protocol_hint",
     default: str | None = None,
 ) -> DataFrame:
-    """Add ``protocol_used, score_attack, threshold, prediction, margin, abs_margin``; a projection, no shuffle."""
+    """Add ``protocol_used, score_attack, threshold, prediction, margin, abs_margin``; a projection, no shuffle.
+
+    Models and thresholds are looked up by the slug of their protocol; one without a threshold gets 0.5.
+    """
+    models, thresholds = slugged(models), slugged(thresholds)
     cols = {f: F.col(f"`{f}`") for m in models.values() for f in m.weights}
     out = df.withColumn("protocol_used", route(protocol, list(models), default))
     used = F.col("protocol_used")
     out = out.withColumns(
         {
             "score_attack": by_protocol(used, {p: m.score(cols) for p, m in models.items()}),
-            "threshold": F.coalesce(
-                by_protocol(used, {p: F.lit(float(t)) for p, t in thresholds.items()}), F.lit(0.5)
-            ),
+            "threshold": by_protocol(used, {p: F.lit(float(t)) for p, t in thresholds.items()}, F.lit(0.5))
+            if thresholds
+            else F.lit(0.5),
         }
     )
     return with_margin(out)
 
 
 def with_margin(df: DataFrame, score: str = "score_attack") -> DataFrame:
-    out = df.withColumn("prediction", (F.col(score) >= F.col("threshold")).cast("int"))
+    out = df.withColumn("prediction", passes(score, "threshold").cast("int"))
     out = out.withColumn("margin", F.col(score) - F.col("threshold"))
     return out.withColumn("abs_margin", F.abs("margin"))
 
@@ -117,11 +129,13 @@ def routed_score_strict(
     df: DataFrame, models: dict[str, LinearModel], thresholds: dict[str, float], *, protocol: str = "protocol_hint"
 ) -> DataFrame:
     """As ``routed_score``, but rows of an unknown protocol are dropped."""
-    return routed_score(df.where(protocol_slug(protocol).isin(list(models))), models, thresholds, protocol=protocol)
+    known = list(slugged(models))
+    return routed_score(df.where(protocol_slug(protocol).isin(known)), models, thresholds, protocol=protocol)
 
 
 def contributions(df: DataFrame, models: dict[str, LinearModel], *, name: str = "contributions") -> DataFrame:
     """Array of ``struct(feature, contribution, abs_contribution, direction)`` per row, largest effect first."""
+    models = slugged(models)
     features = sorted({f for m in models.values() for f in m.weights})
     cells = []
     for f in features:
@@ -151,6 +165,7 @@ def top_contributions(arr: Column | str, n: int) -> Column:
 
 def mean_abs_contribution(df: DataFrame, models: dict[str, LinearModel]) -> DataFrame:
     """Mean absolute contribution per protocol and feature, ranked; a wide aggregate, rows are not multiplied."""
+    models = slugged(models)
     features = sorted({f for m in models.values() for f in m.weights})
     used = F.col("protocol_used")
     aggs = []

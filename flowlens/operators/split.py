@@ -134,10 +134,30 @@ def train_floor(
     touched = (
         null_safe_join(movable, plan, [capture], "left").withColumn(is_val, ~moved).drop("__hit", "cutoff")
     )
-    untouched = df.where(~(F.coalesce(stratum, F.lit(False)) & F.col(is_val)))
+    untouched = df.where(~(F.coalesce(stratum, F.lit(False)) & F.coalesce(F.col(is_val), F.lit(False))))
     return untouched.unionByName(touched.select(*df.columns))
 
 
+def train_floor_event(
+    before: DataFrame, after: DataFrame, *, stratum: Column, floor: int, is_val: str = "is_val"
+) -> DataFrame:
+    """One row about ``train_floor``: the stratum's train and validation rows before and after, and how many moved."""
+
+    def counts(df: DataFrame, when: str) -> DataFrame:
+        mine = F.coalesce(stratum, F.lit(False))
+        return df.agg(
+            F.count(F.when(mine & ~F.col(is_val), F.lit(1))).alias(f"train_rows_{when}_floor"),
+            F.count(F.when(mine & F.col(is_val), F.lit(1))).alias(f"val_rows_{when}_floor"),
+            F.lit(1).alias("one"),
+        )
+
+    both = counts(before, "before").join(counts(after, "after"), "one").drop("one")
+    moved = F.col("train_rows_after_floor") - F.col("train_rows_before_floor")
+    return both.select(
+        F.lit(floor).cast("long").alias("floor_target"), (moved > 0).alias("floor_applied"), "*", moved.alias("rows_moved")
+    )
+
+
 def shared_captures(left: DataFrame, right: DataFrame, *, capture: str) -> DataFrame:
     """Captures present on both sides; the leak check passes when there are none."""
     return left.select(capture).intersect(right.select(capture))

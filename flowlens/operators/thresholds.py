@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.functions.numeric import linspace, ratio
+from flowlens.functions.numeric import linspace, placeable, ratio
 from flowlens.operators.rank_metrics import rank_metrics_from_points, roc_points
 from flowlens.plans.ordered import array_position, best_row
 from flowlens.plans.small import null_safe_join, pinned
@@ -124,7 +124,7 @@ def grid_counts(pools: DataFrame, grid: DataFrame, points: int) -> DataFrame:
 
     ``pools`` is ``(scope, pool, label, score)`` with pool ``clean``, ``adv_benign`` or ``adv_malicious``.
     """
-    pos = array_position(F.col("grid"), F.col("score"), points + 1, inclusive=True)
+    pos = array_position(F.col("grid"), placeable("score"), points + 1, inclusive=True)
     is_clean, is_b, is_m = (F.col("pool") == p for p in ("clean", "adv_benign", "adv_malicious"))
 
     def count(cond: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.paths import is_capture_path, with_path_metadata
@@ -19,31 +23,83 @@ def read_flows_parquet(
 
 
 def read_flows_csv(
-    spark: SparkSession, path: str | list[str], *, schema: T.StructType, columns: list[str] | None = None
+    spark: SparkSession, path: str | list[str], *, schema: T.StructType, columns: list[str] | None = None,
+    source: str | None = None,
 ) -> DataFrame:
-    """Header CSV with a declared schema. A missing column is an error, extra columns are dropped.
+    """Header CSV with a declared schema, columns matched by name in every file.
 
-    Text is kept first and cast leniently, so undecodable or non-numeric cells become NULL instead of failing.
+    A file without one of the columns is an error, extra columns are dropped. Files are grouped by their header (a few
+    layouts, whatever the number of files), as one scan reads one layout. Text is kept first and cast leniently, so
+    undecodable or non-numeric cells become NULL instead of failing. ``source`` names a column for each row's file.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    require_columns(raw.columns, schema.fieldNames())
-    typed = raw.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields],
-        F.col("_metadata.file_path").alias("__file"),
-    ).drop("__file")
+    if source is not None:
+        columns = [*(columns or schema.fieldNames()), source]
+    parts = []
+    for header, files in csv_layouts(spark, path):
+        require_columns(header, schema.fieldNames())
+        raw = spark.read.schema(T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))]))
+        raw = raw.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(files)
+        at = {name: f"_{i}" for i, name in enumerate(header)}
+        cells = [F.col(at[f.name]).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+        parts.append(raw.select(*cells, *([_file().alias(source)] if source else [])))
+    if not parts:
+        empty = spark.createDataFrame([], schema)
+        parts.append(empty.withColumn(source, F.lit(None).cast("string")) if source else empty)
+    typed = reduce(DataFrame.unionByName, parts)
     return typed if columns is None else project_scan(typed, columns)
 
 
+def _file() -> Column:
+    """The file of a row, as it is named in a listing (the metadata column holds it in URI form)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def bare(path: Column) -> Column:
+    """A path without scheme and authority."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+
+
+def relative(path: Column, root: str) -> Column:
+    """The part of a path below ``root``; either may carry a scheme. A path that is not below it comes back whole."""
+    top = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", root)
+    top = re.sub("/+", "/", top).rstrip("/") + "/"
+    plain = F.regexp_replace(bare(path), "/+", "/")
+    return F.when(plain.startswith(top), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
+
+
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """``(header, files)`` for each distinct header line below a path: the first line of every file, read by Spark.
+
+    One row for each layout comes to the driver with the names of its files, as a file listing does. A file's first line is
+    the first row of the task that holds its start.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if not paths:
+        return []
+    start = F.col("_metadata.file_block_start")
+    lines = spark.read.text(paths).select("value", _file().alias("file"), start.alias("block"))
+    first = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    names = []
+    for row in sorted(found, key=lambda r: r["files"][0]):
+        text = row["header"].removeprefix("\ufeff")
+        names.append(([c.strip() for c in next(csv.reader([text]))], row["files"]))
+    return names
+
+
 def discover_captures(spark: SparkSession, root: str, *, exclude: str | None = None) -> DataFrame:
-    """Capture files under a root with their relative path; file names only, no contents are read."""
+    """Capture files under a root (a path or a URI) with their relative path; names only, no contents are read.
+
+    Scheme and authority are taken off both the listing and the root, so that either may carry them.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .load(root)
-        .select(F.regexp_replace("path", r"^file:/+", "/").alias("file_path"), F.col("length").alias("bytes"))
+        .select(bare(F.col("path")).alias("file_path"), F.col("length").alias("bytes"), F.col("path").alias("uri"))
     )
-    rel = F.expr(f"substring(file_path, {len(root.rstrip('/')) + 2})")
+    rel = relative(F.col("file_path"), root)
     out = files.withColumn("source_relpath", rel).where(is_capture_path(rel))
     return out if exclude is None else out.where(~F.col("source_relpath").startswith(exclude))
 

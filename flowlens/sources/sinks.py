@@ -7,6 +7,7 @@ import json
 import math
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -44,7 +45,16 @@ def json_report(df: DataFrame, *, name: str = "report") -> DataFrame:
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    df.select(*[json_safe(c, t) for c, t in df.dtypes]).write.mode("overwrite").json(path)
+    cells = df.select(*[json_safe(c, t) for c, t in df.dtypes])
+    cells.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_splits(df: DataFrame, root: str, *, split: str, fmt: str = "parquet") -> dict[str, str]:
+    """The train and the test sink of a merge: one table for each, without the split column. Returns their paths."""
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in ("train", "test")}
+    for name, path in paths.items():
+        write_table(df.where(F.col(split) == name).drop(split), path, fmt=fmt)
+    return paths
 
 
 def replay_key(params: dict) -> str:
@@ -58,18 +68,29 @@ def replay_key(params: dict) -> str:
 
 
 def input_state(spark: SparkSession, path: str) -> list[list]:
-    """Name, length and modification time of the files behind a path, from the file listing."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted([str(f.getPath()), f.getLen(), f.getModificationTime()] for f in fs.listStatus(hadoop))
+    """Name, length and modification time of all files below a path, from the listing; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = files.select("path", "length", F.unix_micros("modificationTime")).collect()
+    return sorted(list(r) for r in rows)
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def materialize_replay(spark: SparkSession, build, root: str, params: dict, inputs: list[str]) -> DataFrame:
-    """Return the stored replay of these parameters and input files, building and storing it the first time."""
+    """Return the stored replay of these parameters and input files, building and storing it the first time.
+
+    A mark is written when the table is whole, so that one whose writer died is built again.
+    """
     key = replay_key({**params, "__inputs": [input_state(spark, p) for p in inputs]})
     path = f"{root.rstrip('/')}/replay_{key}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _stored(spark, f"{path}/ready"):
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/ready")
+    return spark.read.parquet(f"{path}/rows")

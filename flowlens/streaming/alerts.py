@@ -71,9 +71,13 @@ def first_alert_rollup(df: DataFrame, *, order: str) -> DataFrame:
     return df.where(F.col("prediction") == 1).agg(F.min(order).alias("first_alert"))
 
 
-def dedupe_replay(df: DataFrame, *, key: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
-    """Each row identity once, so a restarted replay does not count twice; state is kept for the watermark only."""
-    return _event_time(df, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
+def dedupe_replay(df: DataFrame, *, key: list[str]) -> DataFrame:
+    """Each row identity once, so a restarted replay does not count twice, however late a row comes.
+
+    A watermark would drop rows that were never seen when they are later than it, so the state holds every key. Its size
+    is that of the keys: use the RocksDB state store for long replays.
+    """
+    return df.dropDuplicates(key)
 
 
 def recent_alerts_sink(path: str, *, order: list[str], cap: int) -> Callable[[DataFrame, int], None]:
@@ -115,6 +119,8 @@ def drain(stream: DataFrame, *, mode: str = "append") -> DataFrame:
 
     query = writer.outputMode(mode).foreachBatch(put).start()
     query.awaitTermination()
+    if not last:  # no input, so no trigger ran
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/{max(last)}")
 
 
@@ -137,4 +143,6 @@ def drain_recent(stream: DataFrame, *, order: list[str], cap: int) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch={max(seen)}")
