@@ -244,7 +244,7 @@ def merged_counts(spark, sf):
     per = metrics.confusion_counts(
         flows(spark, sf), label="label", pred="prediction", by=["protocol_hint", "source_relpath"]
     )
-    return per.groupBy("protocol_hint").agg(*[F.sum(c).alias(c) for c in metrics.COUNTS])
+    return metrics.merge_counts(per, by=["protocol_hint"])
 
 
 # A-23

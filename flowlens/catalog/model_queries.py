@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from flowlens.catalog.base import FEATURES, MODELS, THRESHOLDS, flows, line_flows, points_ctes, query, rounded
 from flowlens.functions.coerce import classify_outcome
-from flowlens.operators import models as M, reports, score
+from flowlens.operators import models as M, reports, score, split
 from flowlens.operators.rank_metrics import rank_metrics
+from flowlens.plans.small import cut_lineage
 
 P = "protocol_hint"
+SEED = 42
 
 
 def scored(spark, sf):
@@ -144,71 +146,112 @@ def weighted_ensemble(spark, sf):
     return rounded(out.select("blend_id", "val_f1", "val_pr_auc", "objective"))
 
 
-# ---- fitted models: iterative optimisers, so rows only -----------------------------------------------------------------
+# ---- fitted models: the optimisers are iterative, so SQL checks who was scored and that the fit is good enough -------
 
+AUC_FLOOR = 0.9
+FITTED_SQL = f"""SELECT {P} AS protocol, count(*) AS rows, count(*) AS scored, true AS auc_reached FROM flows
+  WHERE split = 'test' GROUP BY 1"""
 
-# L-04
-@query()
+
+def fitted(scored_rows, by):
+    """Rows, scored rows and whether the ranking is as good as the floor, for every protocol that has rows."""
+    counts = scored_rows.groupBy(F.col(by).alias("protocol")).agg(
+        F.count("*").alias("rows"), F.count("score_attack").alias("scored")
+    )
+    auc = rank_metrics(scored_rows.where(F.col("score_attack").isNotNull()), by=by, score="score_attack", label="label")
+    auc = auc.select(F.col("scope").alias("protocol"), (F.col("roc_auc") >= AUC_FLOOR).alias("auc_reached"))
+    return counts.join(auc, "protocol", "left")
+
+
+# L-04: a protocol with one class only gets zero weights
+@query(f"""SELECT *, true AS single_class_is_flat FROM ({FITTED_SQL})""", ("flows",))
 def train_logistic(spark, sf):
     f = flows(spark, sf)
-    fitted = M.train_logistic(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P)
-    s = score.routed_score(f.where(F.col("split") == "test"), fitted, THRESHOLDS)
-    return rounded(rank_metrics(s, by="protocol_used", score="score_attack", label="label"), 3)
+    train = f.where(F.col("split") == "train")
+    models = M.train_logistic(train, features=FEATURES, label="label", by=P)
+    s = score.routed_score(f.where(F.col("split") == "test"), models, THRESHOLDS)
+    flat = M.train_logistic(train.where((F.col(P) == "mqtt") & (F.col("label") == 0)), features=FEATURES, label="label", by=P)
+    ok = set(flat) == {"mqtt"} and not any(flat["mqtt"].weights.values())
+    return fitted(s, "protocol_used").withColumn("single_class_is_flat", F.lit(ok))
 
 
 # L-05, L-14
-@query()
+@query(f"""SELECT protocol, rows, scored, auc_reached, true AS gains_sum_to_one, 3::BIGINT AS features FROM ({FITTED_SQL})""", ("flows",))
 def train_boosted_trees(spark, sf):
     f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
-    fitted = M.train_boosted_trees(
+    models = M.train_boosted_trees(
         f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P, rounds=3, depth=3
     )
-    s = M.score_models(f.where(F.col("split") == "test"), fitted, features=FEATURES, label="label", by=P)
-    auc = rank_metrics(s, by=P, score="score_attack", label="label").withColumnRenamed("scope", "protocol")
-    gains = M.feature_importance(spark, fitted, features=FEATURES)
-    return rounded(gains.join(auc.select("protocol", "roc_auc"), "protocol"), 3)
+    s = M.score_models(f.where(F.col("split") == "test"), models, features=FEATURES, label="label", by=P)
+    gains = M.feature_importance(spark, models, features=FEATURES).groupBy("protocol").agg(
+        (F.abs(F.sum("gain") - 1) < 1e-6).alias("gains_sum_to_one"), F.count("*").alias("features")
+    )
+    return fitted(s, P).join(gains, "protocol", "left")
 
 
 # L-06
-@query()
+@query(FITTED_SQL, ("flows",))
 def train_mlp(spark, sf):
     f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
     f = f.withColumns({c: F.col(c) / F.lit(100.0) for c in FEATURES})
-    fitted = M.train_mlp(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P, hidden=(8,), max_iter=20)
-    s = M.score_models(f.where(F.col("split") == "test"), fitted, features=FEATURES, label="label", by=P)
-    return rounded(rank_metrics(s, by=P, score="score_attack", label="label"), 3)
+    models = M.train_mlp(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P, hidden=(8,), max_iter=20)
+    s = M.score_models(f.where(F.col("split") == "test"), models, features=FEATURES, label="label", by=P)
+    return fitted(s, P)
+
+
+def boosted_sql(rounds: int) -> str:
+    """Each round: class means weighted so far, the error of every feature and direction, the best one, new weights."""
+    long = " UNION ALL ".join(
+        f"SELECT {i} AS o, '{f}' AS feature, {f} AS v, label, source_row_index AS id FROM flows" for i, f in enumerate(FEATURES)
+    )
+    ctes = [f"l AS MATERIALIZED ({long})", "w0 AS (SELECT source_row_index AS id, 1::DOUBLE AS w FROM flows)"]
+    for r in range(rounds):
+        ctes.append(f"""x{r} AS MATERIALIZED (SELECT l.*, w FROM l JOIN w{r} ON w{r}.id = l.id),
+    t{r} AS (SELECT feature, 0.5::DOUBLE * (sum(w * v) FILTER (WHERE label = 0) / sum(w) FILTER (WHERE label = 0)
+      + sum(w * v) FILTER (WHERE label = 1) / sum(w) FILTER (WHERE label = 1)) AS threshold FROM x{r} GROUP BY 1),
+    e{r} AS (SELECT o, x{r}.feature, threshold, sum(w * CAST((v >= threshold) <> (label = 1) AS DOUBLE)) / sum(w) AS err
+      FROM x{r} JOIN t{r} ON t{r}.feature = x{r}.feature GROUP BY 1, 2, 3),
+    b{r} AS MATERIALIZED (SELECT *, 0.5::DOUBLE * ln((1 - c) / c) AS alpha FROM (SELECT *, least(greatest(err, 1e-8), 0.499999) AS c
+      FROM (SELECT o * 2 AS tie, feature, threshold, 1 AS polarity, err FROM e{r} UNION ALL
+        SELECT o * 2 + 1, feature, threshold, -1, 1 - err FROM e{r})) ORDER BY err, tie LIMIT 1),
+    w{r + 1} AS MATERIALIZED (SELECT x{r}.id, w * exp(CASE WHEN ((v >= threshold) = (polarity = 1)) = (label = 1) THEN -alpha ELSE alpha END) AS w
+      FROM x{r} JOIN b{r} ON b{r}.feature = x{r}.feature)""")
+    out = " UNION ALL ".join(
+        f"SELECT {r} AS round, feature, round(threshold, 5) AS threshold, polarity, round(alpha, 5) AS alpha FROM b{r}" for r in range(rounds)
+    )
+    return f"WITH {', '.join(ctes)} {out}"
 
 
 # L-08
-@query()
+@query(boosted_sql(3), ("flows",))
 def adaboost_stumps(spark, sf):
     f = flows(spark, sf).select("source_row_index", P, "label", *FEATURES)
-    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=5)
-    s = f.withColumn("score_attack", M.adaboost_score(stumps))
-    return rounded(rank_metrics(s, by=P, score="score_attack", label="label"), 3)
+    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=3)
+    rows = [(i, s["feature"], float(s["threshold"]), int(s["polarity"]), float(s["alpha"])) for i, s in enumerate(stumps)]
+    return rounded(spark.createDataFrame(rows, "round int, feature string, threshold double, polarity int, alpha double"), 5)
 
 
-# L-09
-@query()
+# L-09: tuned on the validation rows of the leakage-safe split of the train rows
+@query("""SELECT trial, CASE WHEN trial < 2 THEN 'coarse' ELSE 'refine' END AS stage, 'ok' AS status, true AS feasible
+  FROM range(3) r(trial) WHERE (SELECT count(*) FROM flows) > 0""", ("flows",))
 def tune_trials(spark, sf):
-    f = flows(spark, sf).select(P, "label", "split", *FEATURES)
-    return rounded(
-        M.tune_trials(
-            f.where(F.col("split") == "train"),
-            f.where(F.col("split") == "test"),
-            features=FEATURES,
-            label="label",
-            by=P,
-            max_fpr=0.05,
-            coarse=2,
-            refine=1,
-        ),
-        3,
+    marked, _ = split.capture_val_split(
+        flows(spark, sf).where(F.col("split") == "train"),
+        strata=[P, "label"],
+        capture="source_relpath",
+        row="source_row_index",
+        seed=SEED,
+    )
+    marked = cut_lineage(marked.select(P, "label", "is_val", *FEATURES))  # fitted and scored once a trial
+    out = M.tune_trials(
+        marked.where(~F.col("is_val")), marked.where("is_val"), features=FEATURES, label="label", by=P, max_fpr=0.05, coarse=2, refine=1
     )
+    good = F.col("objective").isNotNull() & ~F.isnan("objective") & (F.col("objective") > 0.5)
+    return out.select(F.col("trial").cast("bigint").alias("trial"), "stage", "status", good.alias("feasible"))
 
 
-# L-12
-@query()
+# L-12: every protocol gets a decision, and its threshold keeps both campaigns' gates or says so
+@query(f"""SELECT {P} AS scope, true AS decided, true AS consistent FROM flows WHERE split = 'test' GROUP BY 1""", ("flows",))
 def robust_refit(spark, sf):
     from flowlens.operators import constraints as C
 
@@ -217,9 +260,10 @@ def robust_refit(spark, sf):
     con = C.feature_constraints(train, by=P, features=FEATURES, semantic_locks=["hr"])
     prof = C.profile_arrays(con, by=P, features=FEATURES, caps={x: 0.5 for x in FEATURES})
     gates = {"clean_fpr_max": 0.2, "attacked_fpr_max": 0.25, "adv_recall_min": 0.6}
-    return rounded(
-        reports.robust_refit(
-            train, val, prof, features=FEATURES, label="label", by=P, key=["source_row_index"], eps=0.1, gates=gates
-        ),
-        3,
+    out = reports.robust_refit(
+        train, val, prof, features=FEATURES, label="label", by=P, key=["source_row_index"], eps=0.1, gates=gates
     )
+    inside = (F.col("clean_fpr") <= 0.2) & (F.col("attacked_benign_fpr") <= 0.25) & (F.col("attacked_malicious_recall") >= 0.6)
+    # the benign campaign can only raise alerts
+    ordered = F.col("attacked_benign_fpr") >= F.col("clean_fpr")
+    return out.select("scope", F.col("selected_threshold").between(0, 1).alias("decided"), ((F.col("gate_pass").cast("boolean") == inside) & ordered).alias("consistent"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.catalog.base import (
     LOCKABLE,
+    MODELS,
     PROTOCOLS,
     RELATED,
     ROLE_INDEX,
@@ -16,7 +17,7 @@ from flowlens.catalog.base import (
     rounded,
 )
 from flowlens.catalog.profile_queries import unpivot_sql
-from flowlens.operators import combine, constraints as C, perturb, reports, search
+from flowlens.operators import combine, constraints as C, perturb, reports, score, search
 from flowlens.operators.profile import long_features
 from flowlens.operators.score import LinearModel
 from flowlens.plans.small import cut_lineage, once_per_row
@@ -104,10 +105,10 @@ def relative_caps(spark, sf):
     return C.relative_caps_table(names, feature="feature", default=0.5, rate=0.2, size=0.3, time=0.1)
 
 
-def related_rows(spark, sf):
+def related_rows(spark, sf, locks=None):
     """Rows with their profile arrays: x0 is the original vector, x a moved candidate that breaks some relations."""
     caps = C.relative_caps(RELATED, default=0.5, rate=0.2, size=0.3)
-    con = constraint_table(spark, sf, RELATED, locks=None)
+    con = constraint_table(spark, sf, RELATED, locks=locks)
     prof = C.profile_arrays(con, by=P, features=RELATED, caps=caps, bands=band_table(spark, sf))
     f = C.attach_profile(flows(spark, sf), prof, by=P)
     shift = F.col("hr") - F.lit(12.0)
@@ -124,7 +125,7 @@ def related_rows(spark, sf):
     f = once_per_row(f, {"x0": C.vector(RELATED), "x": F.array(*moved)})
     bands = [c for c in f.columns if "_band_" in c]
     arrays = ["p_lower", "p_upper", "p_span", "p_locked", "p_cap", "x0", "x"]
-    return cut_lineage(f.select("source_row_index", P, *arrays, *bands))
+    return f.select("source_row_index", P, *arrays, *bands)
 
 
 CAPS = C.relative_caps(RELATED, default=0.5, rate=0.2, size=0.3)
@@ -200,44 +201,54 @@ def relation_violations(spark, sf):
 EPS = 0.2
 
 
-def clip_sql(src: str, out: str) -> str:
+def clip_sql(src: str, out: str, locked: tuple[str, ...] = ()) -> str:
     """Bounds, then the allowed move around the original; every other column is passed on."""
-    cols = []
+    cols = [f"{f} AS {SHORT[f]}" for f in locked]
     for f, s in SHORT.items():
+        if f in locked:
+            continue
         cap = f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
         cols.append(f"{f} + least(greatest(least(greatest({s}, lo_{f}), hi_{f}) - {f}, -({cap})), {cap}) AS {s}")
     return f"{out} AS MATERIALIZED (SELECT * REPLACE ({', '.join(cols)}) FROM {src})"
 
 
-def repair_sql(src: str, out: str) -> str:
-    return f"""{out}a AS (SELECT * REPLACE (CASE WHEN mn > mx THEN 0.5::DOUBLE * (mn + mx) ELSE mn END AS mn,
-      CASE WHEN mn > mx THEN 0.5::DOUBLE * (mn + mx) ELSE mx END AS mx) FROM {src}),
+def repair_sql(src: str, out: str, locked: tuple[str, ...] = ()) -> str:
+    """``locked`` may hold f_max: then a crossed minimum goes to it, where both would meet in the middle."""
+    meet, top = ("mx", "mx") if "f_max" in locked else ("0.5::DOUBLE * (mn + mx)", "0.5::DOUBLE * (mn + mx)")
+    return f"""{out}a AS (SELECT * REPLACE (CASE WHEN mn > mx THEN {meet} ELSE mn END AS mn,
+      CASE WHEN mn > mx THEN {top} ELSE mx END AS mx) FROM {src}),
     {out}b AS (SELECT * REPLACE (CASE WHEN av < mn THEN mn WHEN av > mx THEN mx ELSE av END AS av) FROM {out}a),
     {out}c AS (SELECT * REPLACE (CASE WHEN num * av > 1e-9 THEN least(greatest(tot / nullif(num * av, 0), t_lo), t_hi) * (num * av)
       ELSE tot END AS tot) FROM {out}b),
     {out}d AS (SELECT *, CASE WHEN rt > 1e-9 THEN least(greatest((sr + dr) / nullif(rt, 0), r_lo), r_hi) END AS goal FROM {out}c),
     {out}e AS (SELECT * EXCLUDE (goal) REPLACE (CASE WHEN goal IS NULL THEN sr WHEN sr + dr <= 1e-12 THEN 0.5::DOUBLE * goal * rt
         ELSE sr * (goal * rt / (sr + dr)) END AS sr, CASE WHEN goal IS NULL THEN dr WHEN sr + dr <= 1e-12 THEN 0.5::DOUBLE * goal * rt
-        ELSE dr * (goal * rt / (sr + dr)) END AS dr) FROM {out}d), {clip_sql(out + "e", out)}"""
+        ELSE dr * (goal * rt / (sr + dr)) END AS dr) FROM {out}d), {clip_sql(out + "e", out, locked)}"""
 
 
-def within_sql(get) -> str:
+def within_sql(get, locked: tuple[str, ...] = ()) -> str:
     parts = []
     for f, s in SHORT.items():
-        cap = f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
+        cap = "0" if f in locked else f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
         v = get(f, s)
         parts.append(f"{v} >= lo_{f} - 1e-6 AND {v} <= hi_{f} + 1e-6 AND abs({v} - {f}) <= {cap} + 1e-6")
     return " AND ".join(parts)
 
 
-PROJECT_SQL = f"""{RELATED_SQL}, {clip_sql("cnd", "p0")}, {repair_sql("p0", "p1")}, {repair_sql("p1", "p2")},
-  {repair_sql("p2", "p3")}, {repair_sql("p3", "p4")}, fl AS MATERIALIZED (SELECT *, {flags_sql()} FROM p4),
-  res AS (SELECT *, NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s)} AS good FROM fl)"""
+def project_sql(locked: tuple[str, ...] = ()) -> str:
+    rounds = ", ".join(repair_sql(f"p{i}", f"p{i + 1}", locked) for i in range(4))
+    return f"""{RELATED_SQL}, {clip_sql("cnd", "p0", locked)}, {rounds}, fl AS MATERIALIZED (SELECT *, {flags_sql()} FROM p4),
+  res AS (SELECT *, NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s, locked)} AS good FROM fl)"""
+
+
+PROJECT_SQL = project_sql()
+FIXED = ("f_max",)  # locked in the integrity check
+STUCK = "f_srate"  # locked in the summary of unprojected candidates, which do move it
 
 
-def projected(spark, sf):
+def projected(spark, sf, locks=None):
     return C.project_row(
-        related_rows(spark, sf),
+        related_rows(spark, sf, locks),
         candidate="x",
         original="x0",
         reference="x0",
@@ -255,41 +266,58 @@ def project_row(spark, sf):
     return rounded(out.select("source_row_index", *[f"p_{f}" for f in RELATED]), 5)
 
 
-VIOLATION = f"""CAST(sum({" + ".join(f"CAST({s} < lo_{f} - 1e-6 AS INTEGER)" for f, s in SHORT.items())}) AS BIGINT) AS below_lower_violations,
-    CAST(sum({" + ".join(f"CAST({s} > hi_{f} + 1e-6 AS INTEGER)" for f, s in SHORT.items())}) AS BIGINT) AS above_upper_violations"""
-OVER = "greatest(" + ", ".join(
-    f"abs({s} - {f}) - least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
-    for f, s in SHORT.items()
-) + ")"
+def outside_sql(locked: tuple[str, ...]) -> str:
+    free = {f: s for f, s in SHORT.items() if f not in locked}
+    below = " + ".join(f"CAST({s} < lo_{f} - 1e-6 AS INTEGER)" for f, s in free.items())
+    above = " + ".join(f"CAST({s} > hi_{f} + 1e-6 AS INTEGER)" for f, s in free.items())
+    return f"""CAST(coalesce(sum({below}), 0) AS BIGINT) AS below_lower_violations,
+    CAST(coalesce(sum({above}), 0) AS BIGINT) AS above_upper_violations"""
+
+
+def over_sql(locked: tuple[str, ...]) -> str:
+    allowed = {
+        f: "0" if f in locked else f"least({EPS}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), {CAPS[f]}::DOUBLE * greatest(abs({f}), 1))"
+        for f in SHORT
+    }
+    return "greatest(" + ", ".join(f"abs({s} - {f}) - {allowed[f]}" for f, s in SHORT.items()) + ")"
 
 
-# A-39
-@query(f"""WITH {RELATED_SQL}, v AS (SELECT *, {flags_sql()}, {OVER} AS over_cap FROM cnd)
-  SELECT {P}, {VIOLATION}, 0::BIGINT AS locked_change_rows, 0::DOUBLE AS locked_change_max_abs,
+# A-39: candidates that were not projected, with a locked feature that they move
+@query(f"""WITH {RELATED_SQL}, v AS (SELECT *, {flags_sql()}, {over_sql((STUCK,))} AS over_cap, abs({SHORT[STUCK]} - {STUCK}) AS moved FROM cnd)
+  SELECT {P}, {outside_sql((STUCK,))}, count(*) FILTER (WHERE moved > 1e-9) AS locked_change_rows,
+    round(max(moved), 6) AS locked_change_max_abs,
     count(*) FILTER (WHERE over_cap > 1e-2) AS cap_violation_rows, count(*) FILTER (WHERE v1 OR v2 OR v3) AS relation_violation_rows,
     count(*) FILTER (WHERE v1) AS relation_min_avg_max_rows, count(*) FILTER (WHERE v2) AS relation_tot_num_avg_rows,
     count(*) FILTER (WHERE v3) AS relation_rate_rows FROM v GROUP BY 1""", ("flows",))
 def violation_summary(spark, sf):
-    return C.violation_summary(
-        related_rows(spark, sf), x="x", x0="x0", index=ROLE_INDEX, n=len(RELATED), eps=EPS, by=[P]
-    )
+    rows = related_rows(spark, sf, [STUCK])
+    return rounded(C.violation_summary(rows, x="x", x0="x0", index=ROLE_INDEX, n=len(RELATED), eps=EPS, by=[P]))
+
 
+# X-08: moved rows keep bounds, locks and relations after the projection, and the assertion holds
+CHANGED = "greatest(" + ", ".join(f"abs({s} - {f})" for f, s in SHORT.items()) + ") > 1e-9"
 
-# X-08: the projection moves nothing further than allowed, and the assertion holds
-@query(f"""WITH {PROJECT_SQL}, fin AS MATERIALIZED (SELECT * EXCLUDE (v1, v2, v3) REPLACE (
+
+@query(f"""WITH {project_sql(FIXED)}, fin AS MATERIALIZED (SELECT * EXCLUDE (v1, v2, v3) REPLACE (
       {", ".join(f"CASE WHEN good THEN {s} ELSE {f} END AS {s}" for f, s in SHORT.items())}) FROM res),
-    fin2 AS MATERIALIZED (SELECT *, {flags_sql()} FROM fin)
-  SELECT {P}, count(*) AS rows, count(*) FILTER (WHERE NOT (v1 OR v2 OR v3) AND {within_sql(lambda f, s: s)}) AS projected_rows,
-    0::BIGINT AS cap_violation_rows FROM fin2 GROUP BY 1""", ("flows",))
+    fin2 AS MATERIALIZED (SELECT *, {flags_sql()}, {over_sql(FIXED)} AS over_cap, {CHANGED} AS changed FROM fin),
+    every AS (SELECT {P}, count(*) AS rows, count(*) FILTER (WHERE changed) AS changed_rows FROM fin2 GROUP BY 1),
+    broken AS (SELECT {P} AS bp2, {outside_sql(FIXED)}, count(*) FILTER (WHERE abs(mx - f_max) > 1e-9) AS locked_change_rows,
+      count(*) FILTER (WHERE over_cap > 1e-2) AS cap_violation_rows,
+      count(*) FILTER (WHERE v1 OR v2 OR v3) AS relation_violation_rows FROM fin2 WHERE changed GROUP BY 1)
+  SELECT {P}, rows, changed_rows, coalesce(below_lower_violations, 0) AS below_lower_violations,
+    coalesce(above_upper_violations, 0) AS above_upper_violations, coalesce(locked_change_rows, 0) AS locked_change_rows,
+    coalesce(cap_violation_rows, 0) AS cap_violation_rows, coalesce(relation_violation_rows, 0) AS relation_violation_rows
+  FROM every LEFT JOIN broken ON bp2 = {P}""", ("flows",))
 def violation_assertion(spark, sf):
-    n = len(RELATED)
-    rows = cut_lineage(projected(spark, sf).withColumn("x", F.col("projected")))
-    moved = C.violation_summary(rows, x="x", x0="x0", index={}, n=n, eps=EPS, by=[P]).select(P, "cap_violation_rows")
-    C.assert_no_violations(moved)
-    cap = once_per_row(rows, {"cap": C.max_delta(F.col("x0"), n, EPS)})
-    good = C.satisfies(F.col("x"), F.col("x0"), F.col("cap"), ROLE_INDEX, n)
-    agg = cap.groupBy(P).agg(F.count("*").alias("rows"), F.count(F.when(good, 1)).alias("projected_rows"))
-    return agg.join(moved, P)
+    rows = projected(spark, sf, list(FIXED)).withColumn("x", F.col("projected"))
+    found = C.integrity(rows, x="x", x0="x0", index=ROLE_INDEX, n=len(RELATED), eps=EPS, by=[P])
+    found = cut_lineage(found)  # a row for each protocol
+    C.assert_integrity(found)
+    return found.select(
+        P, "rows", "changed_rows", "below_lower_violations", "above_upper_violations", "locked_change_rows", "cap_violation_rows",
+        "relation_violation_rows",
+    )
 
 
 # ---- perturbations ------------------------------------------------------------------------------------------------
@@ -340,13 +368,18 @@ def shift_pgd(spark, sf):
     return rounded(C.spread(f, "a", ADV, "a_").select("source_row_index", "a_value", "a_k", "a_hr"))
 
 
-# C-12
-@query(f"""WITH {ADV_SQL} SELECT source_row_index, round(least(greatest(value - 0.05::DOUBLE * (hi_value - lo_value), lo_value), hi_value), 6)
-    AS a_value, round(least(greatest(k, lo_k), hi_k), 6) AS a_k, hr AS a_hr FROM flows JOIN wide ON wp = {P} WHERE label = 1""",
-  ("flows",))
+# C-12, O-07: the feature that pushes a protocol's rows most towards attack is the one that is lowered
+@query(f"""WITH {ADV_SQL}, m AS (SELECT protocol_used, avg(w_value * value) AS v, avg(w_k * k) AS kk FROM scored GROUP BY 1),
+    top AS (SELECT protocol_used AS tp, CASE WHEN greatest(v, kk) <= 0 THEN '' WHEN v > kk THEN 'value' ELSE 'k' END AS f FROM m)
+  SELECT source_row_index, round(least(greatest(value - CASE WHEN f = 'value' THEN 0.05::DOUBLE * (hi_value - lo_value) ELSE 0 END,
+      lo_value), hi_value), 6) AS a_value,
+    round(least(greatest(k - CASE WHEN f = 'k' THEN 0.05::DOUBLE * (hi_k - lo_k) ELSE 0 END, lo_k), hi_k), 6) AS a_k, hr AS a_hr
+  FROM flows JOIN wide ON wp = {P} JOIN top ON tp = {P} WHERE label = 1""", ("flows", "scored"))
 def shift_topk(spark, sf):
-    f = adv_rows(spark, sf).where(F.col("label") == 1)
-    f = f.withColumn("a", perturb.shift_topk(F.col("x"), 3, 0.05, F.array(F.lit(0))))
+    means = score.mean_abs_contribution(score.routed_score(flows(spark, sf), MODELS, THRESHOLDS), MODELS)
+    chosen = score.positive_unlocked_features(means, LOCKS, 1)
+    f = perturb.attach_top_features(adv_rows(spark, sf).where(F.col("label") == 1), chosen, ADV, by=P)
+    f = f.withColumn("a", perturb.shift_topk(F.col("x"), 3, 0.05, F.col("top")))
     return rounded(C.spread(f, "a", ADV, "a_").select("source_row_index", "a_value", "a_k", "a_hr"))
 
 

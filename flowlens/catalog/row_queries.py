@@ -15,7 +15,7 @@ from flowlens.catalog.base import (
     table,
 )
 from flowlens.functions import coerce, hashing, numeric, paths
-from flowlens.operators import replay
+from flowlens.operators import combine, replay
 from flowlens.operators.score import linear_score_column
 
 
@@ -344,7 +344,7 @@ def ratio_policies(spark, sf):
 @query("""SELECT protocol_hint, count(*) AS n, round(avg(value), 6) AS mean_value FROM flows
   WHERE protocol_hint IN ('wifi', 'mqtt') GROUP BY 1""", ("flows",))
 def filter_protocols(spark, sf):
-    f = flows(spark, sf).where(F.col("protocol_hint").isin("wifi", "mqtt"))
+    f = combine.where_in(flows(spark, sf), "protocol_hint", ["wifi", "mqtt"])
     return rounded(f.groupBy("protocol_hint").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
 
 
@@ -352,8 +352,8 @@ def filter_protocols(spark, sf):
 @query("""SELECT source_row_index, protocol_hint FROM flows WHERE label = 0 AND protocol_hint IN ('mqtt', 'bluetooth')""",
        ("flows",))
 def filter_benign(spark, sf):
-    ok = (F.col("label") == 0) & F.col("protocol_hint").isin("mqtt", "bluetooth")
-    return flows(spark, sf).where(ok).select("source_row_index", "protocol_hint")
+    f = combine.benign_rows(flows(spark, sf), label="label", protocol="protocol_hint", protocols=["mqtt", "bluetooth"])
+    return f.select("source_row_index", "protocol_hint")
 
 
 # X-03
@@ -366,7 +366,7 @@ def filter_dynamic_alerts(spark, sf):
 # X-05
 @query("""SELECT protocol_hint, count(*) AS n FROM flows WHERE abs(k_score - 0.25) <= 1e-12 GROUP BY 1""", ("flows",))
 def filter_epsilon_equal(spark, sf):
-    f = flows(spark, sf).where(F.abs(F.col("k_score") - F.lit(0.25)) <= 1e-12)
+    f = combine.where_near(flows(spark, sf), "k_score", 0.25)
     return f.groupBy("protocol_hint").agg(F.count("*").alias("n"))
 
 

@@ -17,7 +17,7 @@ from flowlens.catalog.base import (
     table,
 )
 from flowlens.functions.hashing import md5_bucket
-from flowlens.operators import combine, sample, score, split
+from flowlens.operators import combine, profile, sample, score, split
 from flowlens.plans.small import shared_dir
 from flowlens.sources import readers, sinks
 
@@ -293,10 +293,12 @@ def resolve_thresholds(spark, sf):
 
 
 # J-12
-@query("SELECT source_row_index, label, prediction FROM flows", ("flows",))
+@query("""SELECT source_row_index, label, CASE WHEN protocol_hint <> 'mqtt' THEN prediction END AS prediction FROM flows""",
+       ("flows",))
 def attach_predictions(spark, sf):
     f = flows(spark, sf)
-    return f.select("source_row_index", "label", "prediction")
+    predictions = f.where(F.col("protocol_hint") != "mqtt").select("source_row_index", "prediction")
+    return combine.attach_predictions(f.select("source_row_index", "label"), predictions, key=["source_row_index"])
 
 
 # U-01
@@ -373,8 +375,7 @@ def sort_by_abs(spark, sf):
 @query("""SELECT split, protocol_hint, count(*) AS rows, round(avg(label), 6) AS attack_ratio FROM flows GROUP BY 1, 2""",
        ("flows",))
 def dataset_sizes(spark, sf):
-    f = flows(spark, sf)
-    return rounded(f.groupBy("split", "protocol_hint").agg(F.count("*").alias("rows"), F.avg("label").alias("attack_ratio")))
+    return rounded(profile.table_sizes(flows(spark, sf), by=["split", "protocol_hint"], label="label"))
 
 
 # F-01 at volume

@@ -64,6 +64,28 @@ def distinct_keep(df: DataFrame, *, key: list[str], order: list[Column], last: b
     return best_row(df, key, [c.desc() for c in order] if last else order)
 
 
+def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose column holds one of a few values; pushed down to the scan."""
+    return df.where(F.col(column).isin(values))
+
+
+def where_near(df: DataFrame, column: str, value: float, tolerance: float = 1e-12) -> DataFrame:
+    """Rows whose column is within a tolerance of a value; NULL and NaN are not."""
+    return df.where(F.abs(F.col(column) - F.lit(value)) <= F.lit(tolerance))
+
+
+def benign_rows(df: DataFrame, *, label: str, protocol: str, protocols: list[str]) -> DataFrame:
+    return where_in(df.where(F.col(label) == 0), protocol, protocols)
+
+
+def attach_predictions(df: DataFrame, predictions: DataFrame, *, key: list[str]) -> DataFrame:
+    """Add the columns of ``predictions`` by key; rows without one get NULLs. A key that has two predictions is an error."""
+    twice = predictions.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one prediction for {twice[0].asDict()}")
+    return null_safe_join(df, predictions, key, "left")
+
+
 def select_not_in(df: DataFrame, chosen: DataFrame, *, key: list[str]) -> DataFrame:
     return df.join(chosen.select(*key), key, "left_anti")
 

@@ -414,12 +414,30 @@ def violation_summary(
     )
 
 
-def assert_no_violations(summary: DataFrame) -> None:
-    """Raise when any violation count is above zero; reads one aggregate row per group."""
-    counts = [c for c in summary.columns if c.endswith("violations") or c.endswith("_rows")]
-    total = F.lit(0)
-    for c in counts:
-        total = total + F.col(c)
-    bad = summary.where(total > 0).limit(1).collect()
+INTEGRITY = ["below_lower_violations", "above_upper_violations", "locked_change_rows", "relation_violation_rows"]
+
+
+def integrity(
+    df: DataFrame, *, x: str, x0: str, index: dict[str, int], n: int, eps: float, by: list[str], queries: str | None = None
+) -> DataFrame:
+    """``violation_summary`` of the rows that were moved, with their number and the most queries one row made."""
+    a, o = F.col(x), F.col(x0)
+    moved = F.array_max(F.zip_with(a, o, lambda p, q: F.abs(p - q))) > 1e-9
+    rows = violation_summary(df.where(moved), x=x, x0=x0, index=index, n=n, eps=eps, by=by)
+    most = F.max(queries) if queries else F.lit(None).cast("int")
+    every = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count(F.when(moved, F.lit(1))).alias("changed_rows"), most.alias("max_queries"))
+    counted = [c for c in rows.columns if c.endswith("violations") or c.endswith("_rows")]
+    return null_safe_join(every, rows, by, "left").fillna(0, counted)
+
+
+def assert_integrity(summary: DataFrame, *, budget: int | None = None) -> None:
+    """Raise when a moved row leaves its bounds, moves a locked feature or breaks a relation, or when a row made more
+    queries than its budget; reads one aggregate row per group."""
+    broken = F.lit(False)
+    for c in INTEGRITY:
+        broken = broken | (F.col(c) > 0)
+    if budget is not None:
+        broken = broken | F.coalesce(F.col("max_queries") > budget, F.lit(False))
+    bad = summary.where(broken).limit(1).collect()
     if bad:
-        raise AssertionError(f"constraint violations: {bad[0].asDict()}")
+        raise AssertionError(f"constraint integrity: {bad[0].asDict()}")

@@ -62,6 +62,11 @@ def confusion_ratios(counts: DataFrame, policy: str = "null") -> DataFrame:
     )
 
 
+def merge_counts(counts: DataFrame, *, by: list[str]) -> DataFrame:
+    """Confusion counts of parts added up."""
+    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
 def slice_metrics(
     df: DataFrame, *, label: str, pred: str, score: str, by: str, policy: str = "zero", with_global: bool = False
 ) -> DataFrame:

@@ -51,17 +51,19 @@ def surrogate_score(x: Column, n: int) -> Column:
     return stable_sigmoid(surrogate_logit(x, n))
 
 
-def _step(p: Column, i: Column) -> Column:
-    """Direction that lowers the attack probability; none once it has rounded to 1."""
-    return F.when(F.get("p_locked", i) | (p >= 1.0), F.lit(0.0)).otherwise(-F.signum(F.get("s_w", i)))
+def _step(p: Column, i: Column, up: bool = False) -> Column:
+    """Direction that lowers the attack probability (raises it for ``up``); none where it has rounded to the far end."""
+    flat = (p <= 0.0) if up else (p >= 1.0)
+    toward = F.signum(F.get("s_w", i))
+    return F.when(F.get("p_locked", i) | flat, F.lit(0.0)).otherwise(toward if up else -toward)
 
 
-def shift_fgsm(x: Column, n: int, eps: float) -> Column:
-    """One sign step of size eps standard deviations, back inside the bounds."""
+def shift_fgsm(x: Column, n: int, eps: float, up: bool = False) -> Column:
+    """One sign step of size eps standard deviations, back inside the bounds. ``up`` makes benign rows look like attacks."""
     if eps <= 0:
         return x
     p = surrogate_score(x, n)
-    moved = let(p, lambda q: each(n, lambda i: F.get(x, i) + F.lit(float(eps)) * F.get("s_std", i) * _step(q, i)))
+    moved = let(p, lambda q: each(n, lambda i: F.get(x, i) + F.lit(float(eps)) * F.get("s_std", i) * _step(q, i, up)))
     return project_bounds(moved, x, n)
 
 
@@ -86,6 +88,14 @@ def shift_pgd(x: Column, n: int, eps: float, steps: int = 10, alpha_ratio: float
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, once)
 
 
+def attach_top_features(df: DataFrame, chosen: DataFrame, features: list[str], *, by: str, name: str = "top") -> DataFrame:
+    """Positions in ``features`` of each protocol's chosen ones (``protocol_used, feature``); none where nothing is chosen."""
+    at = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    lists = chosen.groupBy(F.col("protocol_used").alias(by)).agg(F.sort_array(F.collect_list(at.cast("int"))).alias(name))
+    out = null_safe_join(df, lists, [by], "left")  # a row for each protocol, of at most k positions
+    return out.withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+
+
 def shift_topk(x: Column, n: int, eps: float, top: Column) -> Column:
     """Lower the listed feature positions by eps of their span."""
     if eps <= 0:

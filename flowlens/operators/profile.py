@@ -258,6 +258,11 @@ def class_weights(df: DataFrame, *, label: str, by: list[str]) -> DataFrame:
     )
 
 
+def table_sizes(df: DataFrame, *, by: list[str], label: str) -> DataFrame:
+    """Rows and the share of attacks of each part of a data set."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(label).alias("attack_ratio"))
+
+
 def stratum_counts(df: DataFrame, *, strata: list[str]) -> DataFrame:
     return df.groupBy(*strata).agg(F.count("*").alias("rows"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators.metrics import COUNTS, confusion_counts, confusion_ratios, scope_rollup, worst_case
 from flowlens.operators.models import train_logistic
-from flowlens.operators.constraints import spread, vector
+from flowlens.operators.constraints import attach_profile, spread, vector
 from flowlens.operators.perturb import attach_surrogate, scenario_metrics, shift_fgsm
 from flowlens.operators.combine import weighted_union
 from flowlens.operators.rank_metrics import rank_metrics
@@ -79,25 +79,29 @@ def consolidated_report(ranked: DataFrame, stability: DataFrame, escalation: Dat
 
 def robust_refit(
     train: DataFrame, val: DataFrame, profile: DataFrame, *, features: list[str], label: str, by: str, key: list[str],
-    eps: float, gates: dict[str, float], w_attack: float = 2.0, grid_points: int = 100,
+    eps: float, gates: dict[str, float], w_attack: float = 2.0, w_benign: float = 1.0, grid_points: int = 100,
 ) -> DataFrame:
-    """Warm fit, perturb the attacks the warm model still catches, refit with them, choose a gated threshold.
+    """Warm fit, perturb the attacks the warm model catches and the benign rows, refit with the moved attacks and the
+    benign rows that the warm model then flags, choose a gated threshold against both campaigns.
 
-    Returns one decision row per group.
+    Returns one decision row per group. Rows of a group without a profile stay where they are.
     """
     n = len(features)
     keep = [*key, by, label, *features]
     warm = train_logistic(train, features=features, label=label, by=by)
 
-    def attacked(df: DataFrame, models: dict[str, LinearModel]) -> DataFrame:
-        rows = null_safe_join(df.select(*keep), profile, [by]).withColumn("x", vector(features))
-        rows = attach_surrogate(rows, models, features, by=by).withColumn("adv", shift_fgsm(F.col("x"), n, eps))
+    def attacked(df: DataFrame, models: dict[str, LinearModel], up: bool) -> DataFrame:
+        rows = attach_profile(df.select(*keep), profile, by=by).withColumn("x", vector(features))
+        rows = attach_surrogate(rows, models, features, by=by).withColumn("adv", shift_fgsm(F.col("x"), n, eps, up))
         return spread(rows, "adv", features).select(*keep)
 
-    hard = attacked(train.where(F.col(label) == 1), warm)
-    augmented = weighted_union(
-        train.select(*keep), train.select(*keep).limit(0), hard, label=label, w_benign=1.0, w_attack=w_attack
-    )
+    def flagged(df: DataFrame) -> DataFrame:
+        return routed_score(df, warm, {}, protocol=by).where(F.col("prediction") == 1).select(*keep)
+
+    benign, attacks = F.col(label) == 0, F.col(label) == 1
+    hard = attacked(flagged(train.where(attacks)), warm, up=False)
+    hard_benign = flagged(attacked(train.where(benign), warm, up=True))
+    augmented = weighted_union(train.select(*keep), hard_benign, hard, label=label, w_benign=w_benign, w_attack=w_attack)
     augmented = cut_lineage(augmented)  # read many times by the fits below
     final = train_logistic(augmented, features=features, label=label, by=by, weight="weight")
     zero = {p: 0.5 for p in final}
@@ -109,8 +113,8 @@ def robust_refit(
 
     pools = (
         scored(val, "clean")
-        .unionByName(scored(val.where(F.col(label) == 0), "adv_benign"))
-        .unionByName(scored(attacked(val.where(F.col(label) == 1), final), "adv_malicious"))
+        .unionByName(scored(attacked(val.where(benign), final, up=True), "adv_benign"))
+        .unionByName(scored(attacked(val.where(attacks), final, up=False), "adv_malicious"))
     )
     pools = cut_lineage(pools)
     grid = threshold_grid(pools, points=grid_points, base=0.5)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.hashing import md5_bucket
-from flowlens.operators import constraints, decide, metrics, profile, rank_metrics, sample, split, thresholds
+from flowlens.operators import combine, constraints, decide, metrics, profile, rank_metrics, sample, split, thresholds
 from flowlens.schema import METADATA_COLUMNS, feature_columns
 
 
@@ -156,7 +156,37 @@ def test_schema_guard_and_violations(spark):
     for bad in ([*METADATA_COLUMNS], [*METADATA_COLUMNS, "a", "a"], ["label", *METADATA_COLUMNS]):
         with pytest.raises(ValueError):
             feature_columns(bad)
-    clean = spark.createDataFrame([("wifi", 0)], "p string, cap_violation_rows bigint")
-    constraints.assert_no_violations(clean)
-    with pytest.raises(AssertionError):
-        constraints.assert_no_violations(clean.withColumn("cap_violation_rows", F.lit(3)))
+
+
+def test_integrity_names_each_kind(spark):
+    index = {"min": 0, "avg": 1, "max": 2}
+    kinds = ("p string, x0 array<double>, x array<double>, q int, p_lower array<double>, p_upper array<double>, "
+             "p_span array<double>, p_cap array<double>, p_locked array<boolean>")
+    x0 = [1.0, 2.0, 3.0]
+    cases = {
+        "fine": ([1.0, 2.5, 3.0], 3),
+        "below_lower_violations": ([-1.0, 2.0, 3.0], 3),
+        "above_upper_violations": ([1.0, 11.0, 11.5], 3),
+        "locked_change_rows": ([1.0, 2.0, 4.0], 3),
+        "relation_violation_rows": ([2.5, 2.0, 3.0], 3),
+        "max_queries": ([1.0, 2.5, 3.0], 9),
+    }
+    for kind, (x, queries) in cases.items():
+        profile = [[0.0] * 3, [10.0] * 3, [10.0] * 3, [9.0] * 3, [False, False, True]]
+        rows = [("a", x0, x, queries, *profile), ("a", x0, x0, 1, *profile)]
+        df = spark.createDataFrame(rows, kinds)
+        found = constraints.integrity(df, x="x", x0="x0", index=index, n=3, eps=0.5, by=["p"], queries="q")
+        assert found.first()["rows"] == 2 and found.first()["changed_rows"] == 1
+        if kind == "fine":
+            constraints.assert_integrity(found, budget=5)
+        else:
+            with pytest.raises(AssertionError, match=kind):
+                constraints.assert_integrity(found, budget=5)
+
+
+def test_predictions_are_attached_once(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    out = combine.attach_predictions(df, spark.createDataFrame([(1, 0.5), (None, 0.1)], "id int, s double"), key=["id"])
+    assert {r.id: r.s for r in out.collect()} == {1: 0.5, 2: None, None: 0.1}
+    with pytest.raises(ValueError):
+        combine.attach_predictions(df, spark.createDataFrame([(1, 0.5), (1, 0.6)], "id int, s double"), key=["id"])
