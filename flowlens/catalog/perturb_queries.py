@@ -519,7 +519,27 @@ def guarded_threshold_tune(spark, sf):
 PLAN = search.SearchPlan(eps=0.1, budget=12, steps=3, candidates=4, subset=2, refine=2, objective="maximize")
 
 
-# C-16, A-38, S-11: every benign row is searched; the moves come from hashes SQL does not have
+# C-16, A-38: every benign row is searched. The moves come from hashes SQL does not have; it checks who is searched, who
+# alerted before, and that budget, bounds and locks hold
+@query(f"""WITH {ADV_SQL} SELECT {P}, count(*) AS targeted_rows, count(*) FILTER (WHERE {score_sql("value", "k")} >= threshold)
+    AS baseline_false_alarm_rows, true AS none_lost, true AS within_budget, true AS only_upwards
+  FROM flows JOIN wide ON wp = {P} WHERE label = 0 GROUP BY 1""", ("flows",))
+def budgeted_search_guards(spark, sf):
+    rows = adv_rows(spark, sf).where(F.col("label") == 0)
+    margin = lambda v: perturb.surrogate_score(v, 3) - F.col("threshold")
+    result, _ = search.hill_climb(rows, key="source_row_index", x="x", n=3, margin=margin, plan=PLAN)
+    result = result.withColumn("x", F.col("x_cur"))
+    found = cut_lineage(C.integrity(result, x="x", x0="x0", index={}, n=3, eps=PLAN.eps, by=[P], queries="queries"))
+    C.assert_integrity(found, budget=PLAN.budget)
+    stats = search.campaign_stats(result, by=[P])
+    sane = result.groupBy(P).agg(
+        F.every(F.col("queries") <= PLAN.budget).alias("within_budget"),
+        F.every(F.col("margin") >= F.col("baseline_margin") - 1e-9).alias("only_upwards"),
+    )
+    stats = stats.withColumn("none_lost", F.col("attack_successes_any") >= F.col("baseline_false_alarm_rows"))
+    return stats.join(sane, P).select(P, "targeted_rows", "baseline_false_alarm_rows", "none_lost", "within_budget", "only_upwards")
+
+
 @query()
 def budgeted_candidate_search(spark, sf):
     rows = adv_rows(spark, sf).where(F.col("label") == 0)

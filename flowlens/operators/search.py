@@ -1,7 +1,7 @@
 """Budgeted hill-climbing over feature moves, as an iterative DataFrame job.
 
-Each step proposes a few sparse moves per active row, projects and scores them and keeps the best, all inside one
-projection: candidates live in an array of the row, so a step needs no shuffle. Moves are seeded by hashes of
+Each step proposes a few sparse moves per active row, scores them, repairs and scores the best again, and keeps the best
+of those, all inside one projection: candidates live in an array of the row, so a step needs no shuffle. Moves are seeded by hashes of
 (row key, step, candidate, feature), so a recomputed partition gives the same rows. Between steps the state is
 checkpointed to reliable storage and one aggregate row decides whether to go on.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.operators.constraints import each, let, max_delta, project_capped, satisfies
+from flowlens.operators.constraints import each, let, max_delta, project_capped, project_row
 from flowlens.plans.ordered import exact_quantiles
 from flowlens.plans.small import cut_lineage, null_safe_join, once_per_row
 
@@ -107,16 +107,28 @@ def hill_climb(
         trial = F.transform(
             F.sequence(F.lit(1), F.col("__width")), lambda c: _proposal(F.col(key), step, c, n, plan)
         )
+        judged = F.when(F.col("__refine") > 0, F.col("__refine")).otherwise(F.col("__width"))
+
+        def repaired() -> list[Column]:
+            """The candidates that are judged, fully projected (relations repaired, else back to the current point) and
+            scored anew; one struct of margin and vector for each place, NULL where there is no candidate."""
+            nonlocal stepped
+            cells = []
+            for i in range(max(plan.refine, 2)):
+                here = F.col("__active") & (F.lit(i) < judged)
+                candidate = F.when(here, F.get("__scored", F.lit(i))["x"]).otherwise(F.col("x_cur"))
+                stepped = once_per_row(stepped, {"__candidate": candidate})
+                stepped = project_row(
+                    stepped, candidate="__candidate", original="x0", reference="x_cur", index=index, n=n, eps=plan.eps, out=f"__p{i}"
+                )
+                point = F.col(f"__p{i}")
+                cells.append(F.when(here, F.struct(signed(margin(point)).alias("m"), point.alias("x"))))
+            return cells
+
         scored = F.array_sort(F.transform(trial, lambda v: F.struct(signed(margin(v)).alias("m"), v.alias("x"))))
-        kept = F.slice(F.col("__scored"), F.lit(1), F.greatest(F.col("__refine"), F.lit(1)))
-        valid = F.transform(
-            kept,
-            lambda s: F.when(satisfies(s["x"], F.col("x0"), F.col("__cap"), index, n), s).otherwise(
-                F.struct(signed(F.col("margin")).alias("m"), F.col("x_cur").alias("x"))
-            ),
-        )
         stepped = once_per_row(stepped, {"__scored": F.when(F.col("__active"), scored)})
-        stepped = once_per_row(stepped, {"__best": F.array_min(valid)})
+        cells = repaired()
+        stepped = once_per_row(stepped, {"__best": F.array_min(F.array(*cells))})
         better = F.col("__active") & F.coalesce(F.col("__best.m") < signed(F.col("margin")) - 1e-9, F.lit(False))
         stepped = stepped.withColumn("__better", better)
         new_margin = F.when(F.col("__better"), signed(F.col("__best.m"))).otherwise(F.col("margin"))
@@ -130,7 +142,7 @@ def hill_climb(
                 "success": goal(new_margin),
             }
         )
-        stepped = cut_lineage(stepped.drop("__width", "__refine", "__scored", "__best", "__better", "__pick"))
+        stepped = cut_lineage(stepped.select(*[c for c in stepped.columns if c in state.columns or c in ("__active", "__before")]))
         row = stepped.where("__active").agg(
             F.count("*").alias("active"),
             F.min("__before").alias("before"),

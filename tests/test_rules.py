@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.hashing import md5_bucket
-from flowlens.operators import combine, constraints, decide, metrics, profile, rank_metrics, sample, split, thresholds
+from flowlens.operators import combine, constraints, decide, metrics, profile, rank_metrics, sample, search, split, thresholds
 from flowlens.schema import METADATA_COLUMNS, feature_columns
 
 
@@ -190,3 +190,27 @@ def test_predictions_are_attached_once(spark):
     assert {r.id: r.s for r in out.collect()} == {1: 0.5, 2: None, None: 0.1}
     with pytest.raises(ValueError):
         combine.attach_predictions(df, spark.createDataFrame([(1, 0.5), (1, 0.6)], "id int, s double"), key=["id"])
+
+
+def test_search_repairs_and_scores_its_best_candidates(spark):
+    index = {"min": 0, "avg": 1, "max": 2}
+    x0 = [1.0, 2.0, 3.0, 5.0]
+    rows = [(i, x0, [0.0] * 4, [10.0] * 4, [10.0] * 4, [9.0] * 4, [False, False, False, True]) for i in range(30)]
+    df = spark.createDataFrame(
+        rows,
+        "id int, x array<double>, p_lower array<double>, p_upper array<double>, p_span array<double>, p_cap array<double>, "
+        "p_locked array<boolean>",
+    )
+    plan = search.SearchPlan(eps=0.2, budget=20, steps=4, candidates=4, subset=1, refine=2, objective="maximize")
+    # a higher average helps, and most moves of it cross the maximum, which the repair mends
+    margin = lambda v: F.get(v, F.lit(1)) - F.lit(2.9)
+    out, info = search.hill_climb(df, key="id", x="x", n=4, margin=margin, plan=plan, index=index)
+    again, _ = search.hill_climb(df, key="id", x="x", n=4, margin=margin, plan=plan, index=index)
+    rows = sorted(out.collect())
+    assert info["steps"] >= 1 and rows == sorted(again.collect())
+    for r in rows:
+        low, mean, high, locked = r.x_cur
+        assert low - 1e-6 <= mean <= high + 1e-6 and locked == 5.0 and r.queries <= 20
+        assert all(abs(a - b) <= 2.0 + 1e-6 for a, b in zip(r.x_cur, x0))
+        assert r.margin >= r.baseline_margin and r.success == (r.margin >= 0)
+    assert any(r.success for r in rows) and any(r.moves for r in rows)
