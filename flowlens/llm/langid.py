@@ -110,6 +110,7 @@ def features(text: str, key: int, buckets: int, snippets: int) -> Iterator[tuple
 
 def sample_features(train: DataFrame, per_lang: int, buckets: int, snippets: int, seed: int) -> pd.DataFrame:
     """Features of at most about ``per_lang`` documents of each language, the lowest by a stable hash, whole texts."""
+    # one row a language: the texts stay where they are and are not dealt by language
     counts = small_enough(cut_lineage(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
