@@ -28,11 +28,11 @@ class Bands:
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.26, 1.30),
-        (1024, 0.26, 1.00),
-        (4096, 0.24, 0.92),
-        (16384, 0.22, 0.88),
-        (float("inf"), 0.20, 0.86),
+        (512, 0.26, 1.00),
+        (1024, 0.26, 0.85),
+        (4096, 0.24, 0.75),
+        (16384, 0.22, 0.70),
+        (float("inf"), 0.20, 0.68),
     )
     chunk_bytes: int = 4096
     least_bytes: int = 256
