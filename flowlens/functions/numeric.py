@@ -36,7 +36,12 @@ def sigmoid(z: Column | str) -> Column:
 
 
 def stable_sigmoid(z: Column | str, bound: float = 40.0) -> Column:
-    return sigmoid(clip(_c(z), -bound, bound))
+    """The logistic function of ``z`` clipped to ``bound``; NaN gives NaN. ``z`` is bound once, as it may be costly."""
+
+    def inside(v: Column) -> Column:
+        return sigmoid(clip(v, -bound, bound))
+
+    return inside(F.col(z)) if isinstance(z, str) else F.get(F.transform(F.array(z), inside), F.lit(0))
 
 
 def clip(col: Column | str, low: Column | float, high: Column | float) -> Column:

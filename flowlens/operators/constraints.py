@@ -171,7 +171,8 @@ def attach_profile(df: DataFrame, profile: DataFrame, *, by: str) -> DataFrame:
     profile = pinned(profile)
     width = profile.agg(F.max(F.size("p_locked"))).first()[0] or 0
     out = null_safe_join(df, profile, [by], "left")
-    return out.withColumn("p_locked", F.coalesce("p_locked", F.array_repeat(F.lit(True), width)))
+    # an expression of its own would be evaluated again for every element that asks for its lock
+    return once_per_row(out, {"p_locked": F.coalesce("p_locked", F.array_repeat(F.lit(True), width))})
 
 
 def let(x: Column, fn) -> Column:

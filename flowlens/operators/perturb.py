@@ -236,7 +236,7 @@ def threshold_scenario_counts(
     """
     spark = df.sparkSession
     size = max(len(g) for g in grid.values())
-    grids = spark.createDataFrame([(p, g) for p, g in grid.items()], f"{by} string, grid array<double>")
+    grids = pinned(spark.createDataFrame([(p, g) for p, g in grid.items()], f"{by} string, grid array<double>"))
     rows = df.select(by, label, F.posexplode("scores").alias("scenario", "score"))
     hist = (
         null_safe_join(rows, grids, [by])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MAX_PINNED_ROWS = 20_000
 
@@ -30,12 +31,18 @@ def pinned(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
     Spark knows its true size when it picks the join; a larger one keeps its own plan, is written to reliable
     storage, and is joined without any hint.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema)
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        return local(df.sparkSession, head, df.schema)
     return cut_lineage(df)
 
 
+def local(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
+    """A local relation. Rows of Python objects would become a scan of unknown size, which is joined by a sort that sends
+    all rows of a hot key to one task; an Arrow table has a size, and small ones are broadcast by it."""
+    return spark.createDataFrame(rows, schema)
+
+
 def small_enough(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
     """Broadcast ``df`` only when a bounded count proves it small; otherwise hand it back unhinted."""
     if df.limit(max_rows + 1).count() <= max_rows:
