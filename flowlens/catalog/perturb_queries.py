@@ -20,7 +20,7 @@ from flowlens.catalog.profile_queries import unpivot_sql
 from flowlens.operators import combine, constraints as C, perturb, reports, score, search
 from flowlens.operators.profile import long_features
 from flowlens.operators.score import LinearModel
-from flowlens.plans.small import cut_lineage, once_per_row
+from flowlens.plans.small import cut_lineage, once_per_row, spread_out
 
 P = "protocol_hint"
 KEEP = ["source_row_index", P, "label", "threshold"]
@@ -325,7 +325,7 @@ def violation_assertion(spark, sf):
 
 def adv_rows(spark, sf):
     prof = C.profile_arrays(constraint_table(spark, sf, ADV), by=P, features=ADV, caps={f: 0.5 for f in ADV})
-    f = C.attach_profile(flows(spark, sf).select(*KEEP, *ADV), prof, by=P)
+    f = C.attach_profile(spread_out(flows(spark, sf).select(*KEEP, *ADV)), prof, by=P)
     f = once_per_row(f, {"x": C.vector(ADV)})
     return perturb.attach_surrogate(f, SURROGATES, ADV, by=P)
 

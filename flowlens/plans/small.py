@@ -50,6 +50,15 @@ def small_enough(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
     return df
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows of a few files over all cores, before work that costs much more a row than moving it.
+
+    A small file is one task however many cores there are. A table of at least a file for each core stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def once_per_row(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are evaluated once per row.
 
