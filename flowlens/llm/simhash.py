@@ -107,7 +107,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = cut_lineage(docs.select("doc_id", fingerprints(F.col(text)).alias("fp"), row_hash(text).alias("row")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
     prints = cut_lineage(rows.groupBy("fp").agg(first.alias("first")))
-    named = components(links(prints))
+    return with_keepers(rows, prints, components(links(prints)))
+
+
+def with_keepers(rows: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows(doc_id, fp, row)`` with the smallest id of their component and its row, by ``prints(fp, first)`` and the
+    ``named`` nodes among them."""
     named = prints.join(named, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
@@ -124,7 +129,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A component without ids keeps one row. If the row that stays is repeated, one of its equals stays.
     """
-    kept = near_duplicates(docs, text).where("row = keeper").groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    return keepers_only(docs, near_duplicates(docs, text), text)
+
+
+def keepers_only(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """Those of ``docs`` that ``found`` names as keepers."""
+    kept = found.where("row = keeper").groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     kept = cut_lineage(kept)
     key = fresh(docs, "__row")
     found = docs.withColumn(key, row_hash(text)).join(
