@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import credentials, decontaminate, hard_negatives, langid, mixing, pii, quality, rules, sharding, simhash, token_output
+from flowlens.llm import alignment, credentials, decontaminate, hard_negatives, langid, mixing, pii, quality, rules, sharding, simhash, token_output
 from flowlens.llm.common import fold_of, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,10 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     label = F.col("label").cast("long")
     moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.align_tokenizers(table(spark, sf, "documents"))
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
