@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import alignment, credentials, decontaminate, hard_negatives, langid, mixing, pii, quality, rules, sharding, simhash, token_output
+from flowlens.llm import alignment, credentials, decontaminate, hard_negatives, langid, language_model, mixing, pii, quality, rules, sharding, simhash, token_output
 from flowlens.llm.common import fold_of, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,12 @@ def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     found = alignment.align_tokenizers(table(spark, sf, "documents"))
     columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+
+
+@query()
+def op13_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    learn = fold_of("doc_id", 7) != 2
+    found = language_model.log_probabilities(table(spark, sf, "documents"), learn)
+    return found.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
