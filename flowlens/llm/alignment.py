@@ -54,6 +54,7 @@ class ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.bytes[v] = k
+        self.sizes, self.said = list(map(len, self.bytes)), list(map(str, range(len(self.bytes))))
 
     def __call__(self, text: str) -> list[int]:
         text = " " + text
@@ -72,6 +73,7 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             coded = re.fullmatch("<0x([0-9A-F]{2})>", piece)
             self.bytes.append(bytes([int(coded[1], 16)]) if coded else piece.replace("▁", " ").encode())
+        self.sizes, self.said = list(map(len, self.bytes)), list(map(str, range(len(self.bytes))))
 
     def __call__(self, text: str) -> list[int]:
         return self.model.encode(text)
@@ -108,9 +110,10 @@ def common_run(x: list[int], y: list[int], i: int, j: int) -> int:
     return n
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Groups ``(i, i_end, j, j_end)`` of two rising lists with the same last entry; a stretch of one-to-one groups comes
-    as one entry, of equal length on both sides.
+def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Groups ``(i, i_end, j, j_end, met)`` of two rising lists with the same last entry. A stretch of one-to-one groups comes
+    as one entry, of equal length on both sides and with nothing in ``met``; of any other group ``met`` has the places whose
+    ranges overlap.
 
     While tokens match one to one, the shift between the lists stays and whole stretches are compared at once. Where the
     ends part, the side that is behind moves on until both meet; from there the shift is another.
@@ -118,28 +121,24 @@ def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int,
     i = j = 0
     while i < len(ends_a):
         if n := common_run(ends_a, ends_b, i, j):
-            yield i, i + n, j, j + n
+            yield i, i + n, j, j + n, []
             i, j = i + n, j + n
             if i == len(ends_a):
                 return
-        p, q = i, j
-        while ends_a[p] != ends_b[q]:
-            if ends_a[p] < ends_b[q]:
+        p, q, x, y = i, j, ends_a[i], ends_b[j]
+        met = [(p, q)]
+        while x != y:
+            if x < y:
                 p += 1
+                x = ends_a[p]
             else:
                 q += 1
-        yield i, p + 1, j, q + 1
+                y = ends_b[q]
+            met.append((p, q))
+        yield i, p + 1, j, q + 1, met
         i, j = p + 1, q + 1
 
 
-def crossed(ends_a: list[int], ends_b: list[int], i: int, j: int, i_end: int) -> Iterator[tuple[int, int]]:
-    """Places whose byte ranges overlap in one group that starts at ``i`` and ``j``."""
-    while i < i_end:
-        yield i, j
-        a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-
-
 @dataclass
 class Aligned:
     """Of one text: numbers of tokens and groups, the groups as text, and its distinct id pairs with how many links each has."""
@@ -158,24 +157,23 @@ def aligned(text: str, coder_a: ByteLevel, coder_b: Pieces) -> Aligned:
         return Aligned()
     whole = b" " + text.encode("utf-8", "replace")
     a, b = coder_a(text), coder_b(text)
-    bytes_a, bytes_b = [coder_a.bytes[i] for i in a], [coder_b.bytes[i] for i in b]
-    if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+    if any(b"".join(map(x.bytes.__getitem__, ids)) != whole for x, ids in ((coder_a, a), (coder_b, b))):
         return Aligned()
-    ends_a, ends_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+    ends_a, ends_b = (list(accumulate(map(x.sizes.__getitem__, ids))) for x, ids in ((coder_a, a), (coder_b, b)))
+    said_a, said_b = coder_a.said.__getitem__, coder_b.said.__getitem__
     said, left, right, n = [], [], [], 0
-    for i, i_end, j, j_end in align(ends_a, ends_b):
+    for i, i_end, j, j_end, met in align(ends_a, ends_b):
         own, other = a[i:i_end], b[j:j_end]
-        if ends_a[i] == ends_b[j]:  # a stretch of one-to-one groups
-            said += [f"{x}|{y}" for x, y in zip(own, other, strict=True)]
+        if met:
+            said.append(",".join(map(said_a, own)) + "|" + ",".join(map(said_b, other)))
+            left += [a[p] for p, _ in met]
+            right += [b[q] for _, q in met]
+            n += 1
+        else:
+            said += map("|".join, zip(map(said_a, own), map(said_b, other), strict=True))
             left += own
             right += other
             n += i_end - i
-        else:
-            said.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-            for p, q in crossed(ends_a, ends_b, i, j, i_end):
-                left.append(a[p])
-                right.append(b[q])
-            n += 1
     codes, links = np.unique(np.array(left, np.int64) << 32 | np.array(right, np.int64), return_counts=True)
     return Aligned(len(a), len(b), n, ";".join(said), codes >> 32, codes & 0xFFFFFFFF, links)
 

@@ -255,6 +255,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without the rows that leak a test; all columns pass through. See ``leaks``."""
-    bad = cut_lineage(leaks(docs, benchmark, coverage, text).select(F.col("row").alias("__leak")).distinct())
-    key = fresh(docs, "__row")
-    return docs.withColumn(key, row_hash(text)).join(small_enough(bad), F.col(key) == F.col("__leak"), "left_anti").drop(key)
+    key, leak = fresh(docs, "__row"), fresh(docs, "__leak")
+    bad = cut_lineage(leaks(docs, benchmark, coverage, text).select(F.col("row").alias(leak)).distinct())
+    return docs.withColumn(key, row_hash(text)).join(small_enough(bad), F.col(key) == F.col(leak), "left_anti").drop(key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +27,8 @@ def letters() -> np.ndarray:
 
 
 def subwords(piece: str, first: bool, last: bool, buckets: int) -> np.ndarray:
-    """Buckets of the letter n-grams of a piece; a word's ends count as a sign. One whole text is cut by ``windows_of``."""
-    codes = np.frombuffer(("\0" + piece.lower()[: len(piece) + 8] + "\0").encode("utf-32-le", "replace"), np.uint32)
+    """Buckets of the letter n-grams of a lower-cased piece; a word's ends count as a sign. ``pieces`` cuts one whole text."""
+    codes = np.frombuffer(("\0" + piece + "\0").encode("utf-32-le", "replace"), np.uint32)
     is_letter = letters()[np.minimum(codes, 0x10FFFF)]
     codes = np.where(is_letter, codes, np.uint32(0))
     found = []
@@ -54,7 +55,8 @@ def subwords(piece: str, first: bool, last: bool, buckets: int) -> np.ndarray:
 
 
 def pieces(text: str) -> Iterator[tuple[str, bool, bool]]:
-    overlap = max(GRAMS) - 1
+    """Windows of the lower-cased text, which may be longer than the text."""
+    text, overlap = text.lower(), max(GRAMS) - 1
     for start, piece in windows_of(text, PIECE, overlap):
         yield piece, start == 0, start + PIECE >= len(text)
 
@@ -108,7 +110,7 @@ def features(text: str, key: int, buckets: int, snippets: int) -> Iterator[tuple
             yield whole, hit.astype(np.int32), (counts[hit] / total).astype(np.float32)
 
 
-def sample_features(train: DataFrame, per_lang: int, buckets: int, snippets: int, seed: int) -> pd.DataFrame:
+def sample_features(train: DataFrame, per_lang: int, buckets: int, snippets: int, seed: int) -> DataFrame:
     """Features of at most about ``per_lang`` documents of each language, the lowest by a stable hash, whole texts."""
     # one row a language: the texts stay where they are and are not dealt by language
     counts = small_enough(cut_lineage(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
@@ -130,7 +132,7 @@ def sample_features(train: DataFrame, per_lang: int, buckets: int, snippets: int
             ]
             yield pd.DataFrame(rows, columns=["lang", "key", "whole", "hit", "shares"])
 
-    return picked.mapInPandas(extract, "lang string, key long, whole boolean, hit binary, shares binary").toPandas()
+    return picked.mapInPandas(extract, "lang string, key long, whole boolean, hit binary, shares binary")
 
 
 def fit(
@@ -147,14 +149,26 @@ def fit(
     """Train on documents with a ``lang`` and at least one letter.
 
     The sample is bounded by ``per_lang`` whole documents of each language (chosen by a stable hash over all of them), so
-    the driver holds at most that many feature rows. A fifth of them, not trained on, sets the temperature and the
-    rejection threshold: whole documents of known languages are kept with a share of ``keep`` at least. No usable row
+    the one task that trains holds at most that many feature rows, and the driver the model alone. A fifth of them, not
+    trained on, sets the temperature and the rejection threshold: whole documents of known languages are kept with a share of ``keep`` at least. No usable row
     gives a model that answers ``und``.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    got = sample_features(train, per_lang, buckets, snippets, seed)
-    if got.empty:
-        return LanguageModel(table=np.zeros((buckets, 0), np.float32))
+    found = sample_features(train, per_lang, buckets, snippets, seed)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            model = trained(pd.concat(parts, ignore_index=True), buckets, width, epochs, rate, keep, seed)
+            parts = model.langs, model.table, model.bias, model.temperature, model.reject_below
+            yield pd.DataFrame([(pickle.dumps(parts),)], columns=["model"])
+
+    made = found.coalesce(1).mapInPandas(learn, "model binary").collect()
+    return LanguageModel(*pickle.loads(made[0]["model"])) if made else LanguageModel(table=np.zeros((buckets, 0), np.float32))
+
+
+def trained(got: pd.DataFrame, buckets: int, width: int, epochs: int, rate: float, keep: float, seed: int) -> LanguageModel:
+    """The model of the sample's features, whatever their order."""
     got = got.sort_values(["key", "whole", "lang", "hit"], ignore_index=True)
     langs = sorted(got["lang"].unique())
     y = got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.common import whole_text
-from flowlens.llm.ngram_trie import ANY, Trie, merged
+from flowlens.llm.ngram_trie import ANY, Trie, merged, runs
 from flowlens.plans.ordered import rank_rows
 from flowlens.plans.small import cut_lineage
 
@@ -29,8 +29,8 @@ class Model:
     joined."""
 
     discount: float = 0.75
-    batch: int = 1 << 22
-    per_shard: int = 3_000_000
+    batch: int = 1 << 20
+    per_shard: int = 2_000_000
     max_shared: int = 1 << 24
 
 
@@ -60,12 +60,12 @@ class Numbers(dict):
         return n
 
 
-BATCHES = "batch long, ids array<string>, texts binary, hashes binary, checks binary, times binary"
+BATCHES = "batch long, ids array<string>, texts binary, hashes binary, others binary"
 
 
 def batches(docs: DataFrame, model: Model, seed: int) -> DataFrame:
     """Rows of ``(id, learn, text)`` as batches: ``texts`` holds who is learned from, lengths, and word numbers within the batch;
-    then a hash and a second one of each distinct word, and how often the texts to learn from have it."""
+    then a hash of each distinct word, and with it a second one and how often the texts to learn from have the word."""
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -79,8 +79,9 @@ def batches(docs: DataFrame, model: Model, seed: int) -> DataFrame:
             learned = np.repeat(np.array(learn, bool), lengths)
             times = np.bincount(stream[learned], minlength=len(words))
             digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words)
-            both = np.frombuffer(digests, "<u8").reshape(-1, 2)
-            row = (place + next(made), ids, squeezed(learn, lengths, stream), both[:, 0].tobytes(), both[:, 1].tobytes(), times.astype("<i8").tobytes())
+            both = np.frombuffer(digests, "<u4").reshape(-1, 4)
+            hashes, checks = np.ascontiguousarray(both[:, :2]).view("<i8").ravel(), both[:, 2]
+            row = (place + next(made), ids, squeezed(learn, lengths, stream), hashes.tobytes(), squeezed(checks, times))
             return pd.DataFrame([row], columns=[x.split()[0] for x in BATCHES.split(", ")])
 
         for part in parts:
@@ -99,25 +100,80 @@ def batches(docs: DataFrame, model: Model, seed: int) -> DataFrame:
     return docs.mapInPandas(number, BATCHES)
 
 
-def exploded(stored: DataFrame) -> DataFrame:
-    """``(batch, at, hash, check, times)`` of each batch's distinct words."""
+WORD_PARTS = "part int, hashes binary, others binary, clash boolean"
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for batch, hashes, checks, times in zip(part["batch"], part["hashes"], part["checks"], part["times"], strict=True):
-                columns = [np.frombuffer(x, "<i8") for x in (hashes, checks, times)]
-                for at in range(0, len(columns[0]), 1 << 16):
-                    h, c, t = (x[at : at + (1 << 16)] for x in columns)
-                    yield pd.DataFrame({"batch": batch, "at": np.arange(at, at + len(h)), "hash": h, "check": c, "times": t})
 
-    return stored.select("batch", "hashes", "checks", "times").mapInPandas(rows, "batch long, at int, hash long, check long, times long")
+def numbered_words(stored: DataFrame) -> tuple[DataFrame, bool]:
+    """``(part, hashes, others)`` of all words, with how often each is learned from, and whether two of them share a hash.
 
+    Each batch's words are dealt out by hash, sorted, so that a task sums up one part of all words after another.
+    """
+    parts = 8 * int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for hashes, others in zip(batch["hashes"], batch["others"], strict=True):
+                hashes, (checks, times) = np.frombuffer(hashes, "<i8"), opened(others)
+                order = np.argsort(hashes)
+                to = mixed(hashes[order]) % parts
+                for part, at in split(to, parts):
+                    own = order[at]
+                    rows.append((part, hashes[own].tobytes(), squeezed(checks[own], times[own]), False))
+            yield pd.DataFrame(rows, columns=["part", "hashes", "others", "clash"])
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for part, hashes, others, _ in batch.itertuples(index=False):
+                if held and part != now:
+                    yield summed(now, held)
+                    held = []
+                now = part
+                held.append((np.frombuffer(hashes, "<i8"), *opened(others)))
+        if held:
+            yield summed(now, held)
 
-def numbered_words(stored: DataFrame) -> tuple[DataFrame, bool]:
-    """``(hash, times)`` of all words, and whether two of them share a hash."""
-    found = exploded(stored).groupBy("hash").agg(F.sum("times").alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
-    words = cut_lineage(found)
-    return words.select("hash", "times"), not words.where("low <> high").isEmpty()
+    def summed(part: int, held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        hashes, checks, times = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.argsort(hashes, kind="stable")
+        hashes, checks, times = hashes[order], checks[order], times[order]
+        starts, sizes = runs(hashes)
+        clash = bool((checks != np.repeat(checks[starts], sizes)).any())
+        row = (part, hashes[starts].tobytes(), np.add.reduceat(times, starts).astype("<i8").tobytes(), clash)
+        return pd.DataFrame([row], columns=["part", "hashes", "others", "clash"])
+
+    dealt = stored.select("hashes", "others").mapInPandas(deal, WORD_PARTS)
+    words = cut_lineage(dealt.repartition("part").sortWithinPartitions("part").mapInPandas(total, WORD_PARTS))
+    return words, not words.where("clash").isEmpty()
+
+
+def listed(parts: DataFrame, key: str, has_times: bool) -> DataFrame:
+    """``(key, at, hash, times)``, one row for each word of packed ones."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, hashes, others in batch.itertuples(index=False):
+                hashes = np.frombuffer(hashes, "<i8")
+                times = np.frombuffer(others, "<i8") if has_times else np.zeros(len(hashes), np.int64)
+                for at in range(0, len(hashes), 1 << 16):
+                    h, t = hashes[at : at + (1 << 16)], times[at : at + (1 << 16)]
+                    yield pd.DataFrame({"key": k, "at": np.arange(at, at + len(h)), "hash": h, "times": t})
+
+    return parts.select(key, "hashes", "others").mapInPandas(rows, "key long, at int, hash long, times long")
+
+
+def count_steps(words: DataFrame) -> list[tuple[int, int]]:
+    """Falling counts and how many words have each: fewer than the square root of twice the tokens."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for others in batch["others"]:
+                times, n = np.unique(np.frombuffer(others, "<i8"), return_counts=True)
+                yield pd.DataFrame({"times": times, "n": n})
+
+    found = words.select("others").mapInPandas(count, "times long, n long").groupBy("times").agg(F.sum("n").alias("n"))
+    return sorted(((r["times"], r["n"]) for r in found.collect()), reverse=True)
 
 
 @dataclass(frozen=True)
@@ -132,6 +188,7 @@ class Corpus:
     kinds: int
     shards: int
     per_shard: int
+    copies: dict[int, int] = field(default_factory=dict)  # shards that several tasks make, each for a part of what is scored
 
     def count(self, word: np.ndarray) -> np.ndarray:
         if not len(self.counts):
@@ -182,12 +239,9 @@ class Rows:
         at = np.flatnonzero(token)
         return cls(line[at - 2], line[at - 1], line[at], np.repeat(np.arange(len(lengths)), lengths + 1))
 
-    def take(self, at: np.ndarray) -> Rows:
-        return Rows(self.u[at], self.v[at], self.w[at], self.doc[at])
-
 
-def counted(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    return merged([(v, u, w, np.ones(len(v), np.int64))])
+def counted(rows: Rows, which: np.ndarray) -> tuple[np.ndarray, ...]:
+    return merged([(rows.v[which], rows.u[which], rows.w[which], np.ones(int(which.sum()), np.int64))])
 
 
 SCATTERED = "shard int, salt int, kind int, batch long, ids array<string>, data binary"
@@ -229,8 +283,10 @@ def loads(source: DataFrame, corpus: Corpus, shared) -> dict[int, int]:
     return {r["shard"]: -(-r["n"] // corpus.per_shard) for r in found.where(F.col("n") > most).collect()}
 
 
-def scattered(source: DataFrame, corpus: Corpus, shared, copies: dict[int, int]) -> DataFrame:
-    """What each shard has to know and to score. Rows to learn from are counted in the batch first."""
+def scattered(source: DataFrame, corpus: Corpus, shared) -> DataFrame:
+    """What each shard has to know and to score."""
+
+    copies = corpus.copies
 
     def scatter(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -244,12 +300,13 @@ def scattered(source: DataFrame, corpus: Corpus, shared, copies: dict[int, int])
                 out = [(batch % corpus.shards, 0, TEXTS, batch, ids, zstandard.compress(about, 1))]
                 shard = corpus.shard(rows.u, rows.v)
                 learned = learn[rows.doc]
-                v, u, w, times = counted(rows.u[learned], rows.v[learned], rows.w[learned])
+                # rows to learn from are counted here only where a shard is made several times, else they come with the others
+                v, u, w, times = counted(rows, learned & np.isin(shard, list(copies)))
                 known = [(corpus.shard(u, v), u, v, w, times)]
-                often = corpus.spread(v) > 1
+                often = learned & (corpus.spread(rows.v) > 1)
                 if often.any():
                     # each part of a word's rows has to know all its pairs
-                    pv, _, pw, pn = merged([(v[often], w[often], w[often], times[often])])
+                    pv, _, pw, pn = merged([(rows.v[often], rows.w[often], rows.w[often], np.ones(int(often.sum()), np.int64))])
                     spread = corpus.spread(pv)
                     at = np.repeat(np.arange(len(pv)), spread)
                     nth = np.arange(len(at)) - np.repeat(np.cumsum(spread) - spread, spread)
@@ -259,10 +316,12 @@ def scattered(source: DataFrame, corpus: Corpus, shared, copies: dict[int, int])
                     data = squeezed(u[at], v[at], w[at], times[at])
                     out += [(k, salt, PAIRS, batch, None, data) for salt in range(copies.get(k, 1))]
                 for k, at in split(shard, corpus.shards):
-                    own = rows.take(at)
                     for salt in range(copies.get(k, 1)):
-                        mine = own.take(np.arange(salt, len(at), copies[k])) if k in copies else own
-                        out.append((k, salt, QUERIES, batch, None, squeezed(mine.u, mine.v, mine.w, np.diff(mine.doc, prepend=0))))
+                        own = at[salt :: copies[k]] if k in copies else at
+                        if len(own):
+                            # a step in texts, and whether the row is learned from here
+                            steps = 2 * np.diff(rows.doc[own], prepend=0) + (0 if k in copies else learned[own])
+                            out.append((k, salt, QUERIES, batch, None, squeezed(rows.u[own], rows.v[own], rows.w[own], steps)))
                 for at in range(0, len(out), 64):
                     yield pd.DataFrame(out[at : at + 64], columns=COLUMNS)
 
@@ -273,37 +332,61 @@ SCORED = "batch long, ids array<string>, data binary"
 
 
 def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
-    """Each task reads its shards one after another: first what they know, which becomes the trie, then what is to be scored."""
+    """Each task reads its shards one after another: what they know becomes the trie, past which goes what is to be scored.
+    What a shard both learns from and scores waits for its trie as it came, compressed."""
+
+    def small(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        return *(x.astype(np.uint32) for x in rows[:3]), rows[3]
+
+    def score(trie: Trie, batch: int, data: bytes) -> tuple:
+        u, v, w, steps = opened(data)
+        doc = (steps >> 1).cumsum()
+        docs, first = np.unique(doc, return_index=True)
+        sums = np.add.reduceat(trie.score(u, v, w, corpus.probability(w)), first)
+        return batch, None, b"s" + zstandard.compress(np.diff(docs, prepend=0).astype("<u4").tobytes() + sums.astype("<f4").tobytes(), 1)
+
+    def trie_of(held: list[tuple[np.ndarray, ...]]) -> Trie:
+        empty = np.zeros(0, np.int64)
+        v, u, w, n = merged(held or [(empty,) * 4])
+        held.clear()
+        return Trie.of(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), n, corpus.probability(w), model.discount).mapped()
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["batch", "ids", "data"])
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, trie, held, size = None, None, [], 0
+        now, trie, held, size, waiting = None, None, [], 0, []
+
+        def rest() -> pd.DataFrame:
+            made = trie_of(held) if waiting else None
+            return frame([score(made, *x) for x in waiting])
+
         for part in parts:
             for shard, salt, kind, batch, ids, data in part[COLUMNS].itertuples(index=False):
-                if kind == TEXTS:
-                    yield pd.DataFrame([(batch, ids, b"t" + data)], columns=["batch", "ids", "data"])
-                    continue
                 if (shard, salt) != now:
-                    now, trie, held, size = (shard, salt), None, [], 0
-                if kind == PAIRS:
+                    if waiting:
+                        yield rest()
+                    now, trie, held, size, waiting = (shard, salt), None, [], 0, []
+                if kind == TEXTS:
+                    yield frame([(batch, ids, b"t" + data)])
+                elif kind == QUERIES and shard in copies:
+                    trie = trie or trie_of(held)
+                    yield frame([score(trie, batch, data)])
+                else:
                     u, v, w, n = opened(data)
-                    held.append((v.astype(np.uint32), u.astype(np.uint32), w.astype(np.uint32), n))
+                    if kind == QUERIES:
+                        waiting.append((batch, data))
+                        learned = (n & 1) > 0
+                        u, v, w, n = u[learned], v[learned], w[learned], np.ones(int(learned.sum()), np.int64)
+                    held.append(small((v, u, w, n)))
                     size += len(v)
                     if size > model.per_shard // 2 and size > 2 * len(held[0][0]):
                         held = [merged(held)]
                         size = len(held[0][0])
-                    continue
-                if trie is None:
-                    empty = np.zeros(0, np.int64)
-                    v, u, w, n = merged(held or [(empty,) * 4])
-                    held = []
-                    trie = Trie.of(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), n, corpus.probability(w), model.discount).mapped()
-                u, v, w, steps = opened(data)
-                doc = steps.cumsum()
-                logs = trie.score(u, v, w, corpus.probability(w))
-                docs, first = np.unique(doc, return_index=True)
-                sums = np.concatenate([docs.astype("<f8"), np.add.reduceat(logs, first)])
-                yield pd.DataFrame([(batch, None, b"s" + sums.tobytes())], columns=["batch", "ids", "data"])
+        if waiting:
+            yield rest()
 
+    copies = corpus.copies
     return dealt.mapInPandas(work, SCORED)
 
 
@@ -322,8 +405,8 @@ def combined(parts: DataFrame, corpus: Corpus) -> DataFrame:
         score = np.zeros(n)
         for data in group["data"]:
             if data[:1] == b"s":
-                doc, logs = np.frombuffer(data[1:], "<f8").reshape(2, -1)
-                score[doc.astype(np.int64)] += logs
+                steps, logs = np.frombuffer(zstandard.decompress(data[1:]), "<u4").reshape(2, -1)
+                score[steps.astype(np.int64).cumsum()] += logs.view("<f4")
         return pd.DataFrame({
             "id": ids, "learned": learn > 0, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64),
             "train_tokens": corpus.tokens, "base_score": base, "score": score,
@@ -354,8 +437,7 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
         words, clash = numbered_words(stored)
         if not clash:
             break
-    # one row for each distinct count: fewer than the square root of twice the tokens
-    steps = sorted(((r["times"], r["n"]) for r in words.groupBy("times").agg(F.count("hash").alias("n")).collect()), reverse=True)
+    steps = count_steps(words)
     counts, sizes = np.array([s[0] for s in steps], np.int64), np.array([s[1] for s in steps], np.int64)
     firsts = WORDS + np.cumsum(sizes) - sizes
     ends, everything = source.agg(F.count(F.when(F.col("learn"), 1)), F.count(F.lit(1))).first()
@@ -363,20 +445,22 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
     corpus = Corpus(counts, firsts, ends, tokens, kinds, max(1, -(-(tokens + everything - ends) // model.per_shard)), model.per_shard)
     shared = None
     if int(sizes.sum()) <= model.max_shared:
-        got = words.toArrow()
-        hashes, times = got["hash"].to_numpy(), got["times"].to_numpy()
+        got = words.select("hashes", "others").toArrow()
+        hashes, times = (np.frombuffer(b"".join(x.as_py() for x in got[c]), "<i8") for c in ("hashes", "others"))
         number = np.empty(len(hashes), np.int32)
         number[np.lexsort((hashes, -times))] = np.arange(WORDS, WORDS + len(hashes))
         order = np.argsort(hashes)
         shared = spark.sparkContext.broadcast((hashes[order], number[order]))
         ready = stored.select("batch", "ids", "texts", "hashes")
     else:
-        ranked = rank_rows(words.withColumn("fewer", -F.col("times")), [], ["fewer", "hash"], "number")
+        every = listed(words, "part", True).withColumn("fewer", -F.col("times"))
+        ranked = rank_rows(cut_lineage(every.select("fewer", "hash")), [], ["fewer", "hash"], "number")
         numbers = ranked.select("hash", (F.col("number") + F.lit(WORDS - 1)).alias("number"))
-        lists = exploded(stored).join(numbers, "hash").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("numbers"))
-        ready = cut_lineage(stored.select("batch", "ids", "texts").join(lists.select("batch", "numbers.number"), "batch", "left").withColumnRenamed("number", "numbers"))
-    copies = loads(ready, corpus, shared)
-    dealt = scattered(ready, corpus, shared, copies).repartition(F.col("shard"), F.col("salt")).sortWithinPartitions("shard", "salt", "kind", "batch")
+        lists = listed(stored, "batch", False).join(numbers, "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("numbers"))
+        lists = lists.select("key", F.col("numbers.number").alias("numbers"))
+        ready = cut_lineage(stored.select("batch", "ids", "texts").join(lists, F.col("batch") == F.col("key"), "left").drop("key"))
+    corpus = replace(corpus, copies=loads(ready, corpus, shared))
+    dealt = scattered(ready, corpus, shared).repartition(F.col("shard"), F.col("salt")).sortWithinPartitions("shard", "salt", "kind", "batch")
     found = combined(scored(dealt, corpus, model), corpus)
     kind = docs.schema[doc_id].dataType
     return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)

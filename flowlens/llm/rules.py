@@ -11,7 +11,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import whole_text
+from flowlens.llm.common import fresh, whole_text
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MIN_WORDS = 50
@@ -121,10 +121,11 @@ def quality_rules(docs: DataFrame, text: str = "text", into: str = "rules", band
     a text is never cut for the whole ratio, and chunks are windows on its bytes. Repeated rows get repeated results; an
     empty table gives an empty one; other columns pass through, one named as ``into`` is replaced.
     """
-    m = F.col("`__rules`")
-    failed = (m.n_words < MIN_WORDS) | (m.n_repeat_words * 100 > m.n_words * MAX_REPEAT_PERCENT)
     kept = docs.drop(into)
-    return kept.withColumn("__rules", measures(F.col(text), bands)).select(
+    own = fresh(kept, "__rules")
+    m = F.col(f"`{own}`")
+    failed = (m.n_words < MIN_WORDS) | (m.n_repeat_words * 100 > m.n_words * MAX_REPEAT_PERCENT)
+    return kept.withColumn(own, measures(F.col(text), bands)).select(
         *[F.col(f"`{c}`") for c in kept.columns],
-        F.struct("__rules.*", failed.alias("base_failed"), (~failed & (m.verdict == "ok")).alias("kept")).alias(into),
+        F.struct(f"{own}.*", failed.alias("base_failed"), (~failed & (m.verdict == "ok")).alias("kept")).alias(into),
     )

@@ -72,11 +72,12 @@ def shuffle_into_shards(
     for c, n, _ in cells:
         counts[c * buckets // CELLS] += n
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).tolist()
-    plan = spark.createDataFrame(list(zip(range(buckets), starts, counts, strict=True)), "b int, start long, n long")
+    at, start, n = (fresh(docs, x) for x in ("__b", "__start", "__n"))
+    plan = spark.createDataFrame(list(zip(range(buckets), starts, counts, strict=True)), f"`{at}` int, `{start}` long, `{n}` long")
     dealt = keyed.withColumn(bucket, F.expr(f"cast(`{cell}` * {buckets} div {CELLS} as int)"))
-    dealt = dealt.join(F.broadcast(plan), F.col(bucket) == F.col("b"))  # at most CELLS rows
+    dealt = dealt.join(F.broadcast(plan), F.col(bucket) == F.col(at))  # at most CELLS rows
     dealt = dealt.repartitionById(buckets, F.col(bucket)).sortWithinPartitions(bucket, order)
-    placed = dealt.withColumn(where, positions(F.col(bucket), F.col("start"), F.col("n"), seed)).sortWithinPartitions(where)
+    placed = dealt.withColumn(where, positions(F.col(bucket), F.col(start), F.col(n), seed)).sortWithinPartitions(where)
     shard = F.expr(f"cast(`{where}` * {shards} div {max(1, total)} as int)")
     first = F.expr(f"(`{where}` * {shards} div {max(1, total)} * {total} + {shards - 1}) div {shards}")
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], shard.alias("shard"), (F.col(where) - first).alias("slot"))

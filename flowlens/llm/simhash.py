@@ -136,9 +136,9 @@ def keepers_only(docs: DataFrame, found: DataFrame, text: str = "text") -> DataF
     """Those of ``docs`` that ``found`` names as keepers."""
     kept = found.where("row = keeper").groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     kept = cut_lineage(kept)
-    key = fresh(docs, "__row")
+    key, stays = fresh(docs, "__row"), fresh(docs, "__kept")
     found = docs.withColumn(key, row_hash(text)).join(
-        kept.select(apart("row").alias("__kept")), F.col(key) == F.col("__kept"), "left_semi"
+        kept.select(apart("row").alias(stays)), F.col(key) == F.col(stays), "left_semi"
     )
     if not kept.where("copies > 1").isEmpty():
         found = found.dropDuplicates([key])

@@ -31,15 +31,15 @@ def test_groups_end_where_both_end(x, y):
     last = max(x[-1], y[-1]) + 1
     x, y = [*x, last], [*y, last]
     ends, got = sorted(set(x) & set(y)), []
-    for i, i_end, j, j_end in alignment.align(x, y):
+    for i, i_end, j, j_end, met in alignment.align(x, y):
         assert x[i_end - 1] == y[j_end - 1]
-        if x[i] == y[j]:
+        if not met:
             assert i_end - i == j_end - j and x[i:i_end] == y[j:j_end]
             got += x[i:i_end]
         else:
             got.append(x[i_end - 1])
             over = [(p, q) for p in range(i, i_end) for q in range(j, j_end) if max([0, *x[:p][-1:], *y[:q][-1:]]) < min(x[p], y[q])]
-            assert list(alignment.crossed(x, y, i, j, i_end)) == over
+            assert met == over
     assert got == ends
 
 

@@ -79,7 +79,7 @@ def check(docs, rows: list[tuple], model=lm.Model(), parts=3) -> list:
     for i, texts in want.items():
         for a, b in zip(sorted(texts), sorted(have[i]), strict=True):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
-            assert abs(a[3] - b[3]) <= 3 * a[0] / 2 / 2048 + 1e-9
+            assert abs(a[3] - b[3]) <= 3 * a[0] / 2 / 2048 + 1e-6 * abs(a[3])
     return got
 
 

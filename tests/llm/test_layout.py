@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowlens.llm import mixing, sharding, simhash, token_output as tokens
+from flowlens.llm import decontaminate, mixing, rules, sharding, simhash, token_output as tokens
+from test_minhash import plain_groups
 from tests_llm_data import WORD, prose
 
 
@@ -150,22 +151,9 @@ def test_pipeline_matches_plain_versions(spark, tmp_path):
     before = {r.doc_id for r in first.collect()}
     lang = {r.doc_id: r.text for r in outs["language"]}
     assert len(lang) >= 0.99 * len(before)
-    prints = {i: simhash.fingerprint(t) for i, t in lang.items()}
-    kept: list[int] = []
-    group = {i: i for i in lang}
-
-    def root(i: int) -> int:
-        while group[i] != i:
-            i = group[i]
-        return i
-
     ids = sorted(lang)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2 and root(i) != root(j):
-                a, b = sorted((root(i), root(j)))
-                group[b] = a
-    kept = sorted({root(i) for i in ids})
+    groups = plain_groups([lang[i] for i in ids])
+    kept = sorted({g: min(i for i, x in zip(ids, groups, strict=True) if x == g) for g in groups}.values())
     assert sorted(r.doc_id for r in outs["near_duplicates"]) == kept
     marks = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 
@@ -203,3 +191,20 @@ def test_crc(spark):
 
     row = spark.createDataFrame([("é",), (None,)], "text string").select(F.crc32(whole_text()).alias("c"), sharding.size_of().alias("s")).collect()
     assert [(r.c, r.s) for r in row] == [(zlib.crc32("é".encode()), 3), (0, 1)]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["b", "n", "start", "__b", "__n", "__start", "__leak", "__kept", "__row", "__rules"]
+    docs = spark.createDataFrame(
+        [(i, prose(i % 3, 60), *range(i, i + len(names))) for i in range(9)], ", ".join(["doc_id long, text string", *[f"{c} int" for c in names]])
+    )
+    benchmark = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
+
+    def held(got, keys) -> bool:
+        rows = got.collect()
+        return len(rows) > 0 and all([r[c] for c in names] == list(range(r.doc_id, r.doc_id + len(names))) for r in rows) and set(got.columns) == {*docs.columns, *keys}
+
+    assert held(sharding.shuffle_into_shards(docs, shards=4), ["shard", "slot"])
+    assert held(simhash.deduplicate(docs), [])
+    assert held(decontaminate.decontaminate(docs, benchmark), []) and decontaminate.decontaminate(docs, benchmark).count() == 6
+    assert held(rules.quality_rules(docs), ["rules"])

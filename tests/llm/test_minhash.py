@@ -50,6 +50,18 @@ def test_the_stage_drops_texts_with_a_few_words_edited(spark):
     assert simhash.deduplicate(docs).count() > len(want)
 
 
+def test_large_groups_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 6)
+    rng = random.Random(8)
+    bases = [prose(s, 120) for s in (50, 51)]
+    texts = [edited(bases[n % 2], rng.randrange(1, 7), rng) for n in range(150)] + bases[:1]  # many a little less similar than 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = plain_groups(texts)
+    want = {i: min(j for j, x in enumerate(groups) if x == g) for i, g in enumerate(groups)}
+    assert 5 < len(set(want.values())) < 120
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_odd_rows_and_empty_tables(spark, odd, nothing):
     rows = odd.select("doc_id", "text").collect()
     assert minhash.deduplicate(odd).count() == len(set(plain_groups([r.text for r in rows])))

@@ -128,3 +128,9 @@ def test_folds_are_crc32_of_the_id(spark):
 
     for r in spark.range(50).select("id", fold_of("id", 4).alias("f"), fold_of(F.lit(None).cast("long"), 4).alias("n")).collect():
         assert r.f == zlib.crc32(str(r.id).encode()) % 4 and r.n == 0
+
+
+def test_letters_that_grow_in_lower_case_count_whole():
+    text = "\u0130" * 200 + " abcdefgh" * 40  # each of the first gives two code points
+    found = sum(len(langid.subwords(p, a, b, 1 << 14)) for p, a, b in langid.pieces(text))
+    assert found == sum(len(langid.subwords(p, a, b, 1 << 14)) for p, a, b in langid.pieces(text.lower())) > 200 + 40 * 8
