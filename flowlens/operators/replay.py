@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.functions.numeric import passes
 from flowlens.functions.hashing import row_hash
 from flowlens.plans.ordered import first_k, rank_rows, running_totals
-from flowlens.plans.small import null_safe_join, pinned
+from flowlens.plans.small import cut_lineage, null_safe_join, pinned
+from flowlens.plans.turns import group_sizes, place_in_turn, turn_tables
 
 SATURATED = 0.9999
 
@@ -27,20 +28,28 @@ def case_ids(df: DataFrame, *, protocol: str, outcome: str, order: list[Column |
 
 
 def interleave(df: DataFrame, *, by: list[str], order: list[Column | str], seed: int, name: str = "replay_pos") -> DataFrame:
-    """Take the i-th row of every group in turn; groups rotate in a seeded order."""
+    """Take the i-th row of every group in turn; groups rotate in a seeded order.
+
+    Only rows inside their groups are ordered; the place of a turn follows from the sizes of the groups.
+    """
+    sizes = group_sizes(df, by)
+    tables = turn_tables(sizes, [], by, [row_hash(*by, seed=seed), *[F.col(b) for b in by]], sizes.isLocal())
     ranked = rank_rows(df, by, order, "__turn")
-    group = row_hash(*by, seed=seed)
-    return rank_rows(ranked, [], [F.col("__turn"), group, *[F.col(b) for b in by]], name).drop("__turn")
+    return place_in_turn(ranked, tables, by, "__turn", name).drop("__turn")
 
 
 def interleave_nested(
     df: DataFrame, *, outer: str, inner: str, order: list[Column | str], seed: int, name: str = "replay_pos"
 ) -> DataFrame:
-    """Interleave the inner groups inside every outer group, then the outer groups."""
+    """Interleave the inner groups inside every outer group, then the outer groups. One order, that of the innermost rows."""
+    sizes = group_sizes(df, [outer, inner])
+    few = sizes.isLocal()
+    inside = turn_tables(sizes, [outer], [inner], [row_hash(inner, seed=seed), F.col(inner)], few)
+    whole = sizes.groupBy(outer).agg(F.sum("size").alias("size"))
+    across = turn_tables(whole, [], [outer], [row_hash(outer, seed=seed), F.col(outer)], few)
     ranked = rank_rows(df, [outer, inner], order, "__turn")
-    within = rank_rows(ranked, [outer], [F.col("__turn"), row_hash(inner, seed=seed), F.col(inner)], "__step")
-    out = rank_rows(within, [], [F.col("__step"), row_hash(outer, seed=seed), F.col(outer)], name)
-    return out.drop("__turn", "__step")
+    within = place_in_turn(ranked, inside, [outer, inner], "__turn", "__step")
+    return place_in_turn(within, across, [outer], "__step", name).drop("__turn", "__step")
 
 
 def replay_order(
@@ -104,9 +113,11 @@ def tick_assign(pos: Column | str, rate: int) -> Column:
 
 
 def running_counts(df: DataFrame, *, by: list[str], tick: str, pred: str = "prediction") -> DataFrame:
-    """Flows and alerts so far per tick."""
-    per_tick = df.groupBy(*by, tick).agg(
-        F.count("*").alias("flows"), F.count(F.when(F.col(pred) == 1, F.lit(1))).alias("alerts")
+    """Flows and alerts so far per tick. The ticks are stored, since their order is found before they are summed up."""
+    per_tick = cut_lineage(
+        df.groupBy(*by, tick).agg(
+            F.count("*").alias("flows"), F.count(F.when(F.col(pred) == 1, F.lit(1))).alias("alerts")
+        )
     )
     cum = running_totals(per_tick, by, [tick], {"flows": "flows", "alerts": "alerts"})
     return cum.select(*by, tick, "flows", "alerts", "cum_flows", "cum_alerts")
