@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -10,6 +11,7 @@ _ONES, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: For each byte and r: the place of its bit number r.
 SELECT8 = np.array([[*(p for p in range(8) if b >> p & 1), *[0] * 8][:8] for b in range(256)], np.uint8)
 CHUNK = 1 << 18  # values whose low bits are packed at once
+STEPS = 4  # from number to number before a search by halves
 
 
 def place_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -44,7 +46,7 @@ class EliasFano:
         for at in range(0, n, CHUNK):  # a multiple of 8 values: whole bytes
             part = values[at : at + CHUNK, None] >> np.arange(width) & 1
             low.append(np.packbits(part.astype(np.uint8), bitorder="little"))
-        bits = np.zeros(-(-(n + (top >> width) + 2) // 64) * 64, np.uint8)
+        bits = np.zeros(-(-(n + (top >> width) + 2) // 64) * 64 + 64, np.uint8)
         bits[(values >> width) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.concatenate([[0], np.bitwise_count(high).cumsum(dtype=np.int64)]).astype("<i8" if n >> 31 else "<i4")
@@ -63,11 +65,17 @@ class EliasFano:
 
     def select(self, i: np.ndarray, bit: int) -> np.ndarray:
         """The place of bit number ``i`` that is ``bit``."""
-        counts = self.ones if bit else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        counts = self.counts[bit]
         word = np.searchsorted(counts, i, side="right") - 1
         words = self.high[word]
         return word * 64 + place_in_word(words if bit else ~words, i - counts[word])
 
+    @cached_property
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones before each word, as they are searched."""
+        ones = self.ones.astype(np.int64)
+        return np.arange(len(ones), dtype=np.int64) * 64 - ones, ones
+
     def access(self, i: np.ndarray) -> np.ndarray:
         return (self.select(i, 1) - i << self.width) | self.low_bits(i)
 
@@ -76,16 +84,25 @@ class EliasFano:
         h = x >> self.width
         inside = (h >= 0) & (h < len(self.high) * 64 - self.n)
         h = np.where(inside, h, 0)
-        end = self.select(h, 0) - h
-        start = np.zeros(len(x), np.int64)
-        later = h > 0
-        start[later] = self.select(h[later] - 1, 0) - (h[later] - 1)
-        lo, hi, want = start, end.copy(), x & (1 << self.width) - 1
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_]) >> 1
+        lo, want = np.zeros(len(x), np.int64), x & (1 << self.width) - 1
+        later = np.flatnonzero(h)
+        lo[later] = self.select(h[later] - 1, 0) - (h[later] - 1)
+        open_ = np.flatnonzero(self.bit(h + lo))
+        for _ in range(STEPS):  # of the numbers with these high bits, there is one on average
+            open_ = open_[self.low_bits(lo[open_]) < want[open_]]
+            lo[open_] += 1
+            open_ = open_[self.bit(h[open_] + lo[open_])]
+        hi = self.select(h[open_], 0) - h[open_]
+        while len(open_):
+            mid = (lo[open_] + hi) >> 1
             below = self.low_bits(mid) < want[open_]
-            lo[open_[below]] = mid[below] + 1
-            hi[open_[~below]] = mid[~below]
-        found = inside & (lo < end)
+            lo[open_] = np.where(below, mid + 1, lo[open_])
+            hi = np.where(below, hi, mid)
+            still = lo[open_] < hi
+            open_, hi = open_[still], hi[still]
+        found = inside & self.bit(h + lo)
         found[found] = self.low_bits(lo[found]) == want[found]
         return np.where(inside, lo, np.where(x < 0, 0, self.n)), found
+
+    def bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.high[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

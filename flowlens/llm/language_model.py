@@ -196,6 +196,11 @@ class Corpus:
         at = np.searchsorted(self.firsts, word, side="right") - 1
         return np.where(word == END, self.ends, np.where(word >= WORDS, self.counts[np.maximum(at, 0)], 0))
 
+    def first_below(self, least: int) -> int:
+        """From this number on words are learned from less often than ``least``."""
+        at = int((self.counts >= least).sum())
+        return int(self.firsts[at]) if at < len(self.firsts) else np.iinfo(np.int64).max
+
     def probability(self, word: np.ndarray) -> np.ndarray:
         return (self.count(word) + 1) / (self.tokens + self.kinds + 1)
 
@@ -268,19 +273,23 @@ def words_of(part: pd.DataFrame, known: tuple[np.ndarray, np.ndarray] | None) ->
 
 
 def loads(source: DataFrame, corpus: Corpus, shared) -> dict[int, int]:
-    """Shards with so many tokens to score that their trie is made in several tasks: only a pair of words that many rows have
-    does so, since the rows of a frequent word are dealt out by the word before."""
+    """Shards with so much more to score than their share that several tasks make their trie: those of a frequent pair of
+    words, since the rows of a frequent word are dealt out by the word before, or of the start of very many texts."""
+
+    often = corpus.first_below(corpus.per_shard)  # only words before that number, and the start, are in so many rows
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for _, _, _, lengths, stream in words_of(part, shared and shared.value):
-                rows = Rows.of(lengths, stream)
-                n = np.bincount(corpus.shard(rows.u, rows.v))
+                at = np.flatnonzero(stream < often)
+                before = np.concatenate([[START], stream])[at]
+                before[np.isin(at, np.cumsum(lengths) - lengths)] = START
+                n = np.bincount(corpus.shard(before, stream[at]), minlength=corpus.shards)
+                n[corpus.shard(np.array([NOTHING]), np.array([START]))] += len(lengths)
                 yield pd.DataFrame({"shard": np.flatnonzero(n), "n": n[n > 0]})
 
     found = source.mapInPandas(count, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
-    most = 2 * corpus.per_shard
-    return {r["shard"]: -(-r["n"] // corpus.per_shard) for r in found.where(F.col("n") > most).collect()}
+    return {r["shard"]: 1 + -(-r["n"] // corpus.per_shard) for r in found.where(F.col("n") > corpus.per_shard).collect()}
 
 
 def scattered(source: DataFrame, corpus: Corpus, shared) -> DataFrame:
@@ -349,7 +358,7 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
         empty = np.zeros(0, np.int64)
         v, u, w, n = merged(held or [(empty,) * 4])
         held.clear()
-        return Trie.of(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), n, corpus.probability(w), model.discount).mapped()
+        return Trie.of(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), n, corpus.probability, model.discount).mapped()
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["batch", "ids", "data"])

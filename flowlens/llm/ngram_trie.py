@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mmap
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -11,8 +12,9 @@ import numpy as np
 from flowlens.llm.elias_fano import EliasFano
 
 STEP = 2048  # quantised logarithms: 0 to -32 by 1 / STEP
-#: In the place of the earlier word: the row counts a pair of words, for a middle word whose rows are dealt out by the earlier.
-ANY = (1 << 32) - 1
+#: In the place of the earlier word: the row counts a pair of words, for a middle word whose rows are dealt out by the
+#: earlier. It is the number of a text's end, which no word follows.
+ANY = 2
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -42,33 +44,48 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Rows ``(v, u, w, n)`` sorted, those of equal words as one."""
     v, u, w, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((w, u, v))
-    v, u, w, n = v[order], u[order], w[order], n[order]
-    starts, _ = runs(v, u, w)
-    return v[starts], u[starts], w[starts], np.add.reduceat(n, starts) if len(starts) else n
+    middles = np.unique(v)
+    bits_u, bits_w = (int(x.max(initial=0)).bit_length() for x in (u, w))
+    if len(middles).bit_length() + bits_u + bits_w > 63:
+        order = np.lexsort((w, u, v))
+        v, u, w, n = v[order], u[order], w[order], n[order]
+        starts, _ = runs(v, u, w)
+        return v[starts], u[starts], w[starts], np.add.reduceat(n, starts) if len(starts) else n
+    keys = (np.searchsorted(middles, v) << bits_u | u) << bits_w | w
+    if (n == 1).all():
+        keys.sort()
+        starts, n = runs(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts, _ = runs(keys)
+        n = np.add.reduceat(n[order], starts)
+    keys = keys[starts]
+    return middles[keys >> bits_u + bits_w], keys >> bits_w & (1 << bits_u) - 1, keys & (1 << bits_w) - 1, n
 
 
 @dataclass
 class Trie:
     """Middle words ``v``; of each its next words ``next_`` (with the probability after ``v``) and its earlier words ``before``;
     of each (earlier, middle) the places ``then`` of its next words among those of ``v`` (with the probability after both).
-    ``off_*`` are the weights with which shorter contexts go on. Pointers are the first places of each list, monotone."""
+    ``off_*`` are the weights with which shorter contexts go on. Pointers are the first places of each list, monotone; the
+    lists of middle words lie ``stride`` apart, those of contexts as near as they can."""
 
     middle: EliasFano
     next_: EliasFano
     before: EliasFano
     then: EliasFano
     to_next: EliasFano
-    to_before: EliasFano
     to_then: EliasFano
     p_next: np.ndarray
     p_then: np.ndarray
     off_middle: np.ndarray
     off_before: np.ndarray
+    stride: int
 
     @classmethod
-    def of(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, p_word: np.ndarray, discount: float) -> Trie:
-        """From sorted rows ``(v, u, w, n)`` with the probability ``p_word`` of ``w`` alone, by interpolated absolute
+    def of(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, alone: Callable, discount: float) -> Trie:
+        """From sorted rows ``(v, u, w, n)`` and the probability of each word ``alone``, by interpolated absolute
         discounting: p(w | context) = (n - discount) / N + discount * kinds / N * p(w | shorter context)."""
         whole = u == ANY
         vs, us, ws, ns = v[~whole], u[~whole], w[~whole], n[~whole]
@@ -79,29 +96,22 @@ class Trie:
         middles = pv[at]
         total = np.add.reduceat(pn, at) if len(at) else pn
         off_middle = discount * size / np.maximum(1, total)
-        p1 = np.zeros(len(pw))
-        known, first = np.unique(w, return_index=True)
-        p1[:] = p_word[first][np.searchsorted(known, pw)]
-        p_next = (pn - discount) / np.repeat(total, size) + np.repeat(off_middle, size) * p1
+        p_next = (pn - discount) / np.repeat(total, size) + np.repeat(off_middle, size) * alone(pw)
         # the earlier words of each middle word, then the next words of both as places among those of the middle word
         bat, bsize = runs(vs, us)
         bv, bu = vs[bat], us[bat]
         btotal = np.add.reduceat(ns, bat) if len(bat) else ns
         off_before = discount * bsize / np.maximum(1, btotal)
         m = np.searchsorted(middles, vs)
-        width = int(w.max(initial=0)) + 1
-        index = np.searchsorted(np.repeat(np.arange(len(at)), size) * width + pw, m * width + ws)
+        stride = int(max(w.max(initial=0), u.max(initial=0))) + 1
+        pairs_at = np.repeat(np.arange(len(at)), size) * stride + pw
+        index = np.searchsorted(pairs_at, m * stride + ws)
         p_then = (ns - discount) / np.repeat(btotal, bsize) + np.repeat(off_before, bsize) * p_next[index]
-        place = index - at[m]
-        mat, msize = runs(bv)
-        before_size = np.zeros(len(middles), np.int64)
-        before_size[np.searchsorted(middles, bv[mat])] = msize
-        before_start = np.cumsum(before_size) - before_size
-        ends = [np.append(at, len(pw)), np.append(before_start, len(bu)), np.append(bat, len(ws))]
+        pointers = [EliasFano.of(np.append(x, n)) for x, n in ((at, len(pw)), (bat, len(ws)))]
         return cls(
-            EliasFano.of(middles), EliasFano.of(chained(pw, at, size)), EliasFano.of(chained(bu, mat, msize)), EliasFano.of(chained(place, bat, bsize)),
-            *[EliasFano.of(e + np.arange(len(e))) for e in ends],  # strictly rising also where a list is empty
-            quantised(p_next), quantised(p_then), quantised(off_middle), quantised(off_before),
+            EliasFano.of(middles), EliasFano.of(pairs_at), EliasFano.of(np.searchsorted(middles, bv) * stride + bu),
+            EliasFano.of(chained(index - at[m], bat, bsize)), *pointers,
+            quantised(p_next), quantised(p_then), quantised(off_middle), quantised(off_before), stride,
         )
 
     def mapped(self) -> Trie:
@@ -123,43 +133,50 @@ class Trie:
             if isinstance(x, EliasFano):
                 made[f.name] = EliasFano(x.n, x.width, *[got[f"{f.name}.{i}"] for i in range(3)])
             else:
-                made[f.name] = got[f.name]
+                made[f.name] = got.get(f.name, x)
         return Trie(**made)
 
     def arrays(self) -> list[tuple[str, np.ndarray]]:
         out = []
         for f in fields(self):
             x = getattr(self, f.name)
-            out += [(f"{f.name}.{i}", a) for i, a in enumerate(x.parts())] if isinstance(x, EliasFano) else [(f.name, x)]
+            if isinstance(x, EliasFano):
+                out += [(f"{f.name}.{i}", a) for i, a in enumerate(x.parts())]
+            elif isinstance(x, np.ndarray):
+                out.append((f.name, x))
         return out
 
-    @staticmethod
-    def find(level: EliasFano, pointers: EliasFano, parent: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``x`` among the children of each ``parent``: its place, whether it is there, and where the children start."""
-        start = pointers.access(parent) - parent
-        stop = pointers.access(parent + 1) - parent - 1
+    def following(self, context: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place ``x`` of a middle word's list among what follows each context: where it is, and whether it is there."""
+        start, stop = self.to_then.access(context), self.to_then.access(context + 1)
         base = np.zeros(len(x), np.int64)
-        base[start > 0] = level.access(start[start > 0] - 1)
-        place, found = level.successor(base + x + 1)
-        return place, found & (place >= start) & (place < stop), start
+        base[start > 0] = self.then.access(start[start > 0] - 1)
+        place, found = self.then.successor(base + x + 1)
+        return place, found & (place < stop)
 
     def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p_word: np.ndarray) -> np.ndarray:
         """log10 p(w | u v) of each row; ``p_word`` is the probability of ``w`` alone."""
         out = np.log10(p_word)
         if not self.middle.n:
             return out
+        order = np.argsort(v, kind="stable")  # neighbours read the same places
+        out[order] = self.told(u[order], v[order], w[order], out[order])
+        return out
+
+    def told(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, out: np.ndarray) -> np.ndarray:
         middle, known = self.middle.successor(v)
         rows = np.flatnonzero(known)
         u, w, middle = u[rows], w[rows], middle[rows]
-        place, pair, start = self.find(self.next_, self.to_next, middle, w)
+        place, pair = self.next_.successor(middle * self.stride + w)
+        pair &= w < self.stride  # a greater number is of another list
         told = out[rows] + logs(self.off_middle[middle])
         told[pair] = logs(self.p_next[place[pair]])
-        if self.before.n:
-            before, context, _ = self.find(self.before, self.to_before, middle, u)
-            # the next word counts from the start of the middle word's list
-            both = np.flatnonzero(context & pair)
-            then, triple, _ = self.find(self.then, self.to_then, before[both], place[both] - start[both])
-            told[context] += logs(self.off_before[before[context]])
-            told[both[triple]] = logs(self.p_then[then[triple]])
+        before, context = self.before.successor(middle * self.stride + u)
+        context &= u < self.stride
+        # the next word counts from the start of the middle word's list
+        both = np.flatnonzero(context & pair)
+        then, triple = self.following(before[both], place[both] - self.to_next.access(middle[both]))
+        told[context] += logs(self.off_before[before[context]])
+        told[both[triple]] = logs(self.p_then[then[triple]])
         out[rows] = told
         return out

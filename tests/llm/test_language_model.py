@@ -112,7 +112,7 @@ def test_probabilities_add_up():
     p1 = np.bincount(line, minlength=44)[words] + 1.0
     p1 /= p1.sum()
     v, u, w, n = parts
-    trie = Trie.of(v, u, w, n, p1[w - 3], 0.75).mapped()
+    trie = Trie.of(v, u, w, n, lambda x: p1[x - 3], 0.75).mapped()
     for a, b in ((line[0], line[1]), (3, 4), (43, 3), (3, 44)):
         total = (10 ** trie.score(np.full(41, a), np.full(41, b), words, p1)).sum()
         assert total == pytest.approx(1, abs=2e-3)
@@ -122,7 +122,7 @@ def test_probabilities_add_up():
     for part in range(2):
         mine = hot & (u % 2 == part)
         known = merged([(v[mine], u[mine], w[mine], n[mine]), (pairs[0], np.full(len(pairs[0]), ANY), pairs[1], pairs[3])])
-        split = Trie.of(*known, p1[known[2] - 3], 0.75)
+        split = Trie.of(*known, lambda x: p1[x - 3], 0.75)
         at = np.flatnonzero((line[1:-1] == 3) & (line[:-2] % 2 == part))
         args = line[at], line[at + 1], line[at + 2], p1[line[at + 2] - 3]
         assert (split.score(*args) == trie.score(*args)).all()
