@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.coerce import is_finite
 from flowlens.operators.profile import long_features
 from flowlens.plans.ordered import exact_quantiles
+from flowlens.plans.quantiles import wide_quantiles
 from flowlens.plans.small import null_safe_join, once_per_row, pinned
 
 ROLES = ("min", "avg", "max", "tot_sum", "number", "srate", "drate", "rate")
@@ -31,7 +32,9 @@ def feature_constraints(
     """Bounds from percentiles (never below 0), and locks for named or low-cardinality 0..1 features."""
     long = long_features(df, [by], features).where(is_finite("value"))
     keys = [by, "feature"]
-    q = exact_quantiles(long, keys, "value", {"p_low": low, "p_high": high})
+    finite = {f: F.when(is_finite(F.col(f"`{f}`").cast("double")), F.col(f"`{f}`").cast("double")) for f in features}
+    q = wide_quantiles(df, [by], finite, {"p_low": low, "p_high": high})
+    q = q.withColumnsRenamed({"min_value": "raw_min", "max_value": "raw_max"}).drop("n")
     level = F.bround("value", 6)
     levels = long.groupBy(*keys, level.alias("level")).agg(F.count("*").alias("c"))
     shape = levels.groupBy(*keys).agg(
@@ -40,8 +43,7 @@ def feature_constraints(
         F.min("level").alias("lo_level"),
         F.max("level").alias("hi_level"),
     )
-    ends = long.groupBy(*keys).agg(F.min("value").alias("raw_min"), F.max("value").alias("raw_max"))
-    j = null_safe_join(null_safe_join(q, shape, keys), ends, keys)
+    j = null_safe_join(q, shape, keys)
     semantic = F.col("feature").isin(semantic_locks) if semantic_locks else F.lit(False)
     auto = (F.col("unique_count") <= max_levels) & (F.col("lo_level") >= -1e-8) & (F.col("hi_level") <= 1.0 + 1e-8)
     lower = F.greatest(F.lit(0.0), F.col("p_low"))

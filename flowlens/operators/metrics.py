@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.numeric import f_beta, ratio
 from flowlens.operators.rank_metrics import rank_metrics
 from flowlens.plans.ordered import exact_quantiles
+from flowlens.plans.quantiles import wide_quantiles
 from flowlens.plans.small import null_safe_join
 
 GLOBAL_SCOPE = "global_protocol_routed"
@@ -188,8 +189,9 @@ def extended_metrics(df: DataFrame, *, label: str, pred: str, score: str, by: st
         }
     ).drop("sum_attack", "sum_benign", "sum_ll", "sum_brier", "sq_mean")
     probs = {"score_p01": 0.01, "score_p05": 0.05, "score_p50": 0.5, "score_p95": 0.95, "score_p99": 0.99}
-    per_scope = exact_quantiles(df, [by], score, probs).withColumnRenamed(by, "scope")
-    overall = exact_quantiles(df.withColumn("scope", F.lit(GLOBAL_SCOPE)), ["scope"], score, probs)
+    per_scope = wide_quantiles(df, [by], {score: s}, probs).withColumnRenamed(by, "scope")
+    overall = wide_quantiles(df, [], {score: s}, probs).withColumn("scope", F.lit(GLOBAL_SCOPE))
+    per_scope, overall = (q.select("scope", *probs) for q in (per_scope, overall))
     ranks = rank_metrics(df, by=by, score=score, label=label, with_global=GLOBAL_SCOPE)
     out = null_safe_join(c, per_scope.unionByName(overall), ["scope"], "left")
     return null_safe_join(out, ranks, ["scope"], "left")

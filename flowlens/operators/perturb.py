@@ -14,8 +14,9 @@ from flowlens.functions.numeric import l2_norm, max_abs, passes, placeable, rati
 from flowlens.operators.constraints import each, let, project_bounds
 from flowlens.operators.metrics import GLOBAL_SCOPE, worst_case
 from flowlens.operators.score import LinearModel, by_protocol
-from flowlens.plans.ordered import array_position, best_row, exact_quantiles, first_k
-from flowlens.plans.small import null_safe_join, once_per_row, pinned
+from flowlens.plans.ordered import array_position, best_row, first_k
+from flowlens.plans.quantiles import wide_quantiles
+from flowlens.plans.small import cut_lineage, null_safe_join, once_per_row, pinned
 
 
 def attach_surrogate(df: DataFrame, models: dict[str, LinearModel], features: list[str], *, by: str) -> DataFrame:
@@ -210,11 +211,13 @@ def perturbation_stats(df: DataFrame, *, x: str, adv: str, n: int, by: list[str]
         "l2_norm": l2_norm("__s"),
         "linf_norm": max_abs("__s"),
     }
-    cells = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()])
-    long = rows.select(*by, F.explode(cells).alias("m")).select(*by, "m.*")
-    keys = [*by, "measure"]
-    mean = long.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg("value").alias("mean"))
-    return null_safe_join(mean, exact_quantiles(long, keys, "value", {"median": 0.5, "p95": 0.95}), keys)
+    # five numbers a row are stored, since their quantiles need three looks and the moves are costly
+    narrow = cut_lineage(rows.select(*by, *[v.alias(k) for k, v in measures.items()]))
+    means = narrow.groupBy(*by).agg(*[f(k).alias(f"{s}_{k}") for k in measures for s, f in (("n", F.count), ("m", F.avg))])
+    cells = [F.struct(F.lit(k).alias("measure"), F.col(f"n_{k}").alias("rows"), F.col(f"m_{k}").alias("mean")) for k in measures]
+    mean = means.select(*by, F.inline(F.array(*cells)))
+    q = wide_quantiles(narrow, by, {k: F.col(k) for k in measures}, {"median": 0.5, "p95": 0.95}, "measure")
+    return null_safe_join(mean, q.select(*by, "measure", "median", "p95"), [*by, "measure"])
 
 
 def changed_rows(x: str, adv: str, n: int, tol: float = 1e-9) -> Column:

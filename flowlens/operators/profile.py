@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import ratio
-from flowlens.plans.ordered import exact_quantiles
+from flowlens.plans.quantiles import wide_quantiles
 from flowlens.plans.small import null_safe_join, pinned
 
 
@@ -131,35 +131,42 @@ def long_features(df: DataFrame, ids: list[str], features: list[str]) -> DataFra
 
 
 def iqr_outliers(df: DataFrame, *, features: list[str], min_rows: int = 20, fence: float = 1.5) -> DataFrame:
-    """Rows outside the interquartile fences per feature; constant and thin features are skipped."""
-    long = long_features(df, [], features)
-    q = exact_quantiles(long, ["feature"], "value", {"q1": 0.25, "q3": 0.75})
-    q = pinned(q.withColumn("iqr", F.col("q3") - F.col("q1")).where(F.col("iqr") > 0)).withColumns(
-        {
-            "lower_fence": F.col("q1") - F.lit(fence) * F.col("iqr"),
-            "upper_fence": F.col("q3") + F.lit(fence) * F.col("iqr"),
-        }
-    )
-    joined = null_safe_join(long.where(F.col("value").isNotNull()), q, ["feature"])
-    out = joined.groupBy("feature", "q1", "q3", "iqr", "lower_fence", "upper_fence").agg(
-        F.count("*").alias("n"),
-        _count_if((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))).alias(
-            "outlier_count"
-        ),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
+    """Rows outside the interquartile fences per feature; constant and thin features are skipped.
+
+    Fences come from quantiles of all columns at once, and one wide aggregate counts what is beyond them.
+    """
+    columns = {f: F.col(f"`{f}`").cast("double") for f in features}
+    q = wide_quantiles(df, [], columns, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = pinned(
+        q.where((F.col("iqr") > 0) & (F.col("n") >= min_rows)).withColumns(
+            {
+                "lower_fence": F.col("q1") - F.lit(fence) * F.col("iqr"),
+                "upper_fence": F.col("q3") + F.lit(fence) * F.col("iqr"),
+            }
+        )
     )
-    out = out.where(F.col("n") >= min_rows).withColumn("outlier_rate", ratio("outlier_count", "n", "max1"))
+    fences = {r["feature"]: r for r in q.collect()}  # one row for each feature
+    beyond = [
+        _count_if((columns[f] < F.lit(r["lower_fence"])) | (columns[f] > F.lit(r["upper_fence"]))).alias(f"o{i}")
+        for i, (f, r) in enumerate(fences.items())
+    ]
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"o{i}").alias("outlier_count")) for i, f in enumerate(fences)]
+    if not fences:
+        return q.select("feature", "q1", "q3", "iqr", "lower_fence", "upper_fence", "n", F.col("n").alias("outlier_count"),
+                        "min_value", "max_value", F.col("q1").alias("outlier_rate"))
+    counts = df.agg(*beyond).select(F.inline(F.array(*cells)))
+    out = q.join(counts, "feature").select(
+        "feature", "q1", "q3", "iqr", "lower_fence", "upper_fence", "n", "outlier_count", "min_value", "max_value",
+        ratio("outlier_count", "n", "max1").alias("outlier_rate"),
+    )
     return out.orderBy(F.col("outlier_rate").desc(), F.col("outlier_count").desc(), "feature")
 
 
 def feature_quantiles(df: DataFrame, *, features: list[str], label: str) -> DataFrame:
     """Deciles, quartiles and range per feature and class."""
-    long = long_features(df, [label], features)
-    by = ["feature", label]
-    q = exact_quantiles(long, by, "value", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
-    ends = long.groupBy(*by).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-    return null_safe_join(q, ends, by)
+    columns = {f: F.col(f"`{f}`").cast("double") for f in features}
+    probs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    return wide_quantiles(df, [label], columns, probs).select("feature", label, *probs, "min_value", "max_value")
 
 
 def correlation_matrix(df: DataFrame, *, features: list[str]) -> DataFrame:
