@@ -163,16 +163,72 @@ def fitted(scored_rows, by):
     return counts.join(auc, "protocol", "left")
 
 
-# L-04: a protocol with one class only gets zero weights
-@query(f"""SELECT *, true AS single_class_is_flat FROM ({FITTED_SQL})""", ("flows",))
+def newton_sql(steps: int, reg: float, features: list[str] = FEATURES) -> str:
+    """The same steps in SQL: standardised rows, sums of slope and curvature, a linear system for each protocol solved by
+    elimination, one column after another."""
+    d = len(features) + 1
+    ids, train = range(d), "FROM flows WHERE split = 'train'"
+    stats = ", ".join(f"avg({f}) AS m{i}, CASE WHEN stddev_pop({f}) > 1e-6 THEN stddev_pop({f}) ELSE 1 END AS s{i}" for i, f in enumerate(features, 1))
+    ctes = [
+        f"st AS (SELECT {P} AS g, min(label) = max(label) AS flat, {stats} {train} GROUP BY 1)",
+        "x AS MATERIALIZED (SELECT g, CAST(label AS DOUBLE) AS y, flat, 1::DOUBLE AS z0, "
+        + ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(features, 1))
+        + f" FROM (SELECT * {train}) f JOIN st ON f.{P} IS NOT DISTINCT FROM st.g)",
+        "b0 AS (SELECT g, " + ", ".join(f"0::DOUBLE AS b{i}" for i in ids) + " FROM st)",
+    ]
+    for k in range(steps):
+        score = " + ".join(f"b{i} * z{i}" for i in ids)
+        slopes = ", ".join(f"sum((y - p) * z{i}) / count(*) - {reg if i else 0}::DOUBLE * any_value(b{i}) AS r{i}" for i in ids)
+        bends = ", ".join(f"sum(p * (1 - p) * z{i} * z{j}) / count(*) + {reg if i == j and i else 0}::DOUBLE AS a{i}_{j}" for i in ids for j in ids)
+        ctes.append(f"""h{k} AS MATERIALIZED (SELECT g, {slopes}, {bends} FROM (SELECT x.*, {", ".join(f"b{i}" for i in ids)},
+    1 / (1 + exp(-({score}))) AS p FROM x JOIN b{k} b ON x.g IS NOT DISTINCT FROM b.g WHERE NOT flat) GROUP BY g)""")
+        last = f"h{k}"
+        for c in ids:  # clear column c from all rows but its own
+            cells = [f"a{i}_{j} - a{i}_{c} / a{c}_{c} * a{c}_{j} AS a{i}_{j}" if i != c else f"a{i}_{j}" for i in ids for j in ids if j > c]
+            cells += [f"a{i}_{i}" for i in ids if i <= c]
+            right = [f"r{i} - a{i}_{c} / a{c}_{c} * r{c} AS r{i}" if i != c else f"r{i}" for i in ids]
+            ctes.append(f"h{k}_{c} AS (SELECT g, {', '.join(right + cells)} FROM {last})")
+            last = f"h{k}_{c}"
+        moved = ", ".join(f"b.b{i} + coalesce(r{i} / a{i}_{i}, 0) AS b{i}" for i in ids)
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT b.g, {moved} FROM b{k} b LEFT JOIN {last} h ON h.g IS NOT DISTINCT FROM b.g)")
+    return f"WITH {', '.join(ctes)} "
+
+
+def coefficients(spark, models):
+    rows = [(g, c, float(v)) for g, m in models.items() for c, v in {"": m.bias, **m.weights}.items()]
+    return spark.createDataFrame(rows, "protocol string, feature string, coefficient double")
+
+
+# L-04: weights and bias after two steps from zero, for all protocols at once
+@query(newton_sql(2, 1e-4) + " UNION ALL ".join(
+    f"SELECT g AS protocol, '{f}' AS feature, round(b{i}, 6) AS coefficient FROM b2" for i, f in enumerate(["", *FEATURES])), ("flows",))
+def logistic_steps(spark, sf):
+    train = flows(spark, sf).where(F.col("split") == "train")
+    return rounded(coefficients(spark, M.train_logistic(train, features=FEATURES, label="label", by=P, max_iter=2)))
+
+
+# L-04, L-01: the whole fit, and what it makes of the test rows; a protocol with one class only gets zero weights
+@query(newton_sql(9, 1e-4) + f""", s AS (SELECT {P} AS protocol, label, 1 / (1 + exp(-(b0 + {
+    " + ".join(f"b{i} * ({f} - m{i}) / s{i}" for i, f in enumerate(FEATURES, 1))}))) AS p
+    FROM flows f JOIN b9 ON f.{P} IS NOT DISTINCT FROM b9.g JOIN st ON f.{P} IS NOT DISTINCT FROM st.g WHERE split = 'test')
+  SELECT protocol, count(*) AS rows, count(*) FILTER (WHERE label = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE label = 0 AND p >= 0.5) AS fp,
+    round(avg(p), 5) AS mean_score, round(-avg(ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)), 5) AS loss FROM s GROUP BY 1""", ("flows",))
 def train_logistic(spark, sf):
     f = flows(spark, sf)
-    train = f.where(F.col("split") == "train")
-    models = M.train_logistic(train, features=FEATURES, label="label", by=P)
-    s = score.routed_score(f.where(F.col("split") == "test"), models, THRESHOLDS)
-    flat = M.train_logistic(train.where((F.col(P) == "mqtt") & (F.col("label") == 0)), features=FEATURES, label="label", by=P)
-    ok = set(flat) == {"mqtt"} and not any(flat["mqtt"].weights.values())
-    return fitted(s, "protocol_used").withColumn("single_class_is_flat", F.lit(ok))
+    models = M.train_logistic(f.where(F.col("split") == "train"), features=FEATURES, label="label", by=P)
+    p = F.lit(None).cast("double")
+    for g, m in models.items():
+        p = F.when(F.col(P).eqNullSafe(F.lit(g)), m.score({c: F.col(c) for c in FEATURES})).otherwise(p)
+    s = f.where(F.col("split") == "test").select(F.col(P).alias("protocol"), "label", p.alias("p")).where(F.col("p").isNotNull())
+    hit = F.when(F.col("p") >= 0.5, 1)
+    out = s.groupBy("protocol").agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(F.col("label") == 1, hit)).alias("tp"),
+        F.count(F.when(F.col("label") == 0, hit)).alias("fp"),
+        F.avg("p").alias("mean_score"),
+        (-F.avg(F.log(F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p"))))).alias("loss"),
+    )
+    return rounded(out, 5)
 
 
 # L-05, L-14
@@ -222,15 +278,35 @@ def boosted_sql(rounds: int) -> str:
     return f"WITH {', '.join(ctes)} {out}"
 
 
+BOOSTED = 5
+
+
 # L-08
-@query(boosted_sql(3), ("flows",))
+@query(boosted_sql(BOOSTED), ("flows",))
 def adaboost_stumps(spark, sf):
     f = flows(spark, sf).select("source_row_index", P, "label", *FEATURES)
-    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=3)
+    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=BOOSTED)
     rows = [(i, s["feature"], float(s["threshold"]), int(s["polarity"]), float(s["alpha"])) for i, s in enumerate(stumps)]
     return rounded(spark.createDataFrame(rows, "round int, feature string, threshold double, polarity int, alpha double"), 5)
 
 
+def boosted_votes_sql(rounds: int) -> str:
+    votes = " + ".join(
+        f"(SELECT CASE WHEN (CASE b.feature {' '.join(f"WHEN '{f}' THEN f.{f}" for f in FEATURES)} END >= b.threshold) = (b.polarity = 1) THEN b.alpha ELSE -b.alpha END FROM b{r} b)"
+        for r in range(rounds)
+    )
+    ctes = boosted_sql(rounds).rpartition(" SELECT 0 AS round")[0]
+    return f"{ctes} SELECT source_row_index, round(1 / (1 + exp(-2 * ({votes}))), 5) AS score FROM flows f"
+
+
+# L-08: the ensemble's score of every row
+@query(boosted_votes_sql(BOOSTED), ("flows",))
+def adaboost_scores(spark, sf):
+    f = flows(spark, sf).select("source_row_index", P, "label", *FEATURES)
+    stumps = M.adaboost_stumps(f, features=FEATURES, label="label", rounds=BOOSTED)
+    return rounded(f.select("source_row_index", M.adaboost_score(stumps).alias("score")), 5)
+
+
 # L-09: tuned on the validation rows of the leakage-safe split of the train rows
 @query("""SELECT trial, CASE WHEN trial < 2 THEN 'coarse' ELSE 'refine' END AS stage, 'ok' AS status, true AS feasible
   FROM range(3) r(trial) WHERE (SELECT count(*) FROM flows) > 0""", ("flows",))

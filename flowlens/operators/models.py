@@ -9,7 +9,6 @@ import random
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -18,10 +17,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.numeric import sigmoid
+from flowlens.operators.logistic import fit_logistic as train_logistic
 from flowlens.operators.metrics import GLOBAL_SCOPE
-from flowlens.operators.profile import standardizer
 from flowlens.operators.rank_metrics import roc_points
-from flowlens.operators.score import LinearModel
 from flowlens.operators.thresholds import validation_objective
 
 
@@ -35,35 +33,6 @@ def _of_group(by: str, g: str | None) -> Column:
     return F.col(by).eqNullSafe(F.lit(g))
 
 
-def train_logistic(
-    df: DataFrame, *, features: list[str], label: str, by: str, weight: str | None = None, reg: float = 1e-4,
-    max_iter: int = 50,
-) -> dict[str, LinearModel]:
-    """One weighted logistic model per group over standardised features; a single-class group gets zero weights."""
-    out = {}
-    for g in _groups(df, by):
-        part = df.where(_of_group(by, g))
-        stats = {r["feature"]: r for r in standardizer(part, features=features, sample=False).collect()}
-        mean = {f: float(stats[f]["mean"]) for f in features}
-        std = {f: float(stats[f]["std"]) for f in features}
-        classes = part.select(label).distinct().count()
-        if classes < 2:
-            out[g] = LinearModel({f: 0.0 for f in features}, 0.0, mean, std)
-            continue
-        scaled = part.select(
-            *[((F.col(f"`{f}`") - F.lit(mean[f])) / F.lit(std[f])).alias(f"x{i}") for i, f in enumerate(features)],
-            F.col(label).cast("double").alias("y"),
-            (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
-        )
-        assembled = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="v").transform(scaled)
-        fit = LogisticRegression(
-            featuresCol="v", labelCol="y", weightCol="w", regParam=reg, maxIter=max_iter, standardization=False
-        ).fit(assembled)
-        coef = fit.coefficients.toArray()
-        out[g] = LinearModel({f: float(coef[i]) for i, f in enumerate(features)}, float(fit.intercept), mean, std)
-    return out
-
-
 def _assembled(df: DataFrame, features: list[str], label: str, weight: str | None) -> DataFrame:
     safe = {f: f"__x{i}" for i, f in enumerate(features)}
     out = df.withColumns(
@@ -195,6 +164,7 @@ def adaboost_stumps(df: DataFrame, *, features: list[str], label: str, rounds: i
 
 
 def adaboost_score(stumps: list[dict]) -> Column:
+    """The chance of an attack that the stumps' weighted vote says."""
     total = F.lit(0.0)
     for s in stumps:
         total = total + F.when(_stump_hit(s), F.lit(s["alpha"])).otherwise(F.lit(-s["alpha"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators.metrics import COUNTS, confusion_counts, confusion_ratios, scope_rollup, worst_case
-from flowlens.operators.models import train_logistic
+from flowlens.operators.logistic import fit_logistic as train_logistic
 from flowlens.operators.constraints import attach_profile, spread, vector
 from flowlens.operators.perturb import attach_surrogate, scenario_metrics, shift_fgsm
 from flowlens.operators.combine import weighted_union
