@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from flowlens.plans.small import cut_lineage
 #: Numbers of what is no word: nothing before the start, the start, the end. Words follow by falling count.
 NOTHING, START, END, WORDS = 0, 1, 2, 3
 PAIRS, QUERIES, TEXTS = 0, 1, 2
+FREQUENT = 1 << 16  # words whose counts are looked up at once
+ROWS = 1 << 18  # tokens that are scored at once
 
 
 @dataclass(frozen=True)
@@ -190,12 +193,23 @@ class Corpus:
     per_shard: int
     copies: dict[int, int] = field(default_factory=dict)  # shards that several tasks make, each for a part of what is scored
 
-    def count(self, word: np.ndarray) -> np.ndarray:
+    def searched(self, word: np.ndarray) -> np.ndarray:
         if not len(self.counts):
             return np.where(word == END, self.ends, 0)
         at = np.searchsorted(self.firsts, word, side="right") - 1
         return np.where(word == END, self.ends, np.where(word >= WORDS, self.counts[np.maximum(at, 0)], 0))
 
+    @cached_property
+    def frequent(self) -> np.ndarray:
+        """Counts of the words that most tokens are."""
+        return self.searched(np.arange(FREQUENT))
+
+    def count(self, word: np.ndarray) -> np.ndarray:
+        out = self.frequent[np.minimum(word, FREQUENT - 1)]
+        rest = np.flatnonzero(word >= FREQUENT)
+        out[rest] = self.searched(word[rest])
+        return out
+
     def first_below(self, least: int) -> int:
         """From this number on words are learned from less often than ``least``."""
         at = int((self.counts >= least).sum())
@@ -206,7 +220,10 @@ class Corpus:
 
     def spread(self, v: np.ndarray) -> np.ndarray:
         """Into how many shards the rows of a middle word go, by their earlier word."""
-        return np.where(v >= WORDS, self.count(v) // self.per_shard + 1, 1)
+        out = np.ones(len(v), np.int64)
+        often = np.flatnonzero((v >= WORDS) & (v < self.first_below(self.per_shard)))
+        out[often] += self.count(v[often]) // self.per_shard
+        return out
 
     def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return self.bucket(v, mixed(u) % self.spread(v))
@@ -347,12 +364,26 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
     def small(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         return *(x.astype(np.uint32) for x in rows[:3]), rows[3]
 
-    def score(trie: Trie, batch: int, data: bytes) -> tuple:
-        u, v, w, steps = opened(data)
-        doc = (steps >> 1).cumsum()
-        docs, first = np.unique(doc, return_index=True)
-        sums = np.add.reduceat(trie.score(u, v, w, corpus.probability(w)), first)
-        return batch, None, b"s" + zstandard.compress(np.diff(docs, prepend=0).astype("<u4").tobytes() + sums.astype("<f4").tobytes(), 1)
+    def score(trie: Trie, waiting: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch, data in waiting:
+            held.append((batch, *opened(data)))
+            size += len(held[-1][1])
+            if size >= ROWS:
+                yield sums(trie, held)
+                held, size = [], 0
+        if held:
+            yield sums(trie, held)
+
+    def sums(trie: Trie, held: list[tuple]) -> pd.DataFrame:
+        u, v, w = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        logs, out, at = trie.score(u, v, w, corpus.probability(w)), [], 0
+        for batch, _, _, _, steps in held:
+            docs, first = np.unique((steps >> 1).cumsum(), return_index=True)
+            total = np.add.reduceat(logs[at : at + len(steps)], first).astype("<f4")
+            out.append((batch, None, b"s" + zstandard.compress(np.diff(docs, prepend=0).astype("<u4").tobytes() + total.tobytes(), 1)))
+            at += len(steps)
+        return frame(out)
 
     def trie_of(held: list[tuple[np.ndarray, ...]]) -> Trie:
         empty = np.zeros(0, np.int64)
@@ -366,21 +397,17 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, trie, held, size, waiting = None, None, [], 0, []
 
-        def rest() -> pd.DataFrame:
-            made = trie_of(held) if waiting else None
-            return frame([score(made, *x) for x in waiting])
-
         for part in parts:
             for shard, salt, kind, batch, ids, data in part[COLUMNS].itertuples(index=False):
                 if (shard, salt) != now:
                     if waiting:
-                        yield rest()
+                        yield from score(trie_of(held), waiting)
                     now, trie, held, size, waiting = (shard, salt), None, [], 0, []
                 if kind == TEXTS:
                     yield frame([(batch, ids, b"t" + data)])
                 elif kind == QUERIES and shard in copies:
                     trie = trie or trie_of(held)
-                    yield frame([score(trie, batch, data)])
+                    yield from score(trie, [(batch, data)])
                 else:
                     u, v, w, n = opened(data)
                     if kind == QUERIES:
@@ -393,7 +420,7 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
                         held = [merged(held)]
                         size = len(held[0][0])
         if waiting:
-            yield rest()
+            yield from score(trie_of(held), waiting)
 
     copies = corpus.copies
     return dealt.mapInPandas(work, SCORED)

@@ -159,7 +159,7 @@ class Trie:
         out = np.log10(p_word)
         if not self.middle.n:
             return out
-        order = np.argsort(v, kind="stable")  # neighbours read the same places
+        order = np.argsort(v << 32 | u)  # neighbours read the same places
         out[order] = self.told(u[order], v[order], w[order], out[order])
         return out
 
