@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from flowlens.catalog.base import (
@@ -15,6 +17,7 @@ from flowlens.catalog.base import (
     flows,
     query,
     rounded,
+    row_hash_sql,
 )
 from flowlens.catalog.profile_queries import unpivot_sql
 from flowlens.operators import combine, constraints as C, perturb, reports, score, search
@@ -519,18 +522,77 @@ def guarded_threshold_tune(spark, sf):
 PLAN = search.SearchPlan(eps=0.1, budget=12, steps=3, candidates=4, subset=2, refine=2, objective="maximize")
 
 
-# C-16, A-38: every benign row is searched. The moves come from hashes SQL does not have; it checks who is searched, who
-# alerted before, and that budget, bounds and locks hold
+def unit_sql(*parts: str) -> str:
+    return f"({row_hash_sql('source_row_index', *parts, seed=PLAN.seed)} / {float(1 << 60)}::DOUBLE)"
+
+
+def search_sql(steps: int) -> str:
+    """The search of two free features: each step draws the same moves, scores them and keeps the best if it is better."""
+    moves = {"value": "0", "k": "1"}
+    first = {f: f"{unit_sql('step', 'c', i)}" for f, i in moves.items()}
+    cap = {f: f"least({PLAN.eps}::DOUBLE * greatest(hi_{f} - lo_{f}, 1e-12), 0.5::DOUBLE * greatest(abs({f}), 1))" for f in moves}
+    ctes = [f"""t0 AS MATERIALIZED (SELECT source_row_index, {P}, threshold, value, k, hr, lo_value, hi_value, lo_k, hi_k, lo_hr, hi_hr, value AS x_value, k AS x_k,
+    {score_sql("value", "k")} - threshold AS base, {score_sql("value", "k")} - threshold AS margin, 0 AS queries, 0 AS moves
+    FROM flows JOIN wide ON wp = {P} WHERE label = 0)"""]
+    # a locked feature or a small allowance may keep a point outside its bounds: it is repaired to where the row was
+    fits = " AND ".join(f"{x} >= lo_{f} - 1e-6 AND {x} <= hi_{f} + 1e-6" for f, x in (("value", "n_value"), ("k", "n_k"), ("hr", "hr")))
+    for step in range(steps):
+        new = []
+        for f, i in moves.items():
+            other = next(g for g in moves if g != f)
+            # with one of two to move, it is the one of the lower draw
+            chosen = f"(w = 2 OR u_{f} < u_{other} OR u_{f} = u_{other} AND {i} = 0)"
+            size = f"(0.35::DOUBLE + 0.65::DOUBLE * {unit_sql('step', 'c', i, chr(39) + 'size' + chr(39))})"
+            sign = f"CASE WHEN {unit_sql('step', 'c', i, chr(39) + 'sign' + chr(39))} < 0.65 THEN 1 ELSE -1 END"
+            to = f"x_{f} + CASE WHEN {chosen} THEN ({sign}) * {size} * ({cap[f]}) ELSE 0 END"
+            new.append(f"{f} + least(greatest(least(greatest({to}, lo_{f}), hi_{f}) - {f}, -({cap[f]})), {cap[f]}) AS n_{f}")
+        ctes.append(f"""c{step} AS MATERIALIZED (SELECT *, {score_sql("n_value", "n_k")} - threshold AS m FROM (SELECT *, {", ".join(new)} FROM (
+    SELECT *, {", ".join(f"{u} AS u_{f}" for f, u in first.items())}, CAST(floor({unit_sql("step", "c", "'width'")} * {PLAN.subset}) AS INTEGER) + 1 AS w
+    FROM (SELECT t.*, {step} AS step, c FROM t{step} t, (VALUES (1), (2), (3), (4)) x(c) WHERE margin < 0 AND queries < {PLAN.budget}))))""")
+        ctes.append(f"""t{step + 1} AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN better THEN b.n_value ELSE x_value END AS x_value,
+    CASE WHEN better THEN b.n_k ELSE x_k END AS x_k, CASE WHEN better THEN b.m ELSE margin END AS margin,
+    queries + CASE WHEN b.id IS NULL THEN 0 ELSE {PLAN.candidates + PLAN.refine} END AS queries, moves + CAST(coalesce(better, false) AS INTEGER) AS moves)
+    FROM t{step} t LEFT JOIN (SELECT source_row_index AS id, n_value, n_k, m, fits AND m > margin + 1e-9 AS better FROM (
+      SELECT *, {fits} AS fits FROM c{step} QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY m DESC, n_value, n_k) <= {PLAN.refine})
+      QUALIFY row_number() OVER (PARTITION BY source_row_index ORDER BY fits DESC, m DESC, n_value, n_k) = 1) b ON b.id = source_row_index)""")
+    return f"WITH {ADV_SQL}, {', '.join(ctes)}"
+
+
+# C-16: every row's point and margin after one step
+@query(f"""{search_sql(1)} SELECT source_row_index, round(x_value, 6) AS x_value, round(x_k, 6) AS x_k, round(margin, 6) AS margin,
+    queries, moves FROM t1""", ("flows",))
+def search_step(spark, sf):
+    result, _ = searched(spark, sf, replace(PLAN, steps=1))
+    out = C.spread(result, "x_cur", ADV, "x_").select("source_row_index", "x_value", "x_k", "margin", "queries", "moves")
+    return rounded(out)
+
+
+def searched(spark, sf, plan):
+    rows = adv_rows(spark, sf).where(F.col("label") == 0)
+    margin = lambda v: perturb.surrogate_score(v, 3) - F.col("threshold")
+    return search.hill_climb(rows, key="source_row_index", x="x", n=3, margin=margin, plan=plan)
+
+
+# C-16, A-38: the whole search, whose budget is two rounds of four moves and two repairs; bounds and locks hold
+@query(f"""{search_sql(2)} SELECT {P}, count(*) AS targeted_rows, count(*) FILTER (WHERE base >= 0) AS baseline_false_alarm_rows,
+    count(*) FILTER (WHERE margin >= 0) AS attack_successes_any, count(*) FILTER (WHERE base < 0 AND margin >= 0) AS flip_rows,
+    round(avg(CAST(base < 0 AND margin >= 0 AS DOUBLE)), 6) AS flip_rate, round(avg(CAST(margin >= 0 AS DOUBLE)), 6) AS attacked_pred_attack_rate,
+    CAST(sum(queries) AS BIGINT) AS queries_total, round(avg(queries), 6) AS queries_mean, round(avg(moves), 6) AS accepted_moves_mean,
+    round(quantile_cont(CAST(queries AS DOUBLE), 0.95), 6) AS queries_p95 FROM t2 GROUP BY 1""", ("flows",))
+def budgeted_candidate_search(spark, sf):
+    result, _ = searched(spark, sf, PLAN)
+    result = cut_lineage(result)
+    found = C.integrity(result.withColumn("x", F.col("x_cur")), x="x", x0="x0", index={}, n=3, eps=PLAN.eps, by=[P], queries="queries")
+    C.assert_integrity(cut_lineage(found), budget=PLAN.budget)
+    return rounded(search.campaign_stats(result, by=[P]))
+
+
+# C-16: nothing is lost, and no row takes more than the budget or goes down
 @query(f"""WITH {ADV_SQL} SELECT {P}, count(*) AS targeted_rows, count(*) FILTER (WHERE {score_sql("value", "k")} >= threshold)
     AS baseline_false_alarm_rows, true AS none_lost, true AS within_budget, true AS only_upwards
   FROM flows JOIN wide ON wp = {P} WHERE label = 0 GROUP BY 1""", ("flows",))
 def budgeted_search_guards(spark, sf):
-    rows = adv_rows(spark, sf).where(F.col("label") == 0)
-    margin = lambda v: perturb.surrogate_score(v, 3) - F.col("threshold")
-    result, _ = search.hill_climb(rows, key="source_row_index", x="x", n=3, margin=margin, plan=PLAN)
-    result = result.withColumn("x", F.col("x_cur"))
-    found = cut_lineage(C.integrity(result, x="x", x0="x0", index={}, n=3, eps=PLAN.eps, by=[P], queries="queries"))
-    C.assert_integrity(found, budget=PLAN.budget)
+    result, _ = searched(spark, sf, PLAN)
     stats = search.campaign_stats(result, by=[P])
     sane = result.groupBy(P).agg(
         F.every(F.col("queries") <= PLAN.budget).alias("within_budget"),
@@ -540,18 +602,25 @@ def budgeted_search_guards(spark, sf):
     return stats.join(sane, P).select(P, "targeted_rows", "baseline_false_alarm_rows", "none_lost", "within_budget", "only_upwards")
 
 
-@query()
-def budgeted_candidate_search(spark, sf):
-    rows = adv_rows(spark, sf).where(F.col("label") == 0)
+# C-16 with C-08, C-09: candidates are repaired by the relations of their features before they count. Each row falls back to
+# a point that keeps them, or to where it was
+@query(f"""WITH {RELATED_SQL}, v AS (SELECT * FROM cnd WHERE source_row_index IN (SELECT source_row_index FROM flows WHERE label = 0))
+  SELECT {P}, count(*) AS targeted_rows, count(*) FILTER (WHERE f_rate <= 40) AS done_before FROM v GROUP BY 1""", ("flows",))
+def related_candidate_search(spark, sf):
+    rows = related_rows(spark, sf).join(flows(spark, sf).where(F.col("label") == 0).select("source_row_index"), "source_row_index")
+    rate, plan = RELATED.index("f_rate"), replace(PLAN, eps=EPS, steps=2, objective="minimize")
     result, _ = search.hill_climb(
-        rows,
-        key="source_row_index",
-        x="x",
-        n=3,
-        margin=lambda v: perturb.surrogate_score(v, 3) - F.col("threshold"),
-        plan=PLAN,
-    )
-    return rounded(search.campaign_stats(result, by=[P]))
+        rows.drop("x").withColumn("x", F.col("x0")).drop("x0"), key="source_row_index", x="x", n=len(RELATED),
+        margin=lambda v: F.get(v, F.lit(rate)) - F.lit(40.0 + 1e-9), plan=plan, index=ROLE_INDEX,
+    )
+    result = cut_lineage(result)
+    # a row that moved keeps all relations, bounds and locks; one that broke them before may stay where it was
+    moved = result.where("moves > 0")
+    broken = moved.where(C.relation_flags(F.col("x_cur"), ROLE_INDEX, 1e-6)["any"]).count()
+    if broken:
+        raise AssertionError(f"{broken} accepted points break a relation")
+    done = F.count(F.when(F.col("baseline_margin") < 0, 1)).alias("done_before")
+    return result.groupBy(P).agg(F.count("*").alias("targeted_rows"), done)
 
 
 # C-17, O-04

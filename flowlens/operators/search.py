@@ -1,9 +1,10 @@
 """Budgeted hill-climbing over feature moves, as an iterative DataFrame job.
 
 Each step proposes a few sparse moves per active row, scores them, repairs and scores the best again, and keeps the best
-of those, all inside one projection: candidates live in an array of the row, so a step needs no shuffle. Moves are seeded by hashes of
-(row key, step, candidate, feature), so a recomputed partition gives the same rows. Between steps the state is
-checkpointed to reliable storage and one aggregate row decides whether to go on.
+of those, all inside one projection: candidates live in an array of the row, so a step needs no shuffle. Moves are seeded by
+md5 hashes of (row key, step, candidate, feature), so that any engine draws the same ones. Only rows that are still open are
+written anew, to reliable storage; finished ones stay where the step that ended them left them. One aggregate row decides
+whether to go on.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.hashing import unit_hash
 from flowlens.operators.constraints import each, let, max_delta, project_capped, project_row
-from flowlens.plans.ordered import exact_quantiles
+from flowlens.plans.ordered import exact_quantiles, order_cutoffs
 from flowlens.plans.small import cut_lineage, null_safe_join, once_per_row
 
 
@@ -33,24 +35,23 @@ class SearchPlan:
     seed: int = 42
 
 
-def _unit(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-
-
 def _proposal(key: Column, step: int, cand: Column, n: int, plan: SearchPlan) -> Column:
     """Move a random subset of 1..subset unlocked features by 35..100 % of their allowance, mostly towards the goal."""
-    salt = F.lit(plan.seed * 1000 + step)
-    width = F.floor(_unit(key, salt, cand, F.lit(-1)) * F.lit(plan.subset)).cast("int") + F.lit(1)
+
+    def unit(*parts: Column | str) -> Column:
+        return unit_hash(key, F.lit(step), cand, *[F.lit(x) if isinstance(x, str) else x for x in parts], seed=plan.seed)
+
+    width = F.floor(unit("width") * F.lit(plan.subset)).cast("int") + F.lit(1)
     free = F.filter(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ~F.get("p_locked", i) & (F.get("__cap", i) > 1e-12)
     )
-    order = F.array_sort(F.transform(free, lambda i: F.struct(_unit(key, salt, cand, i).alias("u"), i.alias("i"))))
+    order = F.array_sort(F.transform(free, lambda i: F.struct(unit(i).alias("u"), i.alias("i"))))
     chosen = F.transform(F.slice(order, F.lit(1), width), lambda s: s["i"])
     towards = -1.0 if plan.objective == "minimize" else 1.0
 
     def moved(chosen: Column, i: Column) -> Column:
-        size = F.lit(0.35) + F.lit(0.65) * _unit(key, salt, cand, i, F.lit("size"))
-        sign = F.when(_unit(key, salt, cand, i, F.lit("sign")) < 0.65, F.lit(towards)).otherwise(F.lit(-towards))
+        size = F.lit(0.35) + F.lit(0.65) * unit(i, "size")
+        sign = F.when(unit(i, "sign") < 0.65, F.lit(towards)).otherwise(F.lit(-towards))
         return F.get("x_cur", i) + F.when(F.array_contains(chosen, i), sign * size * F.get("__cap", i)).otherwise(
             F.lit(0.0)
         )
@@ -82,22 +83,16 @@ def hill_climb(
         {"baseline_margin": F.col("margin"), "queries": F.lit(0), "moves": F.lit(0), "success": goal(F.col("margin"))}
     )
     state = cut_lineage(state)
+    columns = state.columns
+    is_open = ~F.col("success") & (F.col("queries") < plan.budget)
+    finished, frontier = [state.where(~is_open)], state.where(is_open)
     info = {"steps": 0, "progress_steps": 0, "stagnated": 0, "active_total": 0, "active_max": 0}
     stale = 0
     for step in range(max(1, plan.steps)):
-        open_rows = ~F.col("success") & (F.col("queries") < plan.budget)
+        active, waiting = frontier, None
         if plan.active_cap:
-            chosen = (
-                state.where(open_rows)
-                .orderBy(signed(F.col("margin")).desc() if low else F.col("margin").asc(), key)
-                .limit(plan.active_cap)
-                .select(key, F.lit(True).alias("__pick"))
-            )
-            marked = null_safe_join(state, chosen, [key], "left")
-            active = F.coalesce(F.col("__pick"), F.lit(False))
-        else:
-            marked, active = state, open_rows
-        marked = marked.withColumn("__active", active)
+            active, waiting = _nearest(frontier, [-F.col("margin") if low else F.col("margin"), F.col(key)], plan.active_cap)
+        marked = active.withColumn("__active", F.lit(True))
         left = F.lit(plan.budget) - F.col("queries")
         reserve = F.when((left > 2) & F.lit(plan.candidates > 1), F.least(F.lit(plan.refine), left - 1)).otherwise(0)
         width = F.least(F.lit(plan.candidates), F.greatest(F.lit(1), left - reserve))
@@ -142,15 +137,19 @@ def hill_climb(
                 "success": goal(new_margin),
             }
         )
-        stepped = cut_lineage(stepped.select(*[c for c in stepped.columns if c in state.columns or c in ("__active", "__before")]))
-        row = stepped.where("__active").agg(
+        stepped = cut_lineage(stepped.select(*columns, "__before"))
+        row = stepped.agg(
             F.count("*").alias("active"),
             F.min("__before").alias("before"),
             F.min(signed(F.col("margin"))).alias("after"),
         ).first()
         if not row["active"]:
             break
-        state = stepped.drop("__active", "__before")
+        stepped = stepped.drop("__before")
+        finished.append(stepped.where(~is_open))
+        frontier = stepped.where(is_open)
+        if waiting is not None:
+            frontier = frontier.unionByName(waiting)
         info["steps"] += 1
         info["active_total"] += row["active"]
         info["active_max"] = max(info["active_max"], row["active"])
@@ -162,7 +161,21 @@ def hill_climb(
             if plan.patience and stale >= plan.patience:
                 info["stagnated"] = 1
                 break
-    return state.drop("__cap"), info
+    out = frontier
+    for part in finished:
+        out = out.unionByName(part)
+    return out.drop("__cap"), info
+
+
+def _nearest(frontier: DataFrame, order: list[Column], cap: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``cap`` rows by ``order`` and the others, told apart by a cut-off in place."""
+    one = frontier.withColumn("__scope", F.lit(0))
+    cut = order_cutoffs(one, ["__scope"], order, frontier.sparkSession.createDataFrame([(0, cap)], "__scope int, target long"))
+    own = F.struct(*[c.alias(f"__o{i}") for i, c in enumerate(order)])
+    marked = null_safe_join(one.withColumn("__own", own), cut, ["__scope"], "left")
+    inside = F.coalesce(F.col("take_all") | (F.col("__own") <= F.col("cutoff")), F.lit(False))
+    marked = marked.withColumn("__in", inside).drop("__scope", "__own", "take_all", "cutoff")
+    return marked.where("__in").drop("__in"), marked.where("not __in").drop("__in")
 
 
 def campaign_stats(result: DataFrame, *, by: list[str]) -> DataFrame:

@@ -214,3 +214,20 @@ def test_search_repairs_and_scores_its_best_candidates(spark):
         assert all(abs(a - b) <= 2.0 + 1e-6 for a, b in zip(r.x_cur, x0))
         assert r.margin >= r.baseline_margin and r.success == (r.margin >= 0)
     assert any(r.success for r in rows) and any(r.moves for r in rows)
+
+
+def test_search_steps_the_nearest_rows_and_keeps_the_others(spark):
+    rows = [(i, [float(i), 1.0], [0.0] * 2, [10.0] * 2, [10.0] * 2, [9.0] * 2, [False, True]) for i in range(9)]
+    df = spark.createDataFrame(
+        rows,
+        "id int, x array<double>, p_lower array<double>, p_upper array<double>, p_span array<double>, p_cap array<double>, "
+        "p_locked array<boolean>",
+    )
+    plan = search.SearchPlan(eps=0.1, budget=6, steps=2, candidates=4, subset=1, refine=2, objective="maximize", active_cap=3)
+    margin = lambda v: F.get(v, F.lit(0)) - F.lit(5.5)
+    out, info = search.hill_climb(df, key="id", x="x", n=2, margin=margin, plan=plan)
+    got = {r.id: r for r in out.collect()}
+    assert sorted(got) == list(range(9)) and info["active_max"] == 3 and info["active_total"] == 6
+    # those furthest from success first; done rows and rows that waited are as they were
+    assert [i for i, r in got.items() if r.queries == 0] and all(got[i].queries == 0 for i in (6, 7, 8))
+    assert sum(r.queries > 0 for r in got.values()) == 6 and all(got[i].x_cur[0] == i for i in got if got[i].queries == 0)
