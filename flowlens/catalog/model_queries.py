@@ -326,13 +326,17 @@ def tune_trials(spark, sf):
     return out.select(F.col("trial").cast("bigint").alias("trial"), "stage", "status", good.alias("feasible"))
 
 
-# L-12: every protocol gets a decision, and its threshold keeps both campaigns' gates or says so
-@query(f"""SELECT {P} AS scope, true AS decided, true AS consistent FROM flows WHERE split = 'test' GROUP BY 1""", ("flows",))
+# L-12: every protocol gets a decision on the validation rows of the leakage-safe split of the train rows, and its threshold
+# keeps both campaigns' gates or says so
+@query(f"""SELECT {P} AS scope, true AS decided, true AS consistent FROM flows WHERE split = 'train' GROUP BY 1""", ("flows",))
 def robust_refit(spark, sf):
     from flowlens.operators import constraints as C
 
-    f = flows(spark, sf).select("source_row_index", P, "label", "split", *FEATURES)
-    train, val = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
+    marked, _ = split.capture_val_split(
+        flows(spark, sf).where(F.col("split") == "train"), strata=[P, "label"], capture="source_relpath", row="source_row_index", seed=SEED
+    )
+    f = cut_lineage(marked.select("source_row_index", P, "label", "is_val", *FEATURES))
+    train, val = f.where(~F.col("is_val")), f.where("is_val")
     con = C.feature_constraints(train, by=P, features=FEATURES, semantic_locks=["hr"])
     prof = C.profile_arrays(con, by=P, features=FEATURES, caps={x: 0.5 for x in FEATURES})
     gates = {"clean_fpr_max": 0.2, "attacked_fpr_max": 0.25, "adv_recall_min": 0.6}

@@ -50,10 +50,18 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 
 def write_splits(df: DataFrame, root: str, *, split: str, fmt: str = "parquet") -> dict[str, str]:
-    """The train and the test sink of a merge: one table for each, without the split column. Returns their paths."""
-    paths = {name: f"{root.rstrip('/')}/{name}" for name in ("train", "test")}
+    """The train and the test sink of a merge: one table for each, without the split column. Returns their paths.
+
+    Rows of another split, or of none, are not lost: where there are any they go to a third table, ``other``, with the column.
+    """
+    names = ("train", "test")
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in names}
     for name, path in paths.items():
         write_table(df.where(F.col(split) == name).drop(split), path, fmt=fmt)
+    other = df.where(F.coalesce(~F.col(split).isin(*names), F.lit(True)))
+    if not other.isEmpty():
+        paths["other"] = f"{root.rstrip('/')}/other"
+        write_table(other, paths["other"], fmt=fmt)
     return paths
 
 

@@ -117,3 +117,13 @@ def test_replay_is_rebuilt_when_its_inputs_change(spark, tmp_path):
         assert out.count() == n
     out = sinks.materialize_replay(spark, lambda: spark.range(99), store, {"a": 1}, [source])
     assert out.count() == 5
+
+
+def test_rows_of_another_split_are_written_apart(spark, tmp_path):
+    from flowlens.sources.sinks import write_splits
+
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, None), (4, "holdout")], "id int, part string")
+    paths = write_splits(df, str(tmp_path / "a"), split="part")
+    ids = {name: sorted(r.id for r in spark.read.parquet(path).collect()) for name, path in paths.items()}
+    assert ids == {"train": [1], "test": [2], "other": [3, 4]}
+    assert set(write_splits(df.where("id < 3"), str(tmp_path / "b"), split="part")) == {"train", "test"}
