@@ -163,7 +163,7 @@ def fit(
             parts = model.langs, model.table, model.bias, model.temperature, model.reject_below
             yield pd.DataFrame([(pickle.dumps(parts),)], columns=["model"])
 
-    made = found.coalesce(1).mapInPandas(learn, "model binary").collect()
+    made = found.repartition(1).mapInPandas(learn, "model binary").collect()
     return LanguageModel(*pickle.loads(made[0]["model"])) if made else LanguageModel(table=np.zeros((buckets, 0), np.float32))
 
 
