@@ -29,10 +29,10 @@ def stream_score(spark, sf):
     return rounded(A.drain(scored_stream(spark, sf).select(*cols)))
 
 
-# ST-02
+# ST-02: contributions of equal size rank by name, as in linear_contributions
 @query("""SELECT source_row_index, attack_family, round(score_attack, 6) AS score_attack, round(margin, 6) AS margin,
-    3 AS parts, CASE WHEN abs(w_value * value) >= abs(w_k * k) AND abs(w_value * value) >= abs(w_hr * hr) THEN 'value'
-      WHEN abs(w_k * k) >= abs(w_hr * hr) THEN 'k' ELSE 'hr' END AS top_feature
+    3 AS parts, CASE WHEN abs(w_hr * hr) >= abs(w_k * k) AND abs(w_hr * hr) >= abs(w_value * value) THEN 'hr'
+      WHEN abs(w_k * k) >= abs(w_value * value) THEN 'k' ELSE 'value' END AS top_feature
   FROM scored WHERE prediction = 1""", ("flows", "scored"))
 def alert_stream(spark, sf):
     out = A.drain(A.alert_stream(scored_stream(spark, sf), MODELS, keep=["source_row_index", "attack_family"]))
