@@ -90,16 +90,18 @@ def route_unknown(spark, sf):
     )
 
 
-# L-01, L-02: infinite features, some of which cancel to NaN, and protocols in mixed case, without thresholds
+# L-01, L-02: infinite features, some of which cancel to NaN, and protocols in mixed case, without thresholds: scores of 0.5
+# and more are alerts, also where the log-odds are a rounding error below zero
 @query("""WITH x AS (SELECT protocol_hint AS protocol_used,
       CASE WHEN source_row_index % 7 = 0 THEN 'inf'::DOUBLE ELSE value END AS v,
       CASE WHEN source_row_index % 5 = 0 THEN '-inf'::DOUBLE ELSE k END AS k, hr FROM flows),
     s AS (SELECT protocol_used, CASE protocol_used
         WHEN 'wifi' THEN -3.7::DOUBLE + 0.03::DOUBLE * v + 0.05::DOUBLE * k + 0.01::DOUBLE * hr
         WHEN 'mqtt' THEN -3.5::DOUBLE + 0.025::DOUBLE * v + 0.055::DOUBLE * k + 0.005::DOUBLE * hr
-        ELSE -3.6::DOUBLE + 0.035::DOUBLE * v + 0.045::DOUBLE * k - 0.01::DOUBLE * hr END AS z FROM x)
-  SELECT protocol_used, count(*) AS rows, count(*) FILTER (WHERE isnan(z)) AS not_a_number,
-    count(*) FILTER (WHERE NOT isnan(z) AND z >= 0) AS alerts FROM s GROUP BY 1""", ("flows",))
+        ELSE -3.6::DOUBLE + 0.035::DOUBLE * v + 0.045::DOUBLE * k - 0.01::DOUBLE * hr END AS z FROM x),
+    p AS (SELECT protocol_used, 1::DOUBLE / (1::DOUBLE + exp(-z)) AS score_attack FROM s)
+  SELECT protocol_used, count(*) AS rows, count(*) FILTER (WHERE isnan(score_attack)) AS not_a_number,
+    count(*) FILTER (WHERE NOT isnan(score_attack) AND score_attack >= 0.5::DOUBLE) AS alerts FROM p GROUP BY 1""", ("flows",))
 def routed_score_not_finite(spark, sf):
     i, inf = F.col("source_row_index"), F.lit(float("inf"))
     f = flows(spark, sf).withColumns(

@@ -30,3 +30,9 @@ def test_contributions_of_equal_size_rank_by_name(agree):
     # 0.03 * 100 = 0.05 * 60; 0.03 * 10 = 0.05 * 6 and less than 3.7
     rows = [("click", 1, 100.0, 60), ("click", 1, 101.0, 60), ("click", 1, 99.0, 60), ("click", 1, 10.0, 6)]
     assert [r[-1] for r in agree("alert_stream", rows)] == ["k", "value", "k"]
+
+
+def test_scores_on_the_threshold_are_alerts(agree):
+    # log-odds of -3.5 + 0.025 * value + 0.055 * k + 0.005 * hour: -2e-16, whose score is 0.5, then below and above
+    rows = [("signup", 0, 82.8, 26), ("signup", 0, 82.7, 26), ("signup", 0, 82.9, 26)]
+    assert agree("routed_score_not_finite", rows) == [("mqtt", 3, 0, 2)]
