@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct id pairs whose counts are handed to every task as arrays of 16 bytes each; more are joined.
 MAX_SHARED_PAIRS = 1 << 22
 HELD = 1 << 22  # pairs that a task holds before it sums them up
+SINGLY = 8  # most runs of equal ends are short: as many are compared one by one
 
 #: Characters whose class is the same in every version of Unicode that the libraries may know. Other texts go to the
 #: slower of two byte-pair coders, whose file this is.
@@ -41,6 +42,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Entries:
+    """The bytes of all ids of a vocabulary in one array, and their numbers in print: with a comma, and with the mark that ends a
+    group's side."""
+
+    def __init__(self, entries: list[bytes], mark: str):
+        self.blob = np.frombuffer(b"".join(entries), np.uint8)
+        self.sizes = np.array(list(map(len, entries)), np.int64)
+        self.starts = self.sizes.cumsum() - self.sizes
+        self.printed = np.array([f"{i}{after}".encode() for after in (",", mark) for i in range(len(entries))])
+
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ``ids`` and the end of each."""
+        sizes = self.sizes[ids]
+        ends = sizes.cumsum()
+        places = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        places += np.arange(len(places))
+        return self.blob[places].tobytes(), ends
+
+    def said(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return self.printed[ids + last * len(self.sizes)]
+
+
 class ByteLevel:
     """Ids of a byte-level vocabulary file, and the bytes of each; special tokens in a text are plain text."""
 
@@ -54,7 +77,7 @@ class ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.bytes[v] = k
-        self.sizes, self.said = list(map(len, self.bytes)), list(map(str, range(len(self.bytes))))
+        self.entries = Entries(self.bytes, "|")
 
     def __call__(self, text: str) -> list[int]:
         text = " " + text
@@ -73,7 +96,7 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             coded = re.fullmatch("<0x([0-9A-F]{2})>", piece)
             self.bytes.append(bytes([int(coded[1], 16)]) if coded else piece.replace("▁", " ").encode())
-        self.sizes, self.said = list(map(len, self.bytes)), list(map(str, range(len(self.bytes))))
+        self.entries = Entries(self.bytes, ";")
 
     def __call__(self, text: str) -> list[int]:
         return self.model.encode(text)
@@ -92,8 +115,14 @@ class Vocabularies:
 
 
 def common_run(x: list[int], y: list[int], i: int, j: int) -> int:
-    """How many entries from ``x[i]`` and ``y[j]`` on are equal, one by one: stretches of doubling length, then halving."""
-    limit, n, width = min(len(x) - i, len(y) - j), 0, 1
+    """How many entries from ``x[i]`` and ``y[j]`` on are equal, one by one: the first few singly, then stretches of doubling
+    length, then halving."""
+    limit, n, width = min(len(x) - i, len(y) - j), 0, SINGLY
+    few = min(limit, SINGLY)
+    while n < few and x[i + n] == y[j + n]:
+        n += 1
+    if n < few:
+        return n
     while n < limit:
         width = min(width, limit - n)
         if x[i + n : i + n + width] != y[j + n : j + n + width]:
@@ -110,33 +139,46 @@ def common_run(x: list[int], y: list[int], i: int, j: int) -> int:
     return n
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
-    """Groups ``(i, i_end, j, j_end, met)`` of two rising lists with the same last entry. A stretch of one-to-one groups comes
-    as one entry, of equal length on both sides and with nothing in ``met``; of any other group ``met`` has the places whose
-    ranges overlap.
+def stretches(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Stretches ``(i, j, n)`` of one-to-one groups of two rising lists with the same last entry; what lies between two of them,
+    or after the last, is one group. An empty stretch stands between neighbours of that kind, and where one ends the lists.
 
     While tokens match one to one, the shift between the lists stays and whole stretches are compared at once. Where the
     ends part, the side that is behind moves on until both meet; from there the shift is another.
     """
     i = j = 0
-    while i < len(ends_a):
-        if n := common_run(ends_a, ends_b, i, j):
-            yield i, i + n, j, j + n, []
-            i, j = i + n, j + n
-            if i == len(ends_a):
-                return
-        p, q, x, y = i, j, ends_a[i], ends_b[j]
-        met = [(p, q)]
+    while True:
+        n = common_run(ends_a, ends_b, i, j)
+        yield i, j, n
+        i, j = i + n, j + n
+        if i == len(ends_a):
+            return
+        x, y = ends_a[i], ends_b[j]
         while x != y:
             if x < y:
-                p += 1
-                x = ends_a[p]
+                i += 1
+                x = ends_a[i]
             else:
-                q += 1
-                y = ends_b[q]
-            met.append((p, q))
-        yield i, p + 1, j, q + 1, met
-        i, j = p + 1, q + 1
+                j += 1
+                y = ends_b[j]
+        i, j = i + 1, j + 1
+
+
+def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Groups ``(i, i_end, j, j_end, met)`` of two rising lists with the same last entry, by ``stretches``. A stretch of
+    one-to-one groups comes as one entry, of equal length on both sides and with nothing in ``met``; of any other group
+    ``met`` has the places whose ranges overlap."""
+    i = j = 0
+    for p, q, n in stretches(ends_a, ends_b):
+        if i < p:
+            met = [(i, j)]
+            while met[-1] != (p - 1, q - 1):
+                x, y = met[-1]
+                met.append((x + 1, y) if ends_a[x] < ends_b[y] else (x, y + 1))
+            yield i, p, j, q, met
+        if n:
+            yield p, p + n, q, q + n, []
+        i, j = p + n, q + n
 
 
 @dataclass
@@ -156,26 +198,39 @@ def aligned(text: str, coder_a: ByteLevel, coder_b: Pieces) -> Aligned:
     if not text:
         return Aligned()
     whole = b" " + text.encode("utf-8", "replace")
-    a, b = coder_a(text), coder_b(text)
-    if any(b"".join(map(x.bytes.__getitem__, ids)) != whole for x, ids in ((coder_a, a), (coder_b, b))):
+    a, b = (np.array(coder(text), np.int64) for coder in (coder_a, coder_b))
+    (bytes_a, ends_a), (bytes_b, ends_b) = coder_a.entries.joined(a), coder_b.entries.joined(b)
+    if bytes_a != whole or bytes_b != whole:
         return Aligned()
-    ends_a, ends_b = (list(accumulate(map(x.sizes.__getitem__, ids))) for x, ids in ((coder_a, a), (coder_b, b)))
-    said_a, said_b = coder_a.said.__getitem__, coder_b.said.__getitem__
-    said, left, right, n = [], [], [], 0
-    for i, i_end, j, j_end, met in align(ends_a, ends_b):
-        own, other = a[i:i_end], b[j:j_end]
-        if met:
-            said.append(",".join(map(said_a, own)) + "|" + ",".join(map(said_b, other)))
-            left += [a[p] for p, _ in met]
-            right += [b[q] for _, q in met]
-            n += 1
-        else:
-            said += map("|".join, zip(map(said_a, own), map(said_b, other), strict=True))
-            left += own
-            right += other
-            n += i_end - i
-    codes, links = np.unique(np.array(left, np.int64) << 32 | np.array(right, np.int64), return_counts=True)
-    return Aligned(len(a), len(b), n, ";".join(said), codes >> 32, codes & 0xFFFFFFFF, links)
+    last_a, last_b = last_of_groups(ends_a, ends_b)
+    # in print, a token comes after all groups before its own, and one of B after its own group's of A
+    before = np.concatenate([[0], last_b + 1])
+    ends_group = [np.zeros(len(x), bool) for x in (a, b)]
+    ends_group[0][last_a] = ends_group[1][last_b] = True
+    group_a, group_b = (x.cumsum() - x for x in ends_group)
+    said_a, said_b = coder_a.entries.said(a, ends_group[0]), coder_b.entries.said(b, ends_group[1])
+    said = np.empty(len(a) + len(b), np.result_type(said_a, said_b))
+    said[np.arange(len(a)) + before[group_a]] = said_a
+    said[np.arange(len(b)) + last_a[group_b] + 1] = said_b
+    said = said.view(np.uint8)
+    groups = said[said != 0].tobytes().decode("ascii")[:-1]
+    # two tokens overlap up to the nearer of their ends: each end of A, and each of B inside a token of A, is one link's
+    inside = np.flatnonzero(~ends_group[1])
+    left = np.concatenate([a, a[np.searchsorted(ends_a, ends_b[inside])]])
+    right = np.concatenate([b[np.searchsorted(ends_b, ends_a)], b[inside]])
+    codes, links = np.unique(left << 32 | right, return_counts=True)
+    return Aligned(len(a), len(b), len(last_a), groups, codes >> 32, codes & 0xFFFFFFFF, links)
+
+
+def last_of_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the last tokens of all groups on both sides."""
+    found = np.fromiter(chain.from_iterable(stretches(ends_a.tolist(), ends_b.tolist())), np.int64).reshape(-1, 3)
+    i, j, n = found.T
+    # a stretch stands for its own groups and the one that ends before it
+    first = (n + 1).cumsum() - (n + 1)
+    along = np.arange(int((n + 1).sum()))
+    last = [np.repeat(x - 1 - first, n + 1) + along for x in (i, j)]
+    return last[0][1:], last[1][1:]
 
 
 def packed(x: Aligned) -> bytes:
