@@ -108,12 +108,14 @@ def relative_caps(spark, sf):
     return C.relative_caps_table(names, feature="feature", default=0.5, rate=0.2, size=0.3, time=0.1)
 
 
-def related_rows(spark, sf, locks=None):
-    """Rows with their profile arrays: x0 is the original vector, x a moved candidate that breaks some relations."""
+def related_rows(spark, sf, locks=None, label=None):
+    """Rows with their profile arrays: x0 is the original vector, x a moved candidate that breaks some relations. Profiles are
+    those of all rows, also where only rows of one ``label`` are wanted."""
     caps = C.relative_caps(RELATED, default=0.5, rate=0.2, size=0.3)
     con = constraint_table(spark, sf, RELATED, locks=locks)
     prof = C.profile_arrays(con, by=P, features=RELATED, caps=caps, bands=band_table(spark, sf))
-    f = C.attach_profile(flows(spark, sf), prof, by=P)
+    f = spread_out(flows(spark, sf))
+    f = C.attach_profile(f if label is None else f.where(F.col("label") == label), prof, by=P)
     shift = F.col("hr") - F.lit(12.0)
     moved = [
         F.col("f_min") + F.lit(2.0) * shift,
@@ -607,7 +609,7 @@ def budgeted_search_guards(spark, sf):
 @query(f"""WITH {RELATED_SQL}, v AS (SELECT * FROM cnd WHERE source_row_index IN (SELECT source_row_index FROM flows WHERE label = 0))
   SELECT {P}, count(*) AS targeted_rows, count(*) FILTER (WHERE f_rate <= 40) AS done_before FROM v GROUP BY 1""", ("flows",))
 def related_candidate_search(spark, sf):
-    rows = related_rows(spark, sf).join(flows(spark, sf).where(F.col("label") == 0).select("source_row_index"), "source_row_index")
+    rows = related_rows(spark, sf, label=0)
     rate, plan = RELATED.index("f_rate"), replace(PLAN, eps=EPS, steps=2, objective="minimize")
     result, _ = search.hill_climb(
         rows.drop("x").withColumn("x", F.col("x0")).drop("x0"), key="source_row_index", x="x", n=len(RELATED),
