@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.hashing import unit_hash
-from flowlens.operators.constraints import each, let, max_delta, project_capped, project_row
+from flowlens.operators.constraints import clipped, max_delta, project_row
 from flowlens.plans.ordered import exact_quantiles, order_cutoffs
 from flowlens.plans.small import cut_lineage, null_safe_join, once_per_row
 
@@ -35,29 +35,56 @@ class SearchPlan:
     seed: int = 42
 
 
-def _proposal(key: Column, step: int, cand: Column, n: int, plan: SearchPlan) -> Column:
-    """Move a random subset of 1..subset unlocked features by 35..100 % of their allowance, mostly towards the goal."""
+#: Expressions of hashes that one operator holds: its generated code stays short enough to be compiled to machine code.
+AT_ONCE = 4
 
-    def unit(*parts: Column | str) -> Column:
-        return unit_hash(key, F.lit(step), cand, *[F.lit(x) if isinstance(x, str) else x for x in parts], seed=plan.seed)
 
-    width = F.floor(unit("width") * F.lit(plan.subset)).cast("int") + F.lit(1)
-    free = F.filter(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ~F.get("p_locked", i) & (F.get("__cap", i) > 1e-12)
-    )
-    order = F.array_sort(F.transform(free, lambda i: F.struct(unit(i).alias("u"), i.alias("i"))))
-    chosen = F.transform(F.slice(order, F.lit(1), width), lambda s: s["i"])
+def _stored(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``once_per_row``, a few columns at a time."""
+    items = list(columns.items())
+    for at in range(0, len(items), AT_ONCE):
+        df = once_per_row(df, dict(items[at : at + AT_ONCE]))
+    return df
+
+
+def _proposed(df: DataFrame, cand: int, n: int, plan: SearchPlan, margin: Callable[[Column], Column]) -> DataFrame:
+    """Add ``__t<cand>``, a struct ``(absent, m, x)`` of one candidate: a random subset of 1..subset unlocked features moved by
+    35..100 % of their allowance, mostly towards the goal. A row whose width is less than ``cand`` has it as absent.
+
+    Features are plain columns here, as lambdas over arrays are interpreted and not compiled.
+    """
+    features = range(n)
+
+    def unit(*parts: object) -> Column:
+        return unit_hash("__start", F.lit("#".join(str(x) for x in (cand, *parts))), seed=plan.seed)
+
+    here = F.lit(cand) <= F.col("__width")
+    nowhere = F.lit(2.0)  # beyond every draw
+    width = F.when(here, F.floor(unit("width") * F.lit(plan.subset)).cast("int") + F.lit(1)).otherwise(F.lit(1))
+    draws = {"__w": width}
+    for i in features:
+        free = F.coalesce(~F.get("p_locked", F.lit(i)) & (F.get("__cap", F.lit(i)) > 1e-12), F.lit(False))
+        draws[f"__u{i}"] = F.when(here & free, unit(i)).otherwise(nowhere)
+    df = _stored(df, draws)
+    order = F.sort_array(F.array(*[F.struct(F.col(f"__u{i}").alias("u"), F.lit(i).alias("i")) for i in features]))
+    df = once_per_row(df, {"__last": F.get(order, F.least(F.col("__w"), F.lit(n)) - 1)})
     towards = -1.0 if plan.objective == "minimize" else 1.0
 
-    def moved(chosen: Column, i: Column) -> Column:
+    def moved(i: int) -> Column:
+        u, last = F.col(f"__u{i}"), F.col("__last.u")
+        chosen = (u < nowhere) & ((u < last) | ((u == last) & (F.lit(i) <= F.col("__last.i"))))
+        cap = F.get("__cap", F.lit(i))
         size = F.lit(0.35) + F.lit(0.65) * unit(i, "size")
         sign = F.when(unit(i, "sign") < 0.65, F.lit(towards)).otherwise(F.lit(-towards))
-        return F.get("x_cur", i) + F.when(F.array_contains(chosen, i), sign * size * F.get("__cap", i)).otherwise(
-            F.lit(0.0)
-        )
+        return F.get("x_cur", F.lit(i)) + F.when(chosen, sign * size * cap).otherwise(F.lit(0.0))
 
-    proposal = let(chosen, lambda c: each(n, lambda i: moved(c, i)))
-    return project_capped(proposal, F.col("x0"), F.col("__cap"), n)
+    df = _stored(df, {f"__m{i}": moved(i) for i in features})
+    df = _stored(df, {f"__m{i}": clipped(F.col(f"__m{i}"), i, F.col("x0"), F.col("__cap")) for i in features})
+    df = once_per_row(df, {"__x": F.array(*[F.col(f"__m{i}") for i in features])})
+    score = -margin(F.col("__x")) if plan.objective != "minimize" else margin(F.col("__x"))
+    cell = F.struct((~here).alias("absent"), score.alias("m"), F.col("__x").alias("x"))
+    df = once_per_row(df, {f"__t{cand}": cell})
+    return df.drop("__w", "__last", "__x", *[f"__{k}{i}" for k in "um" for i in features])
 
 
 def hill_climb(
@@ -72,7 +99,7 @@ def hill_climb(
 ) -> tuple[DataFrame, dict[str, float]]:
     """Search every row of ``df`` (which carries profile arrays). Returns the final state and run counters.
 
-    ``margin`` maps a feature array to score minus threshold; success means crossing zero.
+    ``margin`` maps a feature array, which is a stored column, to score minus threshold; success means crossing zero.
     """
     index = index or {}
     low = plan.objective == "minimize"
@@ -98,10 +125,8 @@ def hill_climb(
         width = F.least(F.lit(plan.candidates), F.greatest(F.lit(1), left - reserve))
         reserve = F.when(width <= 1, F.lit(0)).otherwise(reserve)
         width = F.when(reserve > 0, width).otherwise(F.least(F.lit(plan.candidates), left))
-        stepped = marked.withColumns({"__width": width, "__refine": F.least(reserve, width)})
-        trial = F.transform(
-            F.sequence(F.lit(1), F.col("__width")), lambda c: _proposal(F.col(key), step, c, n, plan)
-        )
+        start = F.concat_ws("#", F.col(key).cast("string"), F.lit(str(step)))  # of what every draw of the step hashes
+        stepped = once_per_row(marked, {"__width": width, "__refine": F.least(reserve, width), "__start": start})
         judged = F.when(F.col("__refine") > 0, F.col("__refine")).otherwise(F.col("__width"))
 
         def repaired() -> list[Column]:
@@ -117,11 +142,15 @@ def hill_climb(
                     stepped, candidate="__candidate", original="x0", reference="x_cur", index=index, n=n, eps=plan.eps, out=f"__p{i}"
                 )
                 point = F.col(f"__p{i}")
-                cells.append(F.when(here, F.struct(signed(margin(point)).alias("m"), point.alias("x"))))
+                cell = F.when(here, F.struct(signed(margin(point)).alias("m"), point.alias("x")))
+                stepped = once_per_row(stepped, {f"__j{i}": cell})
+                cells.append(F.col(f"__j{i}"))
             return cells
 
-        scored = F.array_sort(F.transform(trial, lambda v: F.struct(signed(margin(v)).alias("m"), v.alias("x"))))
-        stepped = once_per_row(stepped, {"__scored": F.when(F.col("__active"), scored)})
+        candidates = [f"__t{c}" for c in range(1, plan.candidates + 1)]
+        for c in range(1, plan.candidates + 1):
+            stepped = _proposed(stepped, c, n, plan, margin)
+        stepped = once_per_row(stepped, {"__scored": F.sort_array(F.array(*candidates))}).drop(*candidates)
         cells = repaired()
         stepped = once_per_row(stepped, {"__best": F.array_min(F.array(*cells))})
         better = F.col("__active") & F.coalesce(F.col("__best.m") < signed(F.col("margin")) - 1e-9, F.lit(False))
