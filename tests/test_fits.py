@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.catalog import model_queries as Q
-from flowlens.operators import logistic
+from flowlens.operators import logistic, reports
 
 
 def plan(df) -> str:
@@ -32,3 +32,14 @@ def test_models_score_once(spark, monkeypatch, name):
     out = getattr(Q, name)(spark, "/root/testdata/sf0.001")
     assert given and "UDF" not in given[0] and "FileScan" not in given[0]
     assert out.agg(F.sum("rows") == F.sum("scored")).first()[0]
+
+
+def test_refit_moves_rows_without_lambdas_and_makes_its_profile_once(spark, monkeypatch):
+    plans, cut, profiles, attach = [], reports.cut_lineage, [], reports.attach_profile
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(reports, "cut_lineage", lambda df: plans.append(text(df)) or cut(df))
+    monkeypatch.setattr(reports, "attach_profile", lambda df, p, **kw: profiles.append(p.isLocal()) or attach(df, p, **kw))
+    out = Q.robust_refit(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("lambda" in p for p in plans)
+    assert profiles == [True] * 4
+    assert all(r.decided and r.consistent for r in out.collect())
