@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import fresh, row_hash, whole_text
+from flowlens.llm.common import fresh, row_hash, small_batches, whole_text
 from flowlens.llm.components import apart
 from flowlens.plans.small import cut_lineage, small_enough
 
@@ -18,6 +18,7 @@ WORDS = re.compile(r"\w+")
 LEAST = 5  # words of the shortest match
 COVERAGE = 0.5  # share of a test's words that must be found
 FILTER_BITS = 1 << 23
+KNOWN = 100_000  # words whose hashes a task keeps at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,7 +26,7 @@ class TokenHashes(dict):
     """Words to 64-bit hashes, kept for the next text; emptied when it holds too many words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 0) | 1
         return value
@@ -214,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
     tests = tests_of(benchmark)
     grams = grams_of(tests)
     seeds = seed_filter(grams)
-    source = docs.select(row_hash(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    source = small_batches(docs).select(row_hash(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     found = cut_lineage(suspects(source, seeds))
     shared = found.select("row", F.explode("grams").alias("gram")).distinct()
     sizes = tests.select(F.col("test").alias("__test"), F.size("tokens").alias("words"))

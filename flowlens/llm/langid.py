@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import fold_of, whole_text, windows_of
+from flowlens.llm.common import fold_of, small_batches, whole_text, windows_of
 from flowlens.plans.small import cut_lineage, small_enough
 
 UNDETERMINED = "und"
@@ -154,7 +154,7 @@ def fit(
     gives a model that answers ``und``.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    found = sample_features(train, per_lang, buckets, snippets, seed)
+    found = sample_features(small_batches(train), per_lang, buckets, snippets, seed)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     and count whole. Repeated rows get repeated results, an empty table an empty one; a column named as ``into`` is
     replaced, all others pass through and none but the text is read.
     """
-    return docs.withColumn(into, predictions(F.col(text), model))
+    return small_batches(docs).withColumn(into, predictions(F.col(text), model))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import row_hash, whole_text
+from flowlens.llm.common import row_hash, small_batches, whole_text
 from flowlens.plans.small import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
+KNOWN = 100_000  # words whose ids a task keeps at once; most words come once, and a worker keeps the memory
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Tokenizer:
     def word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 400_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             got = self.known[word] = self.plain(" " + word)
         return got
@@ -104,7 +105,7 @@ PACKED = "row long, doc_id long, seq int, n_tokens int, packed binary"
 def sequences(docs: DataFrame, layout: Layout, text: str = "text") -> DataFrame:
     """Every text's ids and an end id, cut into sequences of ``layout.length``; each is packed for the way to its shard."""
     ranks = layout.ranks()
-    source = docs.select(row_hash(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    source = small_batches(docs).select(row_hash(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, packer = Tokenizer(ranks), zstandard.ZstdCompressor(level=1, write_content_size=True)
