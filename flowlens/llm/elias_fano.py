@@ -44,10 +44,15 @@ class EliasFano:
         width = max(0, (max(1, top) // max(1, n)).bit_length() - 1)
         low = []
         for at in range(0, n, CHUNK):  # a multiple of 8 values: whole bytes
-            part = values[at : at + CHUNK, None] >> np.arange(width) & 1
-            low.append(np.packbits(part.astype(np.uint8), bitorder="little"))
+            part = values[at : at + CHUNK]
+            bits = np.empty((len(part), width), np.uint8)
+            for i in range(width):  # a column of bits at a time: all at once would be numbers of 8 bytes for each bit
+                bits[:, i] = part >> i & 1
+            low.append(np.packbits(bits, bitorder="little"))
         bits = np.zeros(-(-(n + (top >> width) + 2) // 64) * 64 + 64, np.uint8)
-        bits[(values >> width) + np.arange(n)] = 1
+        at = values >> width
+        at += np.arange(n)
+        bits[at] = 1
         high = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.concatenate([[0], np.bitwise_count(high).cumsum(dtype=np.int64)]).astype("<i8" if n >> 31 else "<i4")
         return cls(n, width, np.concatenate([*low, np.zeros(8, np.uint8)]), high, ones)

@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import whole_text
+from flowlens.llm.common import small_batches, whole_text
 from flowlens.llm.ngram_trie import ANY, Trie, merged, runs
 from flowlens.plans.ordered import rank_rows
 from flowlens.plans.small import cut_lineage
@@ -362,7 +362,7 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
     What a shard both learns from and scores waits for its trie as it came, compressed."""
 
     def small(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        return *(x.astype(np.uint32) for x in rows[:3]), rows[3]
+        return tuple(x.astype(np.uint32) for x in rows)
 
     def score(trie: Trie, waiting: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -386,10 +386,8 @@ def scored(dealt: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
         return frame(out)
 
     def trie_of(held: list[tuple[np.ndarray, ...]]) -> Trie:
-        empty = np.zeros(0, np.int64)
-        v, u, w, n = merged(held or [(empty,) * 4])
-        held.clear()
-        return Trie.of(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), n, corpus.probability, model.discount).mapped()
+        held = held or [(np.zeros(0, np.uint32),) * 4]
+        return Trie.of(*merged(held), corpus.probability, model.discount).mapped()
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["batch", "ids", "data"])
@@ -467,7 +465,7 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
     texts are numbered whole. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), whole_text(text).alias("text"))
+    source = small_batches(docs).select(F.col(doc_id).cast("string").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), whole_text(text).alias("text"))
     for seed in itertools.count(42):
         stored = cut_lineage(batches(source, model, seed))
         words, clash = numbered_words(stored)

@@ -18,7 +18,10 @@ ANY = 2
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) * STEP), 0, 65535).astype("<u2")
+    q = np.log10(p)
+    q *= -STEP
+    np.rint(q, out=q)
+    return np.clip(q, 0, 65535, out=q).astype("<u2")
 
 
 def logs(q: np.ndarray) -> np.ndarray:
@@ -42,26 +45,38 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Rows ``(v, u, w, n)`` sorted, those of equal words as one."""
-    v, u, w, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    middles = np.unique(v)
+    """Rows ``(v, u, w, n)`` sorted, those of equal words as one. Empties ``parts``: each copy of a shard's rows counts."""
+    v, u, w, n = parts[0] if len(parts) == 1 else (np.concatenate([p[i] for p in parts]) for i in range(4))
+    parts.clear()
+    middles, kinds = np.unique(v), (u.dtype, w.dtype)
     bits_u, bits_w = (int(x.max(initial=0)).bit_length() for x in (u, w))
     if len(middles).bit_length() + bits_u + bits_w > 63:
         order = np.lexsort((w, u, v))
         v, u, w, n = v[order], u[order], w[order], n[order]
         starts, _ = runs(v, u, w)
-        return v[starts], u[starts], w[starts], np.add.reduceat(n, starts) if len(starts) else n
-    keys = (np.searchsorted(middles, v) << bits_u | u) << bits_w | w
+        return v[starts], u[starts], w[starts], summed(n, starts)
+    keys = np.searchsorted(middles, v)
+    del v
+    for bits, x in ((bits_u, u), (bits_w, w)):
+        keys <<= bits
+        keys |= x.astype(np.int64, copy=False)
+    del u, w, x
     if (n == 1).all():
         keys.sort()
         starts, n = runs(keys)
     else:
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, n = keys[order], n[order]
+        del order
         starts, _ = runs(keys)
-        n = np.add.reduceat(n[order], starts)
+        n = summed(n, starts)
     keys = keys[starts]
-    return middles[keys >> bits_u + bits_w], keys >> bits_w & (1 << bits_u) - 1, keys & (1 << bits_w) - 1, n
+    u, w = keys >> bits_w & (1 << bits_u) - 1, keys & (1 << bits_w) - 1
+    return middles[keys >> bits_u + bits_w], u.astype(kinds[0], copy=False), w.astype(kinds[1], copy=False), n
+
+
+def summed(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(n, starts, dtype=np.int64) if len(starts) else n.astype(np.int64)
 
 
 @dataclass
@@ -88,30 +103,52 @@ class Trie:
         """From sorted rows ``(v, u, w, n)`` and the probability of each word ``alone``, by interpolated absolute
         discounting: p(w | context) = (n - discount) / N + discount * kinds / N * p(w | shorter context)."""
         whole = u == ANY
-        vs, us, ws, ns = v[~whole], u[~whole], w[~whole], n[~whole]
-        own = ~np.isin(vs, v[whole]) if whole.any() else np.ones(len(vs), bool)
-        pairs = merged([(vs[own], ws[own], ws[own], ns[own]), (v[whole], w[whole], w[whole], n[whole])])
-        pv, pw, pn = pairs[0], pairs[1], pairs[3]
+        vs, us, ws, ns = v, u, w, n
+        parts = [(v, w, w, n)]
+        if whole.any():
+            vs, us, ws, ns = (x[~whole] for x in (v, u, w, n))
+            own = ~np.isin(vs, v[whole])
+            parts = [(vs[own], ws[own], ws[own], ns[own]), (v[whole], w[whole], w[whole], n[whole])]
+        stride = int(max(w.max(initial=0), u.max(initial=0))) + 1
+        del v, u, w, n, whole
+        pv, pw, _, pn = merged(parts)
         at, size = runs(pv)
         middles = pv[at]
         total = np.add.reduceat(pn, at) if len(at) else pn
         off_middle = discount * size / np.maximum(1, total)
         p_next = (pn - discount) / np.repeat(total, size) + np.repeat(off_middle, size) * alone(pw)
+        pairs_at = np.repeat(np.arange(len(at)), size) * stride + pw
+        next_ = EliasFano.of(pairs_at)
+        n_pairs = len(pw)
+        del pv, pw, pn, total, size
         # the earlier words of each middle word, then the next words of both as places among those of the middle word
         bat, bsize = runs(vs, us)
-        bv, bu = vs[bat], us[bat]
+        bv, bu, n_rows = vs[bat], us[bat], len(ws)
+        m = np.searchsorted(middles, vs)
+        del vs, us
+        first = at[m]
+        m *= stride
+        m += ws
+        del ws
+        index = np.searchsorted(pairs_at, m)
+        del m, pairs_at
         btotal = np.add.reduceat(ns, bat) if len(bat) else ns
         off_before = discount * bsize / np.maximum(1, btotal)
-        m = np.searchsorted(middles, vs)
-        stride = int(max(w.max(initial=0), u.max(initial=0))) + 1
-        pairs_at = np.repeat(np.arange(len(at)), size) * stride + pw
-        index = np.searchsorted(pairs_at, m * stride + ws)
-        p_then = (ns - discount) / np.repeat(btotal, bsize) + np.repeat(off_before, bsize) * p_next[index]
-        pointers = [EliasFano.of(np.append(x, n)) for x, n in ((at, len(pw)), (bat, len(ws)))]
+        p_then = ns - discount
+        p_then /= np.repeat(btotal, bsize)
+        shorter = np.repeat(off_before, bsize)
+        shorter *= p_next[index]
+        p_then += shorter
+        del ns, shorter
+        p_then, p_next = quantised(p_then), quantised(p_next)
+        index -= first
+        del first
+        then = EliasFano.of(chained(index, bat, bsize))
+        del index
+        pointers = [EliasFano.of(np.append(x, n)) for x, n in ((at, n_pairs), (bat, n_rows))]
         return cls(
-            EliasFano.of(middles), EliasFano.of(pairs_at), EliasFano.of(np.searchsorted(middles, bv) * stride + bu),
-            EliasFano.of(chained(index - at[m], bat, bsize)), *pointers,
-            quantised(p_next), quantised(p_then), quantised(off_middle), quantised(off_before), stride,
+            EliasFano.of(middles), next_, EliasFano.of(np.searchsorted(middles, bv) * stride + bu), then, *pointers,
+            p_next, p_then, quantised(off_middle), quantised(off_before), stride,
         )
 
     def mapped(self) -> Trie:
